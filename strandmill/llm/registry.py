@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from . import sharding, url_filter
+from . import sharding, spm_codec, url_filter, warc
 
 
 def queries() -> dict:
     return {
         "op2_url_filter": url_filter.op2_url_filter,
+        "op3_warc": warc.op3_warc,
         "op5_sharding": sharding.op5_sharding,
+        "op6_sentencepiece": spm_codec.op6_sentencepiece,
     }
 
 
 def oracle_sql() -> dict:
     return {
         "op2_url_filter": url_filter.op2_sql(),
+        "op3_warc": warc.OP3_SQL,
         "op5_sharding": sharding.OP5_SQL,
     }
