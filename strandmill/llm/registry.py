@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import sharding, spm_codec, url_filter, warc
+from . import quality, sharding, spm_codec, url_filter, warc
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op3_warc": warc.op3_warc,
         "op5_sharding": sharding.op5_sharding,
         "op6_sentencepiece": spm_codec.op6_sentencepiece,
+        "op7_quality": quality.op7_quality,
     }
 
 
