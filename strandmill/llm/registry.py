@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, quality, sharding, spm_codec, url_filter, warc
+from . import decontaminate, line_dedup, quality, sharding, spm_codec, url_filter, warc
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op5_sharding": sharding.op5_sharding,
         "op6_sentencepiece": spm_codec.op6_sentencepiece,
         "op7_quality": quality.op7_quality,
+        "op8_line_dedup": line_dedup.op8_line_dedup,
         "op9_decontaminate": decontaminate.op9_decontaminate,
     }
 
@@ -21,5 +22,6 @@ def oracle_sql() -> dict:
         "op2_url_filter": url_filter.op2_sql(),
         "op3_warc": warc.OP3_SQL,
         "op5_sharding": sharding.OP5_SQL,
+        "op8_line_dedup": line_dedup.OP8_SQL,
         "op9_decontaminate": decontaminate.OP9_SQL,
     }
