@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_dedup, quality, sharding, spm_codec, url_filter, warc
+from . import decontaminate, line_dedup, quality, sharding, simhash, spm_codec, suffix_dedup, topk, url_filter, warc
 
 
 def queries() -> dict:
     return {
+        "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
         "op2_url_filter": url_filter.op2_url_filter,
         "op3_warc": warc.op3_warc,
+        "op4_simhash": simhash.op4_simhash,
         "op5_sharding": sharding.op5_sharding,
         "op6_sentencepiece": spm_codec.op6_sentencepiece,
         "op7_quality": quality.op7_quality,
         "op8_line_dedup": line_dedup.op8_line_dedup,
         "op9_decontaminate": decontaminate.op9_decontaminate,
+        "op10_topk": topk.op10_topk,
     }
 
 
@@ -24,4 +27,5 @@ def oracle_sql() -> dict:
         "op5_sharding": sharding.OP5_SQL,
         "op8_line_dedup": line_dedup.OP8_SQL,
         "op9_decontaminate": decontaminate.OP9_SQL,
+        "op10_topk": topk.OP10_SQL,
     }
