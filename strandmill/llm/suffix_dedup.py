@@ -25,7 +25,7 @@ from .common import table
 
 WINDOW, GRAM = 200, 56
 #: Bytes of text handled as one array, and anchors a task holds back to merge copies.
-CHUNK, HELD = 4 << 20, 1 << 19
+CHUNK, HELD = 1 << 20, 1 << 18
 #: Bytes of regions whose suffixes are sorted together (small enough for a core's cache); an anchor's regions stay together.
 SORT_BYTES = 32 << 10
 #: An anchor with more distinct regions than this has them split by windows' distance to it, in steps of STEP, and by
@@ -202,15 +202,22 @@ def row_key(ident: int | None, text: bytes) -> int:
     return xxhash.xxh3_64_intdigest(b"-" if ident is None else struct.pack("<q", ident), xxhash.xxh3_64_intdigest(text)) - (1 << 63)
 
 
+def _slices(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """A batch in parts, so that few of its texts are Python objects at a time."""
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[list[int], list[bytes]]]:
     keys, texts, held = [], [], 0
-    for key, text in zip(batch.column("_row").to_pylist(), batch.column("_text").to_pylist()):
-        keys.append(key)
-        texts.append(text)
-        held += len(text)
-        if held >= CHUNK:
-            yield keys, texts
-            keys, texts, held = [], [], 0
+    for part in _slices(batch):
+        for key, text in zip(part.column("_row").to_pylist(), part.column("_text").to_pylist()):
+            keys.append(key)
+            texts.append(text)
+            held += len(text)
+            if held >= CHUNK:
+                yield keys, texts
+                keys, texts, held = [], [], 0
     if keys:
         yield keys, texts
 
@@ -273,7 +280,7 @@ def _cut_regions(window: int):
     """Rows with a text and its regions to the regions' bytes, an anchor's too many ones split."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for b in batches for part in _slices(b)):
             out: list[tuple] = []
             for text, regions in zip(batch.column("_text").to_pylist(), batch.column("_regions").to_pylist()):
                 for r in regions:
@@ -359,7 +366,7 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def keyed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for whole in batches for part in _slices(whole)):
             ids, texts = b.column("_id"), b.column("_text")
             rows = [row_key(i, t) for i, t in zip(ids.to_pylist(), texts.to_pylist())]
             yield pa.RecordBatch.from_arrays(
@@ -400,7 +407,7 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     per_row = starts.groupBy("_row").agg(F.collect_set(F.struct("_s", "_e")).alias("_starts"))
 
     def spans(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for whole in batches for part in _slices(whole)):
             texts = b.column("_text")
             found = [
                 [{"start": s, "end": e} for s, e in removed_spans(len(t), [(x["_s"], x["_e"]) for x in (r or ())], window)]
@@ -423,7 +430,7 @@ def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     found = find_repeats(table(spark, sf_dir, "documents"))
 
     def digest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for whole in batches for part in _slices(whole)):
             rows = []
             for t, spans in zip(b.column("_text").to_pylist(), b.column("_spans").to_pylist()):
                 kept, at = [], 0
