@@ -1,13 +1,373 @@
-"""The queries this engine offers over the driver's tables."""
+"""The engine's operators as queries over the driver's tables.
+
+The tables hold no reads, so reads are derived from ``documents`` by SQL that Spark and DuckDB read alike: bases from
+digests of the id, in sixteen layouts (whole, reversed, with a substitution, without an anchor, doubled, ...). The
+oracles work from those reads, by other means than the operators, and never from the layout's number.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strandmill import settings
+from strandmill.functions import columns as C
+from strandmill.operators import barcodes, metrics as M, tags
+from strandmill.operators.annotate import annotate, oriented
+from strandmill.plans import qc
+
 FLAGSHIP = "bucket_counts"
+LEFT, RIGHT = "AACCGGTTACGTCAGT", "TGCATGCAAGCTTCGA"
+_HEX, _BASES = "0123456789abcdef", "ACGTACGTACGTACGT"
+
+READS = f"""
+SELECT doc_id AS read_index, concat('r', doc_id) AS read_id, sequence,
+  substr(repeat(translate(q, '{_HEX}', CASE WHEN doc_id % 32 = 16 THEN '&&&&&&&&&&&&&&&&' ELSE 'IIIHGFEDCBIIGG55' END), 12), 1, length(sequence)) AS quality
+FROM (SELECT doc_id, q, CASE k
+    WHEN 0 THEN c WHEN 1 THEN reverse(translate(c, 'ACGTN', 'TGCAN')) WHEN 2 THEN concat('AACCGATTACGTCAGT', p, '{RIGHT}') WHEN 3 THEN concat(p, '{RIGHT}')
+    WHEN 4 THEN concat('{LEFT}', p) WHEN 5 THEN p WHEN 6 THEN concat('{RIGHT}', p, '{LEFT}') WHEN 7 THEN concat('{LEFT}', p, '{LEFT}', p, '{RIGHT}')
+    WHEN 8 THEN concat('{LEFT}', p, '{RIGHT}', p, '{RIGHT}') WHEN 9 THEN concat(c, c) WHEN 10 THEN concat(c, c, c) WHEN 11 THEN concat(substr(y, 1, 12), c)
+    WHEN 12 THEN lower(c) WHEN 13 THEN concat('{LEFT}', substr(p, 1, 20), '{RIGHT}')
+    WHEN 14 THEN concat('{LEFT}', substr(p, 1, 20), 'NNNNNNNNNNNNNNNNNNNN', substr(p, 41, 20), '{RIGHT}') ELSE CASE WHEN doc_id % 32 = 15 THEN '' ELSE concat(c, 'X') END END AS sequence
+  FROM (SELECT *, concat('{LEFT}', p, '{RIGHT}') AS c
+    FROM (SELECT *, concat(CASE WHEN doc_id % 5 = 0 THEN concat(substr(w, 1, 2), 'A', substr(w, 4, 5)) ELSE substr(w, 1, 8) END, x, substr(y, 1, 20)) AS p
+      FROM (SELECT doc_id, doc_id % 16 AS k, md5(concat('q:', doc_id)) AS q,
+          translate(md5(concat('a:', doc_id)), '{_HEX}', '{_BASES}') AS x, translate(md5(concat('b:', doc_id)), '{_HEX}', '{_BASES}') AS y,
+          translate(md5(concat('w:', doc_id * 7 % 100 + 1)), '{_HEX}', '{_BASES}') AS w
+        FROM {{documents}}) layer1) layer2) layer3) layer4
+"""
+WHITELIST = f"SELECT DISTINCT substr(translate(md5(concat('w:', s_suppkey)), '{_HEX}', '{_BASES}'), 1, 8) AS barcode FROM {{supplier}} WHERE s_suppkey <= 100 AND s_suppkey % 3 <> 0"
+
+
+def query_settings(edits: bool = False) -> settings.Settings:
+    """What the queries look for: two anchors with one mismatch (or one edit) each, a segment, and 8 + 4 bp of barcode and UMI."""
+    tolerance = {"max_edits": 1} if edits else {"max_mismatches": 1}
+    return settings.from_dict({
+        "anchors": [{"name": "left", "type": "fixed", "sequence": LEFT, **tolerance}, {"name": "right", "type": "fixed", "sequence": RIGHT, **tolerance}],
+        "structure": {
+            "expected_order": ["left", "right"], "anchor_rules": {"left": {}, "right": {}}, "split_concatemers": True,
+            "segments": [{"name": "payload", "start_anchor": "left", "end_anchor": "right", "min_length": 40, "max_length": 80}],
+        },
+        "barcode": {"enabled": True, "left_anchor": "left", "right_anchor": "right", "barcode_length": 8, "umi_length": 4, "min_base_quality": 15, "max_edit_distance": 1},
+        "thresholds": {"long_read_min_bp": 70, "long_read_min_q": 12.0, "terminal_anchor_max_offset": 0.05},
+    })
+
+
+def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(READS, documents=spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def whitelist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(WHITELIST, supplier=spark.read.parquet(f"{sf_dir}/supplier.parquet"))
+
+
+def annotated(spark, sf_dir, edits: bool = False) -> DataFrame:
+    return annotate(reads(spark, sf_dir), query_settings(edits))
+
+
+def assessed(spark, sf_dir) -> DataFrame:
+    s = query_settings()
+    return barcodes.assess(annotated(spark, sf_dir), s.barcode, whitelist(spark, sf_dir))
+
+
+def _without_first(df: DataFrame) -> DataFrame:
+    return df.drop("first")
+
+
+def read_metrics(spark, sf_dir):
+    seq, n = F.col("sequence"), F.length("sequence")
+    return reads(spark, sf_dir).select(
+        "read_index", n.alias("length"), F.round(C.share(C.n_count(seq), n), 6).alias("n_fraction"), F.round(C.share(C.invalid_count(seq), n), 6).alias("invalid_fraction"),
+        F.round(C.mean_q(F.col("quality")), 6).alias("mean_q"), F.round(C.conservative_q(F.col("quality")), 6).alias("conservative_q"),
+    )
+
+
+def strands(spark, sf_dir):
+    return reads(spark, sf_dir).select("read_index", C.reverse_complement(F.col("sequence")).alias("reverse_complement"))
+
+
+def _kernel_hits(df: DataFrame) -> DataFrame:
+    h = df.select("read_index", "orientation", F.explode("hits").alias("h"))
+    return h.select("read_index", "orientation", F.col("h.anchor").alias("anchor"), F.col("h.start").alias("start"), F.col("h.end").alias("stop"), F.col("h.distance").alias("distance"))
+
+
+def edit_hits(spark, sf_dir):
+    h = annotated(spark, sf_dir, True).select("read_index", "orientation", F.explode("hits").alias("h"))
+    return h.select("read_index", "orientation", "h.*").withColumnRenamed("end", "stop")
+
+
+def edit_distances(spark, sf_dir):
+    """Each anchor's least edits on each strand, where within one."""
+    both = reads(spark, sf_dir).withColumn("turned", F.lit(False))
+    both = both.unionByName(both.withColumn("sequence", C.reverse_complement(F.col("sequence"))).withColumn("turned", F.lit(True)))
+    forward = settings.from_dict({"anchors": [{"name": n, "type": "fixed", "sequence": m, "max_edits": 1} for n, m in (("left", LEFT), ("right", RIGHT))]})
+    a = annotate(both, forward)
+    # without an expected order the strand with more hits is chosen; the other one is seen from its own row
+    b = a.select("read_index", (F.col("turned") != F.col("is_reversed")).alias("is_reversed"), F.explode("best").alias("anchor", "b"))
+    return b.groupBy("read_index", "is_reversed", "anchor").agg(F.min("b.distance").alias("distance"))
+
+
+def exact_hits(spark, sf_dir):
+    """Overlapping exact occurrences of a short motif, on the strand as read."""
+    s = settings.from_dict({"anchors": [{"name": "motif", "type": "fixed", "sequence": "ACA"}], "structure": {"expected_order": []}})
+    a = annotate(reads(spark, sf_dir), s).where("not is_reversed")
+    return a.select("read_index", F.explode("hits").alias("h")).select("read_index", F.col("h.start").alias("start"))
+
+
+def regex_hits(spark, sf_dir):
+    s = settings.from_dict({"anchors": [{"name": "homopolymer", "type": "regex", "pattern": "A{3,}|C{3,}|G{3,}|T{3,}"}]})
+    a = annotate(reads(spark, sf_dir), s)
+    return a.select("read_index", F.size("hits").alias("n_hits"), F.aggregate("hits", F.lit(0), lambda x, h: x + h["end"] - h["start"]).alias("bases"))
+
+
+def best_hits(spark, sf_dir):
+    b = annotated(spark, sf_dir).select("read_index", F.explode("best").alias("anchor", "b"))
+    return b.select("read_index", "anchor", F.col("b.start").alias("start"), F.col("b.end").alias("stop"), F.col("b.distance").alias("distance"))
+
+
+def structures(spark, sf_dir):
+    return annotated(spark, sf_dir).select("read_index", "label", "orientation", "order_valid", F.size("hits").alias("n_hits"), F.array_join("detected", ",").alias("detected"))
+
+
+def read_flags(spark, sf_dir):
+    return annotated(spark, sf_dir).select("read_index", F.array_join("flags", ";").alias("flags"), "bucket", F.round("five_prime_offset", 6).alias("offset5"), F.round("three_prime_offset", 6).alias("offset3"))
+
+
+def segments(spark, sf_dir):
+    g = annotated(spark, sf_dir).select("read_index", F.explode("segments").alias("g"))
+    return g.select("read_index", F.col("g.status").alias("status"), F.col("g.length").alias("length"), F.round("g.gc_fraction", 6).alias("gc"), F.round("g.mean_qscore", 6).alias("qscore"))
+
+
+def segment_stats(spark, sf_dir):
+    return M.segment_stats(annotated(spark, sf_dir)).select(
+        "name", "total_reads", "observed_reads", *[F.round(c, 6).alias(c) for c in ("observed_ratio", "missing_ratio", "within_length_ratio", "mean_length", "median_length", "mean_gc_fraction", "mean_n_fraction")]
+    )
+
+
+def barcode_status(spark, sf_dir):
+    return assessed(spark, sf_dir).select("read_index", "barcode_status", "raw_barcode", "raw_umi", "min_barcode_q", "nearest_distance", "second_distance", "nearest_barcode")
+
+
+def barcode_counts(spark, sf_dir):
+    return _without_first(M.counts_by(assessed(spark, sf_dir), "barcode_status"))
+
+
+def top_barcodes(spark, sf_dir):
+    return _without_first(M.top_barcodes(assessed(spark, sf_dir), 50))
+
+
+def umis(spark, sf_dir):
+    return M.umi_stats(assessed(spark, sf_dir)).select("unique_raw_umis", F.round("umi_singleton_ratio", 6).alias("umi_singleton_ratio"))
+
+
+def run_totals(spark, sf_dir):
+    return M.totals(annotated(spark, sf_dir), query_settings())
+
+
+def anchor_stats(spark, sf_dir):
+    return M.anchor_stats(annotated(spark, sf_dir)).select("anchor", "reads", *[F.round(c, 6).alias(c) for c in ("mean_best_mismatches", "multi_hit_ratio", "mean_hits_per_positive_read", "mean_position")])
+
+
+def length_stats(spark, sf_dir):
+    h = M.length_histogram(reads(spark, sf_dir).withColumn("length", F.length("sequence")))
+    return M.n50_of(h).crossJoin(F.broadcast(M.median_of(h, "length"))).crossJoin(F.broadcast(M.lower_median_of(h, "length").withColumnRenamed("median", "lower_median")))  # one row each
+
+
+def quality_levels(spark, sf_dir):
+    """The run's verdicts as rows."""
+    s = query_settings()
+    t, far = s.thresholds, annotated(spark, sf_dir)
+    row = M.totals(far, s).crossJoin(F.broadcast(far.agg(F.count_if(F.col("bucket") == "no_anchor").alias("no_anchor"))))  # one row each
+    n = F.col("total_reads")
+    parts = [
+        F.struct(F.lit(name).alias("metric"), F.round(C.share(part, n), 6).alias("value"), C.level(C.share(part, n), getattr(t, f"warn_{limit}_ratio"), getattr(t, f"fail_{limit}_ratio"), up).alias("status"))
+        for name, part, limit, up in (
+            ("long_high_quality_ratio", F.col("long_high_quality"), "long_high_quality", True), ("correct_anchor_order_ratio", F.col("order_valid"), "correct_anchor_order", True),
+            ("no_anchor_ratio", F.col("no_anchor"), "no_anchor", False), ("high_n_read_ratio", F.col("high_n"), "high_n", False),
+        )
+    ]
+    return row.select(F.inline(F.array(*parts)))
+
+
+def split_molecules(spark, sf_dir):
+    return qc.split_molecules(annotated(spark, sf_dir)).select("read_id", "sequence", "quality")
+
+
+def passed_reads(spark, sf_dir):
+    return annotated(spark, sf_dir).where("bucket = 'pass'").select("read_id", "sequence", "quality")
+
+
+def oriented_reads(spark, sf_dir):
+    return oriented(annotated(spark, sf_dir)).select("read_index", "oriented_sequence", "oriented_quality")
+
+
+TAG_LINES = """
+SELECT c_custkey AS id, concat_ws('\t', CASE WHEN c_custkey % 7 <> 0 THEN concat('CR:Z:', substr(a, 1, 8)) END,
+  CASE WHEN c_custkey % 3 <> 0 THEN concat('CB:Z:', CASE WHEN c_custkey % 5 = 0 THEN concat('T', substr(a, 2, 7)) ELSE substr(a, 1, 8) END, '-1') END,
+  concat('UR:Z:', substr(b, 1, 6)), CASE WHEN c_custkey % 2 = 0 THEN concat('UB:Z:', substr(b, 1, 5), 'A') END,
+  CASE WHEN c_custkey % 4 = 0 THEN concat('pt:i:', c_custkey % 50 - 5) END, CASE WHEN c_custkey % 11 = 0 THEN 'XA:Z:ambiguous' END) AS line
+FROM (SELECT c_custkey, translate(md5(concat('t:', c_custkey)), '0123456789abcdef', 'ACGTACGTACGTACGT') AS a, translate(md5(concat('u:', c_custkey)), '0123456789abcdef', 'ACGTACGTACGTACGT') AS b FROM {customer}) layer1
+"""
+
+
+def tag_records(spark, sf_dir) -> DataFrame:
+    lines = spark.sql(TAG_LINES, customer=spark.read.parquet(f"{sf_dir}/customer.parquet"))
+    return lines.select("id", tags.parse_tags(F.split("line", "\t")).alias("tags"))
+
+
+def tag_counts(spark, sf_dir):
+    return tags.tag_counts(tag_records(spark, sf_dir))
+
+
+def tag_distances(spark, sf_dir):
+    r = tag_records(spark, sf_dir)
+    return tags.tag_distances(r, "CR", "CB", True).withColumn("pair", F.lit("barcode")).unionByName(tags.tag_distances(r, "UR", "UB", False).withColumn("pair", F.lit("umi")))
+
+
+def tail_median(spark, sf_dir):
+    return M.lower_median_of(tags.tail_lengths(tag_records(spark, sf_dir)), "length")
 
 
 def queries() -> dict:
-    return {}
+    a = lambda f: lambda spark, sf_dir: f(annotated(spark, sf_dir))
+    plain = lambda f: lambda spark, sf_dir: f(reads(spark, sf_dir).withColumn("length", F.length("sequence")).withColumn("read_qscore", C.conservative_q(F.col("quality"))))
+    return {
+        "bucket_counts": a(lambda d: _without_first(M.counts_by(d, "bucket"))), "read_metrics": read_metrics, "reverse_complement": strands,
+        "length_histogram": plain(M.length_histogram), "qscore_histogram": plain(M.qscore_histogram), "length_q_bins": plain(M.length_q_bins),
+        "base_quality_histogram": plain(M.base_quality_histogram), "length_stats": length_stats, "exact_hits": exact_hits, "hamming_hits": a(_kernel_hits),
+        "edit_hits": edit_hits, "edit_distances": edit_distances, "regex_hits": regex_hits, "best_hits": best_hits, "structures": structures, "read_flags": read_flags,
+        "structure_orientation_counts": a(lambda d: _without_first(M.counts_by(d, "label", "orientation"))), "segments": segments, "segment_stats": segment_stats,
+        "barcode_status": barcode_status, "barcode_counts": barcode_counts, "top_barcodes": top_barcodes, "umi_stats": umis, "run_totals": run_totals,
+        "anchor_stats": anchor_stats, "heatmap": a(M.heatmap), "quality_levels": quality_levels, "split_molecules": split_molecules, "passed_reads": passed_reads,
+        "oriented_reads": oriented_reads, "tag_counts": tag_counts, "tag_distances": tag_distances, "tail_median": tail_median,
+    }
+
+
+# ---------------------------------------------------------------- oracles
+
+_READS = f"reads AS ({READS.format(documents='documents')})"
+_WL = f"wl AS ({WHITELIST.format(supplier='supplier')})"
+_Q = """q AS (SELECT read_index, length(sequence) AS n, CASE WHEN length(quality) = 0 THEN 0.0 ELSE
+  -10 * log10(list_sum(list_transform(string_split(quality, ''), lambda c: pow(10.0, -(ord(c) - 33) / 10.0))) / length(quality)) END AS qs FROM reads)"""
+# hits by trying every place of both strands
+_HITS = f"""strands AS (SELECT read_index, false AS rev, upper(sequence) AS s FROM reads UNION ALL
+    SELECT read_index, true, reverse(translate(upper(sequence), 'ACGTN', 'TGCAN')) FROM reads),
+  tried AS (SELECT read_index, rev, s, anchor, motif, unnest(range(1, greatest(length(s) - 14, 1))) AS i
+    FROM strands, (VALUES ('left', '{LEFT}'), ('right', '{RIGHT}')) m(anchor, motif)),
+  hits AS (SELECT read_index, rev, anchor, (i - 1)::INTEGER AS start, (i + 15)::INTEGER AS stop, hamming(substr(s, i, 16), motif)::INTEGER AS distance
+    FROM tried WHERE hamming(substr(s, i, 16), motif) <= 1),
+  names AS (SELECT read_index, rev, string_agg(upper(substr(anchor, 1, 1)), '' ORDER BY start, stop, anchor) AS w, count(*) AS k, sum(distance) AS d FROM hits GROUP BY ALL),
+  told AS (SELECT s.read_index, s.rev, length(s.s) AS n, coalesce(w, '') AS w, coalesce(k, 0) AS k, coalesce(d, 0) AS d,
+      length(coalesce(w, '')) - length(replace(coalesce(w, ''), 'L', '')) AS nl, length(coalesce(w, '')) - length(replace(coalesce(w, ''), 'R', '')) AS nr,
+      regexp_replace(regexp_replace(coalesce(w, ''), 'L+', 'L', 'g'), 'R+', 'R', 'g') AS runs,
+      (length(coalesce(w, '')) - length(replace(coalesce(w, ''), 'LR', ''))) // 2 AS passes
+    FROM strands s LEFT JOIN names x ON s.read_index = x.read_index AND s.rev = x.rev),
+  labelled AS (SELECT *, CASE WHEN w = '' THEN 'no_anchor_detected' WHEN passes >= 2 THEN 'concatemer_candidate'
+      WHEN nl > 1 OR nr > 1 THEN CASE WHEN contains(runs, 'LRL') THEN 'concatemer_candidate' WHEN nl > 1 THEN 'internal_5p_anchor' ELSE 'internal_3p_anchor' END
+      WHEN nl = 0 THEN 'missing_5p_anchor' WHEN nr = 0 THEN 'missing_3p_anchor' WHEN w = 'RL' THEN 'anchor_order_invalid' ELSE 'full_structure' END AS label FROM told),
+  ranked AS (SELECT *, CASE label WHEN 'full_structure' THEN 6 WHEN 'anchor_order_invalid' THEN 4 WHEN 'missing_5p_anchor' THEN 2 WHEN 'missing_3p_anchor' THEN 2
+      WHEN 'no_anchor_detected' THEN 0 ELSE 1 END AS rank FROM labelled),
+  chosen AS (SELECT * FROM ranked QUALIFY row_number() OVER (PARTITION BY read_index ORDER BY label = 'full_structure' DESC, rank DESC, length(runs) DESC, k DESC, d, rev) = 1),
+  own AS (SELECT h.*, c.n FROM hits h JOIN chosen c ON h.read_index = c.read_index AND h.rev = c.rev),
+  best AS (SELECT * FROM own QUALIFY row_number() OVER (PARTITION BY read_index, anchor ORDER BY distance, start, stop) = 1),
+  pair AS (SELECT c.*, l.start AS l0, l.stop AS l1, r.start AS r0, r.stop AS r1, o.s AS os, CASE WHEN c.rev THEN reverse(e.quality) ELSE e.quality END AS oq, e.sequence, e.quality, e.read_id
+    FROM chosen c JOIN reads e ON e.read_index = c.read_index JOIN strands o ON o.read_index = c.read_index AND o.rev = c.rev
+    LEFT JOIN best l ON l.read_index = c.read_index AND l.anchor = 'left' LEFT JOIN best r ON r.read_index = c.read_index AND r.anchor = 'right')"""
+_SEGMENT = """seg AS (SELECT *, CASE WHEN l1 IS NULL OR r0 IS NULL OR r0 < l1 THEN 'missing' WHEN r0 - l1 < 40 THEN 'too_short' WHEN r0 - l1 > 80 THEN 'too_long' ELSE 'pass' END AS status,
+    CASE WHEN r0 >= l1 THEN substr(os, l1 + 1, r0 - l1) END AS part, CASE WHEN r0 >= l1 THEN substr(oq, l1 + 1, r0 - l1) END AS pq FROM pair)"""
+_FLAGS = """seen AS (SELECT seg.*, q.qs, l0 / nullif(seg.n, 0) AS o5, (seg.n - r1) / nullif(seg.n, 0) AS o3,
+    CASE WHEN seg.n = 0 THEN 0.0 ELSE (length(sequence) - length(translate(sequence, 'Nn', ''))) / seg.n END AS nf,
+    CASE WHEN seg.n = 0 THEN 0.0 ELSE length(translate(upper(sequence), 'ACGTN', '')) / seg.n END AS bad FROM seg JOIN q ON q.read_index = seg.read_index),
+  flagged AS (SELECT *, list_distinct_keep FROM (SELECT *, list_filter([
+      CASE WHEN n = 0 THEN 'empty_read' END, CASE WHEN n < 70 THEN 'too_short' END, CASE WHEN qs < 12 THEN 'low_read_q' END, CASE WHEN nf >= 0.1 THEN 'high_n' END,
+      CASE WHEN bad > 0 THEN 'invalid_bases' END,
+      CASE label WHEN 'no_anchor_detected' THEN 'no_anchor' WHEN 'missing_5p_anchor' THEN 'missing_5p' WHEN 'missing_3p_anchor' THEN 'missing_3p' WHEN 'anchor_order_invalid' THEN 'order_invalid'
+        WHEN 'internal_5p_anchor' THEN 'internal_adapter' WHEN 'internal_3p_anchor' THEN 'internal_adapter' WHEN 'concatemer_candidate' THEN 'concatemer_candidate' END,
+      CASE WHEN o5 > 0.05 THEN 'five_prime_truncated' END, CASE WHEN o3 > 0.05 THEN 'three_prime_truncated' END, CASE WHEN k > 4 THEN 'dense_anchor_hits' END,
+      CASE WHEN status IN ('too_short', 'too_long') THEN 'segment_' || status END], lambda f: f IS NOT NULL) AS list_distinct_keep FROM seen) t),
+  bucketed AS (SELECT * EXCLUDE (list_distinct_keep), list_distinct_keep AS flags, coalesce(list_filter(['empty_read', 'too_short', 'low_read_q', 'invalid_bases', 'high_n', 'no_anchor', 'internal_adapter',
+      'concatemer_candidate', 'order_invalid', 'missing_5p', 'missing_3p', 'five_prime_truncated', 'three_prime_truncated', 'segment_too_short', 'segment_too_long', 'dense_anchor_hits'],
+      lambda b: list_contains(list_distinct_keep, b))[1], 'pass') AS bucket FROM flagged)"""
+_BARCODES = """cut AS (SELECT *, CASE WHEN l1 IS NULL OR r0 IS NULL THEN 'anchor_missing' WHEN l1 + 12 > n OR l1 + 12 > r0 THEN 'region_incomplete' END AS st FROM pair),
+  raw AS (SELECT *, CASE WHEN st IS NULL THEN substr(os, l1 + 1, 8) END AS raw_barcode, CASE WHEN st IS NULL THEN substr(os, l1 + 9, 4) END AS raw_umi,
+    CASE WHEN st IS NULL THEN list_min(list_transform(string_split(substr(oq, l1 + 1, 8), ''), lambda c: ord(c) - 33)) END AS minq FROM cut),
+  dist AS (SELECT u.raw_barcode, barcode, levenshtein(u.raw_barcode, barcode) AS d FROM (SELECT DISTINCT raw_barcode FROM raw WHERE st IS NULL AND minq >= 15) u, wl WHERE levenshtein(u.raw_barcode, barcode) <= 2),
+  near AS (SELECT raw_barcode, list(d ORDER BY d, barcode) AS ds, list(barcode ORDER BY d, barcode) AS bs FROM dist GROUP BY 1),
+  status AS (SELECT r.*, CASE WHEN st IS NOT NULL THEN st WHEN minq < 15 THEN 'low_quality' WHEN ds[1] = 0 THEN 'exact' WHEN ds IS NULL OR ds[1] > 1 THEN 'unrecoverable'
+      WHEN ds[2] - ds[1] < 1 THEN 'ambiguous' ELSE 'uniquely_recoverable' END AS barcode_status, ds, bs FROM raw r LEFT JOIN near ON r.raw_barcode = near.raw_barcode AND minq >= 15)"""
+_TAGS = f"""tagged AS (SELECT id, string_split(line, chr(9)) AS f FROM ({TAG_LINES.format(customer='customer')}) t),
+  t AS (SELECT {', '.join(f"list_filter(f, lambda x: starts_with(x, '{x}:'))[1][6:] AS {x}" for x in ('CR', 'CB', 'UR', 'UB', 'pt', 'XA'))} FROM tagged)"""
 
 
 def oracle_sql() -> dict:
-    return {}
+    whole = f"WITH {_READS}, {_Q}, {_HITS}, {_SEGMENT}, {_FLAGS}"
+    hits = f"WITH {_READS}, {_HITS}"
+    codes = f"WITH {_READS}, {_WL}, {_HITS}, {_BARCODES}"
+    measured = "round(CASE WHEN length(pq) = 0 THEN 0.0 ELSE -10 * log10(list_sum(list_transform(string_split(pq, ''), lambda c: pow(10.0, -(ord(c) - 33) / 10.0))) / length(pq)) END, 6)"
+    gc = "CASE WHEN length(part) = 0 THEN 0.0 ELSE length(translate(part, 'ATNX', '')) / length(part) END"
+    return {
+        "bucket_counts": f"{whole} SELECT bucket, count(*) AS count FROM bucketed GROUP BY 1",
+        "read_metrics": f"""WITH {_READS}, {_Q} SELECT r.read_index, n::INTEGER AS length,
+          round(CASE WHEN n = 0 THEN 0.0 ELSE (n - length(translate(sequence, 'Nn', ''))) / n END, 6) AS n_fraction,
+          round(CASE WHEN n = 0 THEN 0.0 ELSE length(translate(upper(sequence), 'ACGTN', '')) / n END, 6) AS invalid_fraction,
+          round(CASE WHEN n = 0 THEN 0.0 ELSE list_sum(list_transform(string_split(quality, ''), lambda c: ord(c) - 33)) / n END, 6) AS mean_q, round(qs, 6) AS conservative_q
+          FROM reads r JOIN q ON r.read_index = q.read_index""",
+        "reverse_complement": f"WITH {_READS} SELECT read_index, reverse(translate(sequence, 'ACGTNacgtn', 'TGCANtgcan')) AS reverse_complement FROM reads",
+        "length_histogram": f"WITH {_READS} SELECT length(sequence)::INTEGER AS length, count(*) AS count FROM reads GROUP BY 1",
+        "qscore_histogram": f"WITH {_READS}, {_Q} SELECT round_even(qs * 100, 0)::BIGINT AS qscore, count(*) AS count FROM q GROUP BY 1",
+        "length_q_bins": f"WITH {_READS}, {_Q} SELECT (round_even(n / 50, 0) * 50)::BIGINT AS length_bin, round_even(qs / 0.5, 0) * 0.5 AS qscore_bin, count(*) AS count FROM q GROUP BY 1, 2",
+        "base_quality_histogram": f"WITH {_READS}, b AS (SELECT unnest(string_split(quality, '')) AS c FROM reads WHERE quality <> '') SELECT (ord(c) - 33)::INTEGER AS phred, count(*) AS count FROM b GROUP BY 1",
+        "length_stats": f"""WITH {_READS}, l AS (SELECT length(sequence) AS n FROM reads), c AS (SELECT n, sum(n) OVER (ORDER BY n DESC RANGE UNBOUNDED PRECEDING) AS upto, sum(n) OVER () AS total FROM l)
+          SELECT (SELECT max(n)::INTEGER FROM c WHERE upto * 2 >= total) AS n50, median(n) AS median, quantile_disc(n, 0.5)::DOUBLE AS lower_median FROM l""",
+        "exact_hits": f"""WITH {_READS}, s AS (SELECT read_index, upper(sequence) AS s, reverse(translate(upper(sequence), 'ACGTN', 'TGCAN')) AS r FROM reads),
+          f AS (SELECT read_index, list_filter(range(0, greatest(length(s) - 2, 0)), lambda i: substr(s, i + 1, 3) = 'ACA') AS f, list_filter(range(0, greatest(length(r) - 2, 0)), lambda i: substr(r, i + 1, 3) = 'ACA') AS g FROM s),
+          k AS (SELECT *, CASE WHEN len(f) = 0 THEN 0 WHEN len(f) > 1 THEN 1 ELSE 2 END AS fk, CASE WHEN len(g) = 0 THEN 0 WHEN len(g) > 1 THEN 1 ELSE 2 END AS gk FROM f)
+          SELECT read_index, unnest(f)::INTEGER AS start FROM k WHERE NOT (gk = 2, gk > 0, len(g)) > (fk = 2, fk > 0, len(f))""",
+        "hamming_hits": f"{hits} SELECT read_index, CASE WHEN rev THEN 'reversed' ELSE 'forward' END AS orientation, anchor, start, stop, distance FROM own",
+        "edit_distances": f"""WITH {_READS}, a AS (SELECT read_index, false AS rev, upper(sequence) AS s FROM reads UNION ALL SELECT read_index, true, reverse(translate(upper(sequence), 'ACGTN', 'TGCAN')) FROM reads),
+          p AS (SELECT read_index, rev, s, anchor, motif, unnest(range(1, length(s) + 1)) AS i FROM a, (VALUES ('left', '{LEFT}'), ('right', '{RIGHT}')) m(anchor, motif))
+          SELECT read_index, rev AS is_reversed, anchor, min(least(levenshtein(substr(s, i, 15), motif), levenshtein(substr(s, i, 16), motif), levenshtein(substr(s, i, 17), motif)))::INTEGER AS distance
+          FROM p GROUP BY ALL HAVING min(least(levenshtein(substr(s, i, 15), motif), levenshtein(substr(s, i, 16), motif), levenshtein(substr(s, i, 17), motif))) <= 1""",
+        "regex_hits": f"""WITH {_READS}, m AS (SELECT read_index, regexp_extract_all(upper(sequence), 'A{{3,}}|C{{3,}}|G{{3,}}|T{{3,}}') AS f FROM reads)
+          SELECT read_index, len(f)::INTEGER AS n_hits, coalesce(list_sum(list_transform(f, lambda x: length(x))), 0)::INTEGER AS bases FROM m""",
+        "best_hits": f"{hits} SELECT read_index, anchor, start, stop, distance FROM best",
+        "structures": f"{hits} SELECT read_index, label, CASE WHEN rev THEN 'reversed' ELSE 'forward' END AS orientation, label = 'full_structure' AS order_valid, k::INTEGER AS n_hits, array_to_string(list_transform(list_filter(string_split(runs, ''), lambda c: c <> ''), lambda c: CASE c WHEN 'L' THEN 'left' ELSE 'right' END), ',') AS detected FROM chosen",
+        "read_flags": f"{whole} SELECT read_index, array_to_string(flags, ';') AS flags, bucket, round(o5, 6) AS offset5, round(o3, 6) AS offset3 FROM bucketed",
+        "structure_orientation_counts": f"{hits} SELECT label, CASE WHEN rev THEN 'reversed' ELSE 'forward' END AS orientation, count(*) AS count FROM chosen GROUP BY 1, 2",
+        "segments": f"{hits}, {_SEGMENT} SELECT read_index, status, length(part)::INTEGER AS length, round({gc}, 6) AS gc, {measured} AS qscore FROM seg",
+        "segment_stats": f"""{hits}, {_SEGMENT} SELECT 'payload' AS name, count(*) AS total_reads, count(part) AS observed_reads, round(count(part) / count(*), 6) AS observed_ratio,
+          round(count_if(status = 'missing') / count(*), 6) AS missing_ratio, round(count_if(status = 'pass') / count(part), 6) AS within_length_ratio, round(avg(length(part)), 6) AS mean_length,
+          round(median(length(part)), 6) AS median_length, round(avg({gc}), 6) AS mean_gc_fraction,
+          round(avg(CASE WHEN length(part) = 0 THEN 0.0 ELSE (length(part) - length(replace(part, 'N', ''))) / length(part) END), 6) AS mean_n_fraction FROM seg""",
+        "barcode_status": f"""{codes} SELECT read_index, barcode_status, raw_barcode, raw_umi, minq::INTEGER AS min_barcode_q, ds[1]::INTEGER AS nearest_distance,
+          CASE WHEN barcode_status IN ('ambiguous', 'uniquely_recoverable') THEN ds[2] END::INTEGER AS second_distance,
+          CASE WHEN barcode_status IN ('exact', 'ambiguous', 'uniquely_recoverable') THEN bs[1] END AS nearest_barcode FROM status""",
+        "barcode_counts": f"{codes} SELECT barcode_status, count(*) AS count FROM status GROUP BY 1",
+        "top_barcodes": f"{codes} SELECT raw_barcode, count(*) AS count FROM raw WHERE raw_barcode <> '' GROUP BY 1 ORDER BY 2 DESC, min(read_index) LIMIT 50",
+        "umi_stats": f"{codes}, u AS (SELECT raw_umi, count(*) AS n FROM raw WHERE raw_umi <> '' GROUP BY 1) SELECT count(*) AS unique_raw_umis, round(avg((n = 1)::INTEGER), 6) AS umi_singleton_ratio FROM u",
+        "run_totals": f"""{whole} SELECT count(*) AS total_reads, sum(n)::BIGINT AS total_bases, min(n)::INTEGER AS min_read_length, max(n)::INTEGER AS max_read_length, count_if(label = 'full_structure')::BIGINT AS order_valid,
+          count_if(rev)::BIGINT AS reversed, count_if(n >= 70 AND qs >= 12)::BIGINT AS long_high_quality, count_if(o5 > 0.05)::BIGINT AS five_prime_truncated, count_if(o3 > 0.05)::BIGINT AS three_prime_truncated,
+          count_if(nf >= 0.1)::BIGINT AS high_n, count_if(bad > 0)::BIGINT AS invalid_bases, count_if(label = 'concatemer_candidate' AND passes > 0)::BIGINT AS concatemer_parents,
+          sum(CASE WHEN label = 'concatemer_candidate' THEN passes ELSE 0 END)::BIGINT AS molecules FROM bucketed""",
+        "anchor_stats": f"""{hits}, c AS (SELECT read_index, anchor, count(*) AS h FROM own GROUP BY ALL) SELECT b.anchor, count(*) AS reads, round(avg(distance), 6) AS mean_best_mismatches,
+          round(avg((h > 1)::INTEGER), 6) AS multi_hit_ratio, round(avg(h), 6) AS mean_hits_per_positive_read, round(avg(start / n), 6) AS mean_position
+          FROM best b JOIN c ON c.read_index = b.read_index AND c.anchor = b.anchor GROUP BY 1""",
+        "heatmap": f"""{whole}, cover AS (SELECT DISTINCT o.read_index, unnest(range(least(99, floor(start / o.n * 100)::INTEGER), least(100, greatest(least(99, floor(start / o.n * 100)::INTEGER) + 1, floor(stop / o.n * 100)::INTEGER)))) AS bin FROM own o)
+          SELECT bucket, label, bin::INTEGER AS bin, count(*) AS reads FROM cover JOIN bucketed USING (read_index) GROUP BY ALL""",
+        "quality_levels": f"""{whole}, r AS (SELECT count(*) AS t, count_if(n >= 70 AND qs >= 12) AS a, count_if(label = 'full_structure') AS b, count_if(bucket = 'no_anchor') AS c, count_if(nf >= 0.1) AS d FROM bucketed)
+          SELECT 'long_high_quality_ratio' AS metric, round(a / t, 6) AS value, CASE WHEN a / t < 0.5 THEN 'fail' WHEN a / t < 0.7 THEN 'warn' ELSE 'pass' END AS status FROM r UNION ALL
+          SELECT 'correct_anchor_order_ratio', round(b / t, 6), CASE WHEN b / t < 0.5 THEN 'fail' WHEN b / t < 0.7 THEN 'warn' ELSE 'pass' END FROM r UNION ALL
+          SELECT 'no_anchor_ratio', round(c / t, 6), CASE WHEN c / t > 0.35 THEN 'fail' WHEN c / t > 0.2 THEN 'warn' ELSE 'pass' END FROM r UNION ALL
+          SELECT 'high_n_read_ratio', round(d / t, 6), CASE WHEN d / t > 0.2 THEN 'fail' WHEN d / t > 0.1 THEN 'warn' ELSE 'pass' END FROM r""",
+        "split_molecules": f"""{hits}, o AS (SELECT own.*, lead(anchor) OVER w AS after, lead(stop) OVER w AS until FROM own WINDOW w AS (PARTITION BY own.read_index ORDER BY start, stop, anchor)),
+          m AS (SELECT read_index, start, until, row_number() OVER (PARTITION BY read_index ORDER BY start) AS cycle FROM o WHERE anchor = 'left' AND after = 'right')
+          SELECT concat(read_id, '|cycle=', cycle) AS read_id, substr(CASE WHEN rev THEN reverse(translate(sequence, 'ACGTNacgtn', 'TGCANtgcan')) ELSE sequence END, start + 1, until - start) AS sequence, substr(oq, start + 1, until - start) AS quality
+          FROM m JOIN pair USING (read_index) WHERE label = 'concatemer_candidate'""",
+        "passed_reads": f"{whole} SELECT read_id, sequence, quality FROM bucketed WHERE bucket = 'pass'",
+        "oriented_reads": f"{hits} SELECT read_index, CASE WHEN rev THEN reverse(translate(sequence, 'ACGTNacgtn', 'TGCANtgcan')) ELSE sequence END AS oriented_sequence, oq AS oriented_quality FROM pair",
+        "tag_counts": f"""WITH {_TAGS} SELECT count(*) AS total_reads, count(CR) AS CR, count(CB) AS CB, 0::BIGINT AS CY, count(UR) AS UR, count(UB) AS UB, 0::BIGINT AS UY, count(pt) AS pt, count_if(XA = 'ambiguous')::BIGINT AS ambiguous
+          FROM t""",
+        "tag_distances": f"""WITH {_TAGS} SELECT levenshtein(CR, regexp_replace(CB, '-[0-9]+$', ''))::INTEGER AS distance, count(*) AS count, 'barcode' AS pair FROM t WHERE CR <> '' AND CB <> '' GROUP BY 1
+          UNION ALL SELECT levenshtein(UR, UB)::INTEGER, count(*), 'umi' FROM t WHERE UR <> '' AND UB <> '' GROUP BY 1""",
+        "tail_median": f"WITH {_TAGS} SELECT quantile_disc(pt::INTEGER, 0.5)::DOUBLE AS median FROM t WHERE pt::INTEGER >= 0",
+    }
