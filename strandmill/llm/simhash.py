@@ -175,12 +175,11 @@ def op4_simhash(spark, sf_dir: str) -> DataFrame:
 def keep_one(spark, docs: DataFrame, sf_dir: str, shingle: int = 5) -> DataFrame:
     """docs without near-duplicates: of each component the row with the smallest id stays, unchanged.
 
-    Shingles of five words. Rows without a word are not duplicates of one another and all stay; so do rows with a
-    null id. Of rows that repeat an id all stay or none.
+    Shingles of five words. Texts without a word have fingerprint zero and are one group, like any other. Rows with a
+    null id all stay, and group no others. Of rows that repeat an id all stay or none.
     """
     from .common import shared_dir
 
     shared_dir(spark)
-    worded = docs.where(F.length(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", "")) > 0)
-    drop = components(worded.where(F.col("doc_id").isNotNull()), shingle=shingle).where(F.col("doc_id") != F.col("component_id"))
+    drop = components(docs.where(F.col("doc_id").isNotNull()), shingle=shingle).where(F.col("doc_id") != F.col("component_id"))
     return docs.join(drop.select(F.col("doc_id").alias("_drop")).distinct(), F.col("doc_id") == F.col("_drop"), "left_anti")
