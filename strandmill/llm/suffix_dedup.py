@@ -211,8 +211,8 @@ def _slices(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
 def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[list[int], list[bytes]]]:
     keys, texts, held = [], [], 0
     for part in _slices(batch):
-        for key, text in zip(part.column("_row").to_pylist(), part.column("_text").to_pylist()):
-            keys.append(key)
+        for ident, text in zip(part.column("_id").to_pylist(), part.column("_text").to_pylist()):
+            keys.append(row_key(ident, text))
             texts.append(text)
             held += len(text)
             if held >= CHUNK:
@@ -374,10 +374,9 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 schema=pa.schema([pa.field("_row", pa.int64(), False), pa.field("_id", pa.int64()), pa.field("_text", pa.binary(), False)]),
             )
 
-    rows = docs.select(
-        F.col(id_col).cast("long").alias("_id"), F.encode(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "UTF-8").alias("_text")
-    ).mapInArrow(keyed, ROWS)
-    slim = rows.select("_row", "_text").where(F.length("_text") >= window)
+    bytes_ = docs.select(F.col(id_col).cast("long").alias("_id"), F.encode(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "UTF-8").alias("_text"))
+    rows = bytes_.mapInArrow(keyed, ROWS)
+    slim = bytes_.where(F.length("_text") >= window)
 
     # distinct regions of anchors that occur at least twice. A task's copies have been merged, so that a hot region is
     # a row a task; one exchange, by anchor, serves both aggregates
