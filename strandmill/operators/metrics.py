@@ -59,10 +59,9 @@ def median_of(hist: DataFrame, value: str, scale: float = 1.0) -> DataFrame:
 
 def lower_median_of(hist: DataFrame, value: str) -> DataFrame:
     """The lower of the two middle values; null if empty."""
-    w = Window.orderBy(value)  # over distinct values
-    total = hist.agg(F.sum("count").alias("_all"))
-    run = hist.withColumn("_to", F.sum("count").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    return run.join(F.broadcast(total), on=F.col("_to") > F.floor((F.col("_all") - 1) / 2)).agg(F.min(value).cast("double").alias("median"))
+    w = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)  # over distinct values
+    run = hist.select(value, F.sum("count").over(w).alias("_to"), F.sum("count").over(Window.partitionBy()).alias("_all"))
+    return run.where(F.col("_to") > F.floor((F.col("_all") - 1) / 2)).agg(F.min(value).cast("double").alias("median"))
 
 
 def n50_of(hist: DataFrame, value: str = "length") -> DataFrame:
@@ -73,12 +72,21 @@ def n50_of(hist: DataFrame, value: str = "length") -> DataFrame:
     return run.where(F.col("_to") * 2 >= F.col("_all")).agg(F.coalesce(F.max(value), F.lit(0)).alias("n50"))
 
 
+def length_summary(hist: DataFrame) -> DataFrame:
+    """N50, median and lower median of a histogram of lengths, in one row."""
+    parts = (n50_of(hist), median_of(hist, "length"), lower_median_of(hist, "length").withColumnRenamed("median", "lower_median"))
+    named = [p.select(F.lit(p.columns[0]).alias("what"), F.col(p.columns[0]).cast("double").alias("value")) for p in parts]
+    rows = named[0].unionByName(named[1]).unionByName(named[2])
+    pick = lambda name: F.max(F.when(F.col("what") == name, F.col("value"))).alias(name)
+    return rows.agg(pick("n50").cast("int").alias("n50"), pick("median"), pick("lower_median"))
+
+
 def counts_by(df: DataFrame, *columns: str) -> DataFrame:
     return df.groupBy(*columns).agg(F.count(F.lit(1)).alias("count"), F.min("read_index").alias("first"))
 
 
-def totals(df: DataFrame, s: Settings) -> DataFrame:
-    """One row: numbers of reads and bases, lengths, and reads that meet each condition."""
+def totals(df: DataFrame, s: Settings, *more: Column) -> DataFrame:
+    """One row: numbers of reads and bases, lengths, reads that meet each condition, and further aggregates."""
     t = s.thresholds
     far = t.terminal_anchor_max_offset
     return df.agg(
@@ -88,7 +96,7 @@ def totals(df: DataFrame, s: Settings) -> DataFrame:
         F.count_if((F.col("length") >= t.long_read_min_bp) & (F.col("read_qscore") >= t.long_read_min_q)).alias("long_high_quality"),
         F.count_if(F.col("five_prime_offset") > far).alias("five_prime_truncated"), F.count_if(F.col("three_prime_offset") > far).alias("three_prime_truncated"),
         F.count_if(F.col("n_fraction") >= t.high_n_fraction).alias("high_n"), F.count_if(F.col("invalid_fraction") > 0).alias("invalid_bases"),
-        F.count_if(F.size("molecules") > 0).alias("concatemer_parents"), F.coalesce(F.sum(F.size("molecules")), F.lit(0)).alias("molecules"),
+        F.count_if(F.size("molecules") > 0).alias("concatemer_parents"), F.coalesce(F.sum(F.size("molecules")), F.lit(0)).alias("molecules"), *more,
     )
 
 

@@ -170,14 +170,14 @@ def anchor_stats(spark, sf_dir):
 
 def length_stats(spark, sf_dir):
     h = M.length_histogram(reads(spark, sf_dir).withColumn("length", F.length("sequence")))
-    return M.n50_of(h).crossJoin(F.broadcast(M.median_of(h, "length"))).crossJoin(F.broadcast(M.lower_median_of(h, "length").withColumnRenamed("median", "lower_median")))  # one row each
+    return M.length_summary(h)
 
 
 def quality_levels(spark, sf_dir):
     """The run's verdicts as rows."""
     s = query_settings()
     t, far = s.thresholds, annotated(spark, sf_dir)
-    row = M.totals(far, s).crossJoin(F.broadcast(far.agg(F.count_if(F.col("bucket") == "no_anchor").alias("no_anchor"))))  # one row each
+    row = M.totals(far, s, F.count_if(F.col("bucket") == "no_anchor").alias("no_anchor"))
     n = F.col("total_reads")
     parts = [
         F.struct(F.lit(name).alias("metric"), F.round(C.share(part, n), 6).alias("value"), C.level(C.share(part, n), getattr(t, f"warn_{limit}_ratio"), getattr(t, f"fail_{limit}_ratio"), up).alias("status"))
