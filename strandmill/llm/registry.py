@@ -22,6 +22,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict:
     return {
+        "op1_suffix_dedup": suffix_dedup.OP1_SQL,
         "op2_url_filter": url_filter.op2_sql(),
         "op3_warc": warc.OP3_SQL,
         "op5_sharding": sharding.OP5_SQL,

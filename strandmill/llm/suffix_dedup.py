@@ -445,3 +445,19 @@ def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:
             )
 
     return found.mapInArrow(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+#: On hexadecimal text, two characters a byte. Equal strings are found by their digests.
+OP1_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT r, i, md5(substr(h, 2 * i + 1, 400)) AS k FROM (SELECT r, h, unnest(range(0, greatest(n - 199, 0))) AS i FROM d)),
+twice AS (SELECT k FROM w GROUP BY k HAVING count(*) > 1),
+hit AS (SELECT r, i, coalesce(i > lag(i) OVER (PARTITION BY r ORDER BY i) + 200, true) AS fresh FROM w SEMI JOIN twice USING (k)),
+numbered AS (SELECT r, i, sum(fresh::INTEGER) OVER (PARTITION BY r ORDER BY i) AS span FROM hit),
+spans AS (SELECT r, min(i) AS s, max(i) + 200 AS e FROM numbered GROUP BY r, span),
+pieces AS (SELECT r, s, e, coalesce(lag(e) OVER (PARTITION BY r ORDER BY s), 0) AS b FROM spans),
+kept AS (SELECT p.r, count(*) AS k, sum(e - s) AS gone, string_agg(substr(h, 2 * b + 1, 2 * (s - b)), '' ORDER BY s) || substr(any_value(h), 2 * max(e) + 1) AS left_over
+  FROM pieces p JOIN d ON d.r = p.r GROUP BY p.r)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(k, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(left_over, h))) AS kept_sha256
+FROM d LEFT JOIN kept ON d.r = kept.r
+"""
