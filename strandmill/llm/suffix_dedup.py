@@ -27,7 +27,7 @@ WINDOW, GRAM = 200, 56
 #: Bytes of text handled as one array, and anchors a task holds back to merge copies.
 CHUNK, HELD = 1 << 20, 1 << 18
 #: Bytes of regions whose suffixes are sorted together (small enough for a core's cache); an anchor's regions stay together.
-SORT_BYTES = 32 << 10
+SORT_BYTES = 12 << 10
 #: An anchor with more distinct regions than this has them split by windows' distance to it, in steps of STEP, and by
 #: what the windows of a step have in common.
 MOST_REGIONS, STEP = 1 << 14, 16
