@@ -6,6 +6,8 @@ integer weights in the plan; urls are judged with built-in column functions only
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -51,6 +53,7 @@ def _grams(text: str, salt: int) -> list[int]:
     return out
 
 
+@lru_cache(maxsize=4)
 def fit_weights(labelled=LABELLED_URLS, rounds: int = 3000, rate: float = 60.0, ridge: float = 1e-4) -> tuple[int, list[int]]:
     """Bias and weights, times SCALE and rounded, of a logistic regression on mean n-gram counts.
 
@@ -62,12 +65,14 @@ def fit_weights(labelled=LABELLED_URLS, rounds: int = 3000, rate: float = 60.0,
         grams = _grams(host, HOST_SALT) + _grams(path, PATH_SALT)
         np.add.at(x[i], grams, 1.0 / max(1, len(grams)))
     y = np.array([label for _, label in labelled], float)
-    w, b = np.zeros(BUCKETS), 0.0
+    # the weights stay a combination of the rows, so steps are taken on its coefficients: a few hundred numbers
+    products = np.einsum("ik,jk->ij", x, x)
+    a, b = np.zeros(len(y)), 0.0
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-(x @ w + b)))
-        g = p - y
-        w -= rate * (x.T @ g / len(y) + ridge * w)
+        g = 1 / (1 + np.exp(-((products * a).sum(1) + b))) - y
+        a -= rate * (g / len(y) + ridge * a)
         b -= 0.1 * rate * g.mean()
+    w = (x * a[:, None]).sum(0)
     return int(round(b * SCALE)), [int(v) for v in np.rint(w * SCALE)]
 
 
