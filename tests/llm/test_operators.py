@@ -287,7 +287,7 @@ def brute_lines(rows, least=5):
     return gone
 
 
-def test_lines_are_brute_force(spark):
+def test_lines_are_brute_force(spark, monkeypatch):
     rng = random.Random(8)
     base = [words(rng, rng.choice([5, 6, 9, 20, 45, 150]), 300) for _ in range(25)]
     rows = []
@@ -302,9 +302,12 @@ def test_lines_are_brute_force(spark):
     rows += [(100, None), (101, ""), (102, "a b\nshort"), (103, "\n\n"), (None, base[0]), (9, rows[29][1])]
     got = line_dedup.similar_lines(frame(spark, rows))
     assert {(r._doc, r._no) for r in got.collect()} == brute_lines(rows)
-    kept = {(r.doc_id, r.text) for r in line_dedup.dedup_lines(frame(spark, rows)).collect()}
     gone = brute_lines(rows)
-    assert kept == {(d, None if t is None else "\n".join(x for no, x in enumerate(t.split("\n")) if (d, no) not in gone)) for d, t in rows}
+    want = {(d, None if t is None else "\n".join(x for no, x in enumerate(t.split("\n")) if (d, no) not in gone)) for d, t in rows}
+    for bound in (32 << 20, 0):
+        monkeypatch.setattr(line_dedup, "BROADCAST_BYTES", bound)
+        assert {(r.doc_id, r.text) for r in line_dedup.dedup_lines(frame(spark, rows)).collect()} == want
+    assert want == {(d, None if t is None else "\n".join(x for no, x in enumerate(t.split("\n")) if (d, no) not in gone)) for d, t in rows}
     assert line_dedup.dedup_lines(frame(spark, rows)).columns == frame(spark, rows).columns
     assert line_dedup.dedup_lines(frame(spark, rows).limit(0)).count() == 0
 
