@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import connected_components, table
 
-#: The query's contract: four words a shingle, four bits. Near-duplicates in the pipeline: see keep_one.
+#: The query's contract: four words a shingle, four bits. The pipeline's near-duplicates are found otherwise: see keep_one.
 SHINGLE, BITS, SEED = 4, 4, 42
 #: Ends of the segments: BITS + 1 of them, of 13 or 12 bits, so that at least one is equal.
 SEGMENTS = ((0, 13), (13, 26), (26, 39), (39, 52), (52, 64))
@@ -25,19 +25,24 @@ SEGMENTS = ((0, 13), (13, 26), (26, 39), (39, 52), (52, 64))
 BLOCK = 1024
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """The text's fingerprint; bit k of 64 is set if set in over half the hashes of its shingles."""
+def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """The hash of each of the text's shingles in turn; of fewer words than a shingle, that of all."""
     words = (text or "").encode("utf-8").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     hash_ = xxhash.xxh64_intdigest
     if len(words) <= shingle:
-        return hash_(joined, SEED)
+        return np.array([hash_(joined, SEED)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     starts = np.concatenate(([0], ends[:-1]))
     lo, hi = starts[: len(words) - shingle + 1].tolist(), (ends[shingle - 1 :] - 1).tolist()
-    hashes = np.array([hash_(joined[a:b], SEED) for a, b in zip(lo, hi)], np.uint64)
+    return np.array([hash_(joined[a:b], SEED) for a, b in zip(lo, hi)], np.uint64)
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """The text's fingerprint; bit k of 64 is set if set in over half the hashes of its shingles."""
+    hashes = shingle_hashes(text, shingle)
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         part = hashes[at : at + (1 << 16)]
@@ -152,16 +157,21 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     table: empty result. Other columns are ignored.
     """
     prints = with_fingerprints(docs, id_col, text_col, shingle).checkpoint()  # 16 bytes a row; hashed once
+    by_print = _named(prints, fingerprint_links(prints), id_col)
+    return prints.join(by_print, "_fp").select(
+        id_col, F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id"
+    )
+
+
+def _named(prints: DataFrame, links: DataFrame, id_col: str) -> DataFrame:
+    """(_fp, component_id) of every distinct _fp: the smallest id that links reach."""
     # a node for each distinct fingerprint, under the order of fingerprints; ids come in at the end
     nodes = prints.select(F.col("_fp").alias("node")).distinct()
-    rooted = connected_components(nodes, fingerprint_links(prints))
+    rooted = connected_components(nodes, links)
     least = prints.groupBy(F.col("_fp").alias("node")).agg(F.min(id_col).alias("_least"))
     named = rooted.join(least, "node")
     component = named.groupBy("root").agg(F.min("_least").alias("component_id"))
-    by_print = named.select(F.col("node").alias("_fp"), "root").join(component, "root").select("_fp", "component_id")
-    return prints.join(by_print, "_fp").select(
-        id_col, F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    return named.select(F.col("node").alias("_fp"), "root").join(component, "root").select("_fp", "component_id")
 
 
 def op4_simhash(spark, sf_dir: str) -> DataFrame:
@@ -175,11 +185,17 @@ def op4_simhash(spark, sf_dir: str) -> DataFrame:
 def keep_one(spark, docs: DataFrame, sf_dir: str, shingle: int = 5) -> DataFrame:
     """docs without near-duplicates: of each component the row with the smallest id stays, unchanged.
 
-    Shingles of five words. Texts without a word have fingerprint zero and are one group, like any other. Rows with a
-    null id all stay, and group no others. Of rows that repeat an id all stay or none.
+    Rows are linked if their sets of five-word shingles have a Jaccard similarity of at least 0.8: all such pairs, by
+    an exact join, as at that similarity fingerprints differ in too many bits to meet by. Texts without a word have
+    the empty set and are one group; fewer words than a shingle are one shingle. Rows with a null id all stay, and
+    group no others. Of rows that repeat an id all stay or none.
     """
     from .common import shared_dir
+    from .shingle_sets import sets_of, shingle_links
 
     shared_dir(spark)
-    drop = components(docs.where(F.col("doc_id").isNotNull()), shingle=shingle).where(F.col("doc_id") != F.col("component_id"))
+    typed = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    prints = sets_of(typed, "doc_id", "text", shingle).checkpoint()
+    by_print = _named(prints, shingle_links(typed, prints, "doc_id", "text", shingle), "doc_id")
+    drop = prints.join(by_print, "_fp").where(F.col("doc_id") != F.col("component_id"))
     return docs.join(drop.select(F.col("doc_id").alias("_drop")).distinct(), F.col("doc_id") == F.col("_drop"), "left_anti")
