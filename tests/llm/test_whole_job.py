@@ -1,8 +1,9 @@
 """Cases that a shorter way of doing an operator's job would miss."""
 
 import random
+import re
 
-from strandmill.llm import simhash
+from strandmill.llm import line_dedup, simhash
 
 
 def words(rng, n, vocabulary=4000):
@@ -57,3 +58,29 @@ def test_near_copies_of_similarity_0_8(spark):
     assert sorted(d for d in kept if d is not None) == brute_kept(rows)
     near = [rows[8], (rows[8][0] + 5, rows[8][1])]
     assert len(brute_kept(near)) == 1
+
+
+# ---------------------------------------------------------------- 8, short lines
+
+
+def brute_gone(rows):
+    """(document, line number) of lines with words that an earlier one is similar to, of however few words."""
+    lines = []
+    for d, t in rows:
+        for no, line in enumerate(t.split("\n")):
+            w = {x for x in re.split(r"[\x20\x09-\x0D]+", line) if x}
+            if w:
+                lines.append((d, no, w))
+    return {a[:2] for a in lines for b in lines if b[:2] < a[:2] and 9 * len(a[2] & b[2]) >= 4 * (len(a[2]) + len(b[2]))}
+
+
+def test_short_lines_go(spark):
+    rng = random.Random(32)
+    rows = [(1, "All rights reserved.\n\t\n\nLes."), (2, "Les.\nall rights reserved.\n\t\n"), (3, "reserved.  rights All\nLes. Les.")]
+    # four of five words are similar, three of four aren't
+    rows += [(4, "p q r s"), (5, "p q r s t\np q r"), (6, "long " * 80), (7, "long"), (8, "t s r q p")]
+    rows += [(10 + i, "\n".join(" ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(0, 7))) for _ in range(6))) for i in range(40)]
+    got = {(r._doc, r._no) for r in line_dedup.similar_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = brute_gone(rows)
+    assert got == want
+    assert {(2, 0), (3, 0), (3, 1), (5, 0), (7, 0)} <= want and (5, 1) not in want and (2, 2) not in want
