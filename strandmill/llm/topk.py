@@ -21,15 +21,17 @@ SCALE, K, QUERIES_ONE_IN = 256, 5, 50
 BUCKET, ROWS_A_CELL, QUERIES_A_CELL = 2048, 65_536, 4096
 #: From this bound on the cosine on, coordinates prune before products are taken.
 HIGH_COSINE = 0.6
-#: Components beyond this would make products inexact; such vectors take no part, like non-finite ones.
-LARGEST = float(1 << 22)
+#: Products are exact as long as no sum of them can reach this; beyond, they are a filter and scores are Python integers.
+EXACT = float(1 << 53)
 
 
 def top_in_cell(q_ids: np.ndarray, q: np.ndarray, v_ids: np.ndarray, v: np.ndarray, k: int = K, stats: dict | None = None) -> list[tuple[int, int, int]]:
     """(query id, vector id, score) of each query's k best vectors here, itself left out, ties to smaller ids.
 
-    q and v: integer-valued float64 matrices, so that products are exact.
+    q and v: integer-valued float64 matrices. Where their products may be inexact, see :func:`top_of_large`.
     """
+    if q.size and v.size and not _least_sum(q, v) < EXACT:
+        return top_of_large(q_ids, q, v_ids, v, k)
     norms = np.sqrt((v * v).sum(1))
     order = np.lexsort((v_ids, -norms))
     v_ids, v, norms = v_ids[order], v[order], norms[order]
@@ -71,6 +73,43 @@ def top_in_cell(q_ids: np.ndarray, q: np.ndarray, v_ids: np.ndarray, v: np.ndarr
     return [(int(q_ids[i]), int(best_ids[i, n]), int(best[i, n])) for i in range(len(q)) for n in range(k) if best[i, n] > -np.inf]
 
 
+def _least_sum(q: np.ndarray, v: np.ndarray) -> float:
+    """A bound on every partial sum of products and of squares."""
+    with np.errstate(over="ignore"):
+        return q.shape[1] * max(np.abs(q).max(), np.abs(v).max()) ** 2
+
+
+def top_of_large(q_ids: np.ndarray, q: np.ndarray, v_ids: np.ndarray, v: np.ndarray, k: int) -> list[tuple[int, int, int]]:
+    """As :func:`top_in_cell`, of components of any size: float products with their error bound choose, integers score.
+
+    Each float product of the scaled matrices is within an error of the exact one that goes with its vector's largest
+    component; only vectors that this leaves among the k best are multiplied as integers.
+    """
+    found = []
+    # one scale for all candidates, so that products compare
+    qs, vs = np.ldexp(q, -np.frexp(np.abs(q).max(1))[1][:, None]), np.ldexp(v, -np.frexp(np.abs(v).max())[1])
+    dim = v.shape[1]
+    # of the rounding of products and their sums, and of components that fall below the least float
+    error = dim * (4 * dim * 2.0**-53 * np.abs(vs).max(1) + 2.0**-1000)
+    for i in range(len(q)):
+        others = np.nonzero(v_ids != q_ids[i])[0]
+        about, off = vs[others] @ qs[i], error[others]
+        if len(others) > k:
+            others = others[about + off >= np.partition(about - off, -k)[-k]]
+        ints = [int(x) for x in q[i].tolist()]
+        scores = [(-sum(x * int(y) for x, y in zip(ints, v[j].tolist())), int(v_ids[j])) for j in others.tolist()]
+        found += [(int(q_ids[i]), c, -n) for n, c in sorted(scores)[:k]]
+    return found
+
+
+def score_key(score: int) -> bytes:
+    """Bytes that sort as the integers do: its sign and length, then its magnitude, turned round below zero."""
+    m = abs(score)
+    b = m.to_bytes((m.bit_length() + 7) // 8, "big")
+    b = len(b).to_bytes(2, "big") + b
+    return b"\1" + b if score >= 0 else b"\0" + bytes(255 - x for x in b)
+
+
 def _merge(i: int, q_ids, ids: np.ndarray, scores: np.ndarray, best: np.ndarray, best_ids: np.ndarray) -> None:
     own = ids != q_ids[i]
     ids, scores = np.concatenate([best_ids[i], ids[own]]), np.concatenate([best[i], scores[own]])
@@ -83,10 +122,18 @@ def _merge(i: int, q_ids, ids: np.ndarray, scores: np.ndarray, best: np.ndarray,
 
 
 def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: int = SCALE) -> DataFrame:
-    """(vec_id, x, n): components floor(scale * x) as doubles, without vectors that take no part, and their length squared."""
-    x = F.transform(F.col(vector_col), lambda v: F.floor(v.cast("double") * scale).cast("double"))
+    """(vec_id, x, n): components floor(scale * x) as doubles, without vectors that take no part, and their length squared.
+
+    Doubles from 2^52 on are integers, which a 64-bit floor would cut off. Lengths may be infinite; they only deal rows.
+    """
+
+    def floor(v):
+        y = v.cast("double") * scale
+        return F.when(F.abs(y) < EXACT, F.floor(y).cast("double")).otherwise(y)
+
+    x = F.transform(F.col(vector_col), floor)
     fine = F.col(vector_col).isNotNull() & F.coalesce(
-        F.forall(F.col(vector_col), lambda v: v.isNotNull() & ~F.isnan(v.cast("double")) & (F.abs(v.cast("double")) <= LARGEST / scale)), F.lit(False)
+        F.forall(F.col(vector_col), lambda v: v.isNotNull() & ~F.isnan(v.cast("double")) & (F.abs(v.cast("double")) < float("inf"))), F.lit(False)
     )
     kept = vectors.where(fine & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), x.alias("x"))
     return kept.withColumn("n", F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v))
@@ -98,8 +145,8 @@ def top_products(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     Queries are the rows whose id is divisible by one_in. Cells of so many rows, by ranges of length, and so many
     queries are searched each in a task of its own; the k best of each cell are merged by a window over k rows a cell.
 
-    Vectors that are null, hold a null or non-finite component, or one beyond LARGEST / scale, and rows with a null
-    id take no part. Vectors of different dimension aren't compared. Rows that repeat an id are candidates each, but
+    Vectors that are null or hold a null or non-finite component, and rows with a null id take no part. Scores rank
+    exactly however large; one beyond 64 bits is given as null, at its rank. Components of over 2^1024 / scale raise. Vectors of different dimension aren't compared. Rows that repeat an id are candidates each, but
     not for queries of their own id; a query id that repeats is answered over all its rows' vectors. Empty vectors
     score 0. Empty table: empty result. Other columns are ignored.
     """
@@ -119,9 +166,9 @@ def top_products(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     cells = candidates.select("cell").distinct().agg(F.collect_list("cell").alias("c")).first().c
     asked = asked.withColumn("cell", F.explode(F.array(*map(F.lit, cells)) if cells else F.lit(None).cast("array<int>")))
     found = (
-        asked.groupBy("cell", "block").cogroup(candidates.groupBy("cell", "block")).applyInPandas(_cell(k), "query_id long, vec_id long, score long")
+        asked.groupBy("cell", "block").cogroup(candidates.groupBy("cell", "block")).applyInPandas(_cell(k), "query_id long, vec_id long, score long, _key binary")
     )
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query_id").orderBy(F.desc("_key"), "vec_id")
     return (
         found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
     )
@@ -135,8 +182,16 @@ def _cell(k: int):
             mine = rows[dims == dim]
             if len(mine):
                 shape = lambda f: np.array(f["x"].tolist(), np.float64).reshape(len(f), dim)
-                found += top_in_cell(part["vec_id"].to_numpy(np.int64), shape(part), mine["vec_id"].to_numpy(np.int64), shape(mine), k)
-        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype("int64")
+                q, v = shape(part), shape(mine)
+                if not (np.isfinite(q).all() and np.isfinite(v).all()):
+                    raise ValueError("a finite component is beyond a double when scaled")
+                found += top_in_cell(part["vec_id"].to_numpy(np.int64), q, mine["vec_id"].to_numpy(np.int64), v, k)
+        fits = lambda n: n if -(1 << 63) <= n < 1 << 63 else None
+        q_ids, v_ids, scores = zip(*found) if found else ((), (), ())
+        return pd.DataFrame({
+            "query_id": pd.Series(q_ids, dtype="int64"), "vec_id": pd.Series(v_ids, dtype="int64"),
+            "score": pd.Series([fits(n) for n in scores], dtype="Int64"), "_key": pd.Series([score_key(n) for n in scores], dtype="object"),
+        })
 
     return run
 

@@ -3,7 +3,10 @@
 import random
 import re
 
-from strandmill.llm import line_dedup, simhash
+import numpy as np
+import pytest
+
+from strandmill.llm import line_dedup, simhash, topk
 
 
 def words(rng, n, vocabulary=4000):
@@ -84,3 +87,30 @@ def test_short_lines_go(spark):
     want = brute_gone(rows)
     assert got == want
     assert {(2, 0), (3, 0), (3, 1), (5, 0), (7, 0)} <= want and (5, 1) not in want and (2, 2) not in want
+
+
+# ---------------------------------------------------------------- 10, large components
+
+
+@pytest.mark.parametrize("cell", [65_536, 100])
+def test_large_vectors_take_part(spark, monkeypatch, cell):
+    monkeypatch.setattr(topk, "ROWS_A_CELL", cell)
+    rng = np.random.default_rng(33)
+    sizes = [1, 3e4, 16384.5, 1e6, 1e12, 1e30, 3e38]
+    rows = [(i, [float(np.float32(x)) for x in rng.uniform(-1, 1, 9) * sizes[i % 7 if i % 4 else 0]]) for i in range(300)]
+    rows += [(i, [float(np.float32(x)) for x in rng.uniform(-1, 1, 4) * sizes[i % 4]]) for i in range(300, 420)]
+    rows[8], rows[9] = (8, rows[50][1]), (9, rows[50][1])
+    ints = [(i, [int(np.floor(np.float64(x) * 256)) for x in v]) for i, v in rows]
+    want = set()
+    for q, a in ints:
+        if q % 50 == 0:
+            best = sorted((-sum(x * y for x, y in zip(a, b)), c) for c, b in ints if c != q and len(a) == len(b))[:5]
+            want |= {(q, n + 1, c, -s if abs(s) < 1 << 63 else None) for n, (s, c) in enumerate(best)}
+    got = topk.top_products(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    assert {tuple(r) for r in got.collect()} == want
+    assert any(s is None for *_, s in want) and any(s is not None for *_, s in want)
+
+
+def test_score_keys_sort_as_scores():
+    scores = [s * (1 << n) + d for n in (0, 7, 8, 62, 63, 64, 300) for s in (-1, 1) for d in (-1, 0, 1)]
+    assert sorted(scores) == sorted(scores, key=topk.score_key)
