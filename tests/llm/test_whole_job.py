@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pytest
 
-from strandmill.llm import line_dedup, simhash, topk
+from strandmill.llm import line_dedup, simhash, spm_codec, topk
 
 
 def words(rng, n, vocabulary=4000):
@@ -114,3 +114,13 @@ def test_large_vectors_take_part(spark, monkeypatch, cell):
 def test_score_keys_sort_as_scores():
     scores = [s * (1 << n) + d for n in (0, 7, 8, 62, 63, 64, 300) for s in (-1, 1) for d in (-1, 0, 1)]
     assert sorted(scores) == sorted(scores, key=topk.score_key)
+
+
+# ---------------------------------------------------------------- 6, parity
+
+
+def test_every_text_is_verified(spark, tmp_path):
+    rows = [(i, f"text {i}, été") for i in range(40)] + [(40, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.parity for r in spm_codec.op6_sentencepiece(spark, str(tmp_path)).collect()}
+    assert got.pop(40) is None and all(got.values())
