@@ -272,7 +272,7 @@ def test_quality_on_held_out_rows(spark):
 # ---------------------------------------------------------------- 8
 
 
-def brute_lines(rows, least=5):
+def brute_lines(rows, least=1):
     lines = []
     for d, t in rows:
         for no, line in enumerate((t or "").split("\n")):
@@ -304,15 +304,18 @@ def test_lines_are_brute_force(spark, monkeypatch):
     assert {(r._doc, r._no) for r in got.collect()} == brute_lines(rows)
     gone = brute_lines(rows)
     want = {(d, None if t is None else "\n".join(x for no, x in enumerate(t.split("\n")) if (d, no) not in gone)) for d, t in rows}
-    for bound in (32 << 20, 0):
+    for bound, hot in ((32 << 20, 1 << 16), (0, 1 << 16), (0, 3)):
         monkeypatch.setattr(line_dedup, "BROADCAST_BYTES", bound)
+        monkeypatch.setattr(line_dedup, "HOT_WORD", hot)
         assert {(r.doc_id, r.text) for r in line_dedup.dedup_lines(frame(spark, rows)).collect()} == want
     assert want == {(d, None if t is None else "\n".join(x for no, x in enumerate(t.split("\n")) if (d, no) not in gone)) for d, t in rows}
     assert line_dedup.dedup_lines(frame(spark, rows)).columns == frame(spark, rows).columns
     assert line_dedup.dedup_lines(frame(spark, rows).limit(0)).count() == 0
 
 
-def test_large_group_of_near_copies(spark):
+@pytest.mark.parametrize("hot", [1 << 16, 2])
+def test_large_group_of_near_copies(spark, monkeypatch, hot):
+    monkeypatch.setattr(line_dedup, "HOT_WORD", hot)  # words of more occurrences have several slots
     rng = random.Random(9)
     line = words(rng, 60).split()
     rows = []
@@ -323,6 +326,22 @@ def test_large_group_of_near_copies(spark):
     assert {(r._doc, r._no) for r in line_dedup.similar_lines(frame(spark, rows)).collect()} == {(i, 0) for i in range(1, 150)}
 
 
+def test_lines_whose_neighbour_fails_meet_the_others(spark, monkeypatch):
+    """A test so loose that neighbours are chosen that aren't similar: their lines must still find those that are."""
+    monkeypatch.setattr(line_dedup, "_must_be", lambda x, y, num, den: line_dedup._both(x, y) >= 0)
+    rng = random.Random(10)
+    base = [words(rng, 30, 60) for _ in range(12)]
+    rows = [(i, "\n".join(" ".join({**dict(enumerate(b.split())), rng.randrange(30): f"z{i}"}.values()) for b in rng.sample(base, 3))) for i in range(40)]
+    assert {(r._doc, r._no) for r in line_dedup.similar_lines(frame(spark, rows)).collect()} == brute_lines(rows)
+
+
+def test_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "a b c\nd", 1, 2, "x", "y"), (2, "a b c", 3, 4, "x", None)], "doc_id long, text string, _doc int, _gone int, _row string, _text string")
+    got = line_dedup.dedup_lines(docs)
+    assert got.columns == docs.columns
+    assert {tuple(r) for r in got.collect()} == {(1, "a b c\nd", 1, 2, "x", "y"), (2, "", 3, 4, "x", None)}
+
+
 # ---------------------------------------------------------------- 9
 
 
