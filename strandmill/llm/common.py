@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,17 +14,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with as many more underscores as it takes to be none of the columns'."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the session leaves it unset (a local test), a temporary folder is set for the session.
+    Where a local session leaves it unset (a test), a temporary folder is set for the session; on a cluster, where
+    executors would not share that folder, this is an error.
     """
     sc = spark.sparkContext
     set_now = sc._jsc.sc().getCheckpointDir()
     if set_now.isDefined():
         # Spark appends an id of its own to the folder that was set
         return set_now.get()
-    path = sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="strandmill-")
+    path = sc.getConf().get("spark.checkpoint.dir")
+    if not path:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        path = tempfile.mkdtemp(prefix="strandmill-")
     sc.setCheckpointDir(path)
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -43,6 +57,15 @@ def stored(df: DataFrame, what: str, partition_by: list[str] | None = None) -> D
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Stored tables of at most so many bytes are broadcast; larger ones are shuffled.
+BROADCAST_BYTES = 32 << 20
+
+
+def small(df: DataFrame, row_bytes: int, most: int = BROADCAST_BYTES) -> DataFrame:
+    """A stored table, to be broadcast if its rows, of about so many bytes each, are within the bound."""
+    return F.broadcast(df) if df.count() * row_bytes <= most else df
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)

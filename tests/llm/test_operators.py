@@ -328,7 +328,8 @@ def test_large_group_of_near_copies(spark, monkeypatch, hot):
 
 def test_lines_whose_neighbour_fails_meet_the_others(spark, monkeypatch):
     """A test so loose that neighbours are chosen that aren't similar: their lines must still find those that are."""
-    monkeypatch.setattr(line_dedup, "_must_be", lambda x, y, num, den: line_dedup._both(x, y) >= 0)
+    monkeypatch.setattr(line_dedup, "_near", lambda x, y, num, den: line_dedup.F.coalesce(line_dedup._both(x, y) >= 0, line_dedup.F.lit(False)))
+    monkeypatch.setattr(line_dedup, "GROUP", 1)
     rng = random.Random(10)
     base = [words(rng, 30, 60) for _ in range(12)]
     rows = [(i, "\n".join(" ".join({**dict(enumerate(b.split())), rng.randrange(30): f"z{i}"}.values()) for b in rng.sample(base, 3))) for i in range(40)]
@@ -345,6 +346,12 @@ def test_columns_of_any_name(spark):
 # ---------------------------------------------------------------- 9
 
 
+def test_masks_miss_no_short_item():
+    for n in range(decontaminate.SHORT, decontaminate.WINDOW):
+        for a in range(n):
+            assert any(a not in {s + k for k, c in enumerate(m) if c == "1"} for m in decontaminate.MASKS for s in range(n - len(m) + 1)), (n, a)
+
+
 def test_masks_miss_no_window():
     for a, b in itertools.combinations(range(decontaminate.WINDOW), 2):
         differ = {a, b}
@@ -356,11 +363,11 @@ def test_masks_miss_no_window():
 @pytest.mark.parametrize("block", [4 << 20, 300])
 def test_overlaps(spark, block):
     rng = random.Random(10)
-    items = [(k, words(rng, n)) for k, n in enumerate([13, 30, 60, 8, 5, 4, 20, 1])] + [(90, None), (91, ""), (None, words(rng, 15))]
+    items = [(k, words(rng, n)) for k, n in enumerate([13, 30, 60, 8, 5, 4, 20, 1, 12, 7, 2])] + [(90, None), (91, ""), (None, words(rng, 15))]
     docs, want = [], set()
     for i in range(80):
         t = words(rng, rng.randrange(0, 40)).split()
-        k, item = items[i % 8]
+        k, item = items[i % 11]
         w = item.split()
         wrong = rng.sample(range(len(w)), min(len(w), rng.choice([0, 1, 2, 3])))
         at = rng.randrange(len(t) + 1)
@@ -371,9 +378,9 @@ def test_overlaps(spark, block):
         dw = [x.strip(",").lower() for x in (t or "").split()]
         for k, item in items:
             w = (item or "").split()
-            if len(w) < 5:
+            if not w:
                 continue
-            span, need = (13, 11) if len(w) >= 13 else (len(w), len(w))
+            span, need = (13, 11) if len(w) >= 13 else (len(w), len(w) - (len(w) >= 8))
             for shift in range(-len(w), len(dw)):
                 same = [0 <= shift + j < len(dw) and dw[shift + j] == w[j] for j in range(len(w))]
                 if any(sum(same[s : s + span]) >= need for s in range(len(w) - span + 1)):
