@@ -14,13 +14,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import free_name, table
 
 #: 1: the word counts, 0: it is ignored. Together they miss no window of WINDOW words with NEEDED of them equal.
 MASKS = ("11111", "111101", "101111")
 WINDOW, NEEDED = 13, 11
-#: Items of fewer words are not looked for; those of fewer than WINDOW words must occur whole and unchanged.
-LEAST_WORDS = 5
+#: Of items of fewer words than WINDOW one may differ from SHORT words on, which the masks don't miss either; below, none.
+SHORT = 8
+#: Items of so few words that no mask fits are looked for by all of their words.
+TINY = 4
 #: The benchmark is broadcast in blocks of at most so many bytes of text, one pass over the documents each.
 BLOCK_BYTES = 4 << 20
 
@@ -31,16 +33,16 @@ def word_hashes(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _seeds(words: Column, at: Column, length: Column, masks) -> Column:
+def _seeds(words: Column, at: Column, length: Column, masks: dict[int, str]) -> Column:
     """An array of (mask's number, hash) at a position; null where the mask doesn't fit."""
     out = []
-    for k, mask in enumerate(masks):
+    for k, mask in masks.items():
         picked = [F.get(words, at + i) for i, c in enumerate(mask) if c == "1"]
         out.append(F.when(at + len(mask) <= length, F.struct(F.lit(k).alias("mask"), F.xxhash64(F.lit(k), *picked).alias("seed"))))
     return F.array(*out)
 
 
-def _seeded(df: DataFrame, keep: list[str], at: str, words: str, masks) -> DataFrame:
+def _seeded(df: DataFrame, keep: list[str], at: str, words: str, masks: dict[int, str]) -> DataFrame:
     positions = df.select(*keep, F.col(words), F.posexplode_outer(words).alias(at, "_w"))
     return positions.select(*keep, words, at, F.explode(_seeds(F.col(words), F.col(at), F.size(words), masks)).alias("_s")).where(
         F.col("_s").isNotNull()
@@ -48,7 +50,7 @@ def _seeded(df: DataFrame, keep: list[str], at: str, words: str, masks) -> DataF
 
 
 def _needed(n: Column, window: int, needed: int) -> Column:
-    return F.when(n < window, n).otherwise(F.lit(needed))
+    return F.when(n >= window, F.lit(needed)).when(n >= SHORT, n - 1).otherwise(n)
 
 
 def find_overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", masks=MASKS, window: int = WINDOW, needed: int = NEEDED, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -58,15 +60,20 @@ def find_overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     document. best_window: most words matched in such a window; n_matched: most words of the whole item matched on an
     alignment that qualifies; n_aligned: most of its words that lie within the document on one. Words are compared by 64-bit hashes.
 
-    Null or empty texts have no words and match nothing. Items below LEAST_WORDS words are not looked for. Repeated
-    rows of one id count as one document (rows with a null id too). Very long texts are searched whole. The items go
-    out in broadcast blocks of a bounded size. An empty side gives an empty result. Other columns are ignored.
+    Items of fewer than ``window`` words: all but one from SHORT words on, all of them below, down to items of one word.
+
+    Null or empty texts have no words and match nothing. Repeated rows of one id count as one document (rows with a
+    null id too). Very long texts are searched whole. The items go out in broadcast blocks of a bounded size. An empty
+    side gives an empty result. Other columns are ignored.
     """
     size, count = items.select(F.coalesce(F.sum(F.octet_length(F.col(item_text).cast("string")) + 64), F.lit(0)), F.count(F.lit(1))).first()
     blocks = max(1, math.ceil(size / block_bytes))
-    hashed_items = items.select(F.col(item_id).alias("_item"), word_hashes(F.col(item_text)).alias("_iw")).where(F.size("_iw") >= LEAST_WORDS)
+    hashed_items = items.select(F.col(item_id).alias("_item"), word_hashes(F.col(item_text)).alias("_iw")).where(F.size("_iw") > 0)
     hashed_docs = docs.select(F.col(id_col).alias("_doc"), word_hashes(F.col(text_col)).alias("_dw"))
-    found = [_overlaps(hashed_docs, hashed_items.where(F.pmod(F.xxhash64("_iw"), F.lit(blocks)) == b), masks, window, needed) for b in range(blocks)]
+    # documents are only searched for the sizes of tiny items that there are
+    tiny = [r[0] for r in hashed_items.where(F.size("_iw") <= TINY).select(F.size("_iw")).distinct().collect()]
+    numbered = dict(enumerate(masks)) | {len(masks) + n: "1" * n for n in sorted(tiny)}
+    found = [_overlaps(hashed_docs, hashed_items.where(F.pmod(F.xxhash64("_iw"), F.lit(blocks)) == b), numbered, len(masks), window) for b in range(blocks)]
     return (
         reduce(DataFrame.unionByName, found).withColumn("_fits", F.col("_best") >= _needed(F.col("_n"), window, needed))
         .groupBy("_doc", "_item")
@@ -79,16 +86,18 @@ def find_overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     )
 
 
-def _overlaps(hashed_docs: DataFrame, hashed_items: DataFrame, masks, window: int, needed: int) -> DataFrame:
+def _overlaps(hashed_docs: DataFrame, hashed_items: DataFrame, masks: dict[int, str], spaced: int, window: int) -> DataFrame:
+    """Laid-over stretches around hits; the first ``spaced`` masks are those for items of any size, one for each tiny size follows."""
     d = _seeded(hashed_docs, ["_doc"], "_p", "_dw", masks)
-    i = _seeded(hashed_items, ["_item"], "_q", "_iw", masks).select("_item", "_iw", "_q", "_seed")
+    i = _seeded(hashed_items, ["_item"], "_q", "_iw", masks).where((F.col("_mask") < spaced) | (F.size("_iw") == F.col("_mask") - spaced))
+    i = i.select("_item", "_iw", "_q", "_seed")
     # one key of type long (a seed's hash takes in its mask's number), so that the broadcast table is one of longs
     hits = d.join(F.broadcast(i), "_seed")
     # a run of equal words hits at each of its positions: go on from the first, and from the first mask
     same = lambda k: F.get("_dw", F.col("_p") + k).eqNullSafe(F.get("_iw", F.col("_q") + k))
     follows = (F.col("_p") > 0) & (F.col("_q") > 0) & same(-1)
     solid = reduce(lambda a, b: a & b, [same(k) for k in range(len(masks[0]))])
-    hits = hits.where(~F.when(F.col("_mask") == 0, follows).otherwise(solid))
+    hits = hits.where(~F.when(F.col("_mask") >= spaced, False).when(F.col("_mask") == 0, follows).otherwise(solid))
     # the two stretches that lie over each other: cut out before the rows leave generated code, so that a long
     # document's words aren't copied for each hit
     shift = F.col("_p") - F.col("_q")
@@ -117,20 +126,24 @@ def op9_decontaminate(spark, sf_dir: str) -> DataFrame:
 
 
 def drop_contaminated(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents without a benchmark passage, unchanged."""
-    found = find_overlaps(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_found")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_found")), "left_anti")
+    """The documents without a benchmark passage, unchanged, whatever their other columns are named.
+
+    Rows with a null id are one document here: if one of them holds a passage, all go. See :func:`find_overlaps`.
+    """
+    name = free_name(docs, "_found")
+    found = find_overlaps(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(found, docs["doc_id"].eqNullSafe(found[name]), "left_anti")
 
 
 OP9_SQL = r"""
 WITH d AS (SELECT DISTINCT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS ws FROM documents),
 i AS (SELECT DISTINCT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS ws FROM benchmark),
 dw AS (SELECT doc_id, len(ws) AS len, unnest(ws) AS w, generate_subscripts(ws, 1) AS p FROM d),
-iw AS (SELECT item_id, len(ws) AS n, unnest(ws) AS w, generate_subscripts(ws, 1) AS q FROM i WHERE len(ws) >= 5),
-laid AS (SELECT doc_id, item_id, n, len, p - q AS shift, list(q) AS qs FROM dw JOIN iw USING (w) GROUP BY ALL HAVING count(*) >= least(n, 11)),
+iw AS (SELECT item_id, len(ws) AS n, unnest(ws) AS w, generate_subscripts(ws, 1) AS q FROM i),
+laid AS (SELECT doc_id, item_id, n, len, p - q AS shift, list(q) AS qs FROM dw JOIN iw USING (w) GROUP BY ALL HAVING count(*) >= CASE WHEN n >= 13 THEN 11 WHEN n >= 8 THEN n - 1 ELSE n END),
 best AS (SELECT doc_id, item_id, n, len(qs) AS n_matched, least(n, len - shift) - greatest(-shift, 0) AS n_aligned,
   list_max(list_transform(range(1, n - least(n, 13) + 2), lambda s: len(list_filter(qs, lambda q: q >= s AND q < s + least(n, 13))))) AS best
   FROM laid)
 SELECT doc_id, item_id, max(best)::INTEGER AS best_window, max(n_matched)::INTEGER AS n_matched, max(n_aligned)::INTEGER AS n_aligned
-FROM best WHERE best >= CASE WHEN n < 13 THEN n ELSE 11 END GROUP BY ALL
+FROM best WHERE best >= CASE WHEN n >= 13 THEN 11 WHEN n >= 8 THEN n - 1 ELSE n END GROUP BY ALL
 """
