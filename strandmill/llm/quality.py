@@ -1,13 +1,15 @@
 """Quality classifier: nearest-neighbour voting over latent-semantic vectors.
 
-A bounded sample of labelled documents is turned into weighted counts of hashed byte bigrams, of which a truncated
-singular value decomposition gives the latent directions. The labelled vectors (a few thousand, so a few megabytes,
-whatever the corpus holds) are broadcast, and every document's cosines to all of them are computed exactly, in blocks,
-as matrix products. The nearest vote with their labels, weighted by similarity.
+A bounded sample of labelled documents is turned into weighted counts of terms (hashed byte bigrams, bigrams of kinds of
+characters, words said twice, classes of length), of which a truncated singular value decomposition gives the latent
+directions. Documents are compared along those directions only. The labelled vectors (a few thousand, so a few
+megabytes, whatever the corpus holds) are broadcast, and every document's cosines to all of them are computed exactly,
+in blocks, as matrix products. The nearest vote with their labels, weighted by similarity.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -17,11 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import free_name, table
 
 #: Bounds of what is fitted and broadcast: labelled rows, hashed terms, latent directions.
 MOST_LABELLED, TERMS, DIRECTIONS = 4096, 2048, 64
-NEIGHBOURS, SHARPNESS, SURFACE_WEIGHT = 15, 16, 2.0
+NEIGHBOURS, SHARPNESS = 15, 16
+#: Kinds of bytes (their bigrams are terms), classes of a text's number of words, and how heavy these terms are.
+KINDS, LENGTHS, SHAPE_WEIGHT = 6, 8, 2.0
+SHAPES = KINDS * KINDS + 1 + LENGTHS
 #: Documents from this score on are accepted.
 ACCEPT = 0.7
 #: Documents whose cosines are computed as one product.
@@ -30,7 +35,7 @@ BLOCK = 512
 
 @dataclass
 class QualityModel:
-    idf: np.ndarray
+    weights: np.ndarray
     directions: np.ndarray
     vectors: np.ndarray
     labels: np.ndarray
@@ -38,32 +43,30 @@ class QualityModel:
 
 
 def _kinds() -> np.ndarray:
-    kind = np.zeros(256, np.int64)
-    for b in range(128):
-        c = chr(b)
-        kind[b] = 1 if c.isupper() else 2 if b > 32 and not c.isalnum() and b != 127 else 0
-    return kind
+    """Of each byte: 0 white space, 1 capital, 2 small letter, 3 digit, 4 other ASCII, 5 part of another character."""
+    chars = [chr(b) for b in range(128)]
+    ascii_ = [0 if c.isspace() else 1 if c.isupper() else 2 if c.islower() else 3 if c.isdigit() else 4 for c in chars]
+    return np.array(ascii_ + [5] * 128, np.int64)
 
 
 _KIND = _kinds()
 
 
 def features(text: str | None) -> np.ndarray:
-    """Shares of hashed byte bigrams and, after them, of capitals, punctuation and repeated words, and shortness."""
+    """Square roots of the shares of a text's terms: hashed byte bigrams, and after them what its shape gives."""
     raw = (text or "").encode("utf-8")
-    out = np.zeros(TERMS + 4, np.float32)
+    out = np.zeros(TERMS + SHAPES, np.float32)
     n = len(raw)
-    if n:
+    words = raw.split()
+    if n > 1:
         b = np.frombuffer(raw, np.uint8)
-        if n > 1:
-            pairs = (b[:-1].astype(np.uint32) * np.uint32(257) + b[1:]) * np.uint32(0x9E3779B1) >> np.uint32(15)
-            out[:TERMS] = np.bincount((pairs & np.uint32(TERMS - 1)).astype(np.int64), minlength=TERMS) / n
-        kinds = np.bincount(_KIND[b], minlength=3)
-        words = raw.split()
-        again = sum(map(bytes.__eq__, words, words[1:])) / max(1, len(words))
-        out[TERMS:] = kinds[1] / n, kinds[2] / n, again, 1 / (1 + len(words))
-    else:
-        out[TERMS + 3] = 1.0
+        pairs = (b[:-1].astype(np.uint32) * np.uint32(257) + b[1:]) * np.uint32(0x9E3779B1) >> np.uint32(15)
+        out[:TERMS] = np.bincount((pairs & np.uint32(TERMS - 1)).astype(np.int64), minlength=TERMS) / n
+        kinds = _KIND[b]
+        out[TERMS : TERMS + KINDS * KINDS] = np.bincount(kinds[:-1] * KINDS + kinds[1:], minlength=KINDS * KINDS) / n
+    out[TERMS + KINDS * KINDS] = sum(map(bytes.__eq__, words, words[1:])) / max(1, len(words))
+    # a class for each doubling of the number of words, the last from 2^(2 * LENGTHS - 3) on
+    out[TERMS + KINDS * KINDS + 1 + min(LENGTHS - 1, (len(words).bit_length() + 1) // 2)] = 0.1
     return np.sqrt(out)
 
 
@@ -71,25 +74,24 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
 
 
-def _embed(x: np.ndarray, idf: np.ndarray, directions: np.ndarray) -> np.ndarray:
-    z = _unit(x[:, :TERMS].astype(np.float64) * idf) @ directions
-    return _unit(np.hstack([z, SURFACE_WEIGHT * x[:, TERMS:]]))
+def _embed(x: np.ndarray, weights: np.ndarray, directions: np.ndarray) -> np.ndarray:
+    return _unit(_unit(x.astype(np.float64) * weights) @ directions)
 
 
 def fit(x: np.ndarray, y: np.ndarray, seed: int = 42) -> QualityModel:
-    """The model of labelled feature rows: idf weights, directions by a randomised decomposition, labelled vectors."""
+    """The model of labelled feature rows: weights of terms, directions by a randomised decomposition, labelled vectors."""
     if not len(y):
-        return QualityModel(np.ones(TERMS), np.zeros((TERMS, 1)), np.zeros((0, 5)), np.zeros(0), 0.5)
-    terms = x[:, :TERMS].astype(np.float64)
-    idf = np.log((len(y) + 1) / (1 + (terms > 0).sum(0))) + 1
-    m = _unit(terms * idf)
-    q = m.T @ (m @ np.random.default_rng(seed).standard_normal((TERMS, min(DIRECTIONS + 16, TERMS))))
+        return QualityModel(np.ones(TERMS + SHAPES), np.zeros((TERMS + SHAPES, 1)), np.zeros((0, 1)), np.zeros(0), 0.5)
+    weights = np.log((len(y) + 1) / (1 + (x > 0).sum(0))) + 1
+    weights[TERMS:] *= SHAPE_WEIGHT
+    m = _unit(x.astype(np.float64) * weights)
+    q = m.T @ (m @ np.random.default_rng(seed).standard_normal((m.shape[1], min(DIRECTIONS + 16, m.shape[1]))))
     for _ in range(3):
         q, _ = np.linalg.qr(q)
         q = m.T @ (m @ q)
     q, _ = np.linalg.qr(q)
     directions = q @ np.linalg.svd(m @ q, full_matrices=False)[2].T[:, :DIRECTIONS]
-    return QualityModel(idf, directions, _embed(x, idf, directions), y.astype(np.float64), float(y.mean()))
+    return QualityModel(weights, directions, _unit(m @ directions), y.astype(np.float64), float(y.mean()))
 
 
 def vote(model: QualityModel, x: np.ndarray) -> np.ndarray:
@@ -101,12 +103,12 @@ def vote(model: QualityModel, x: np.ndarray) -> np.ndarray:
         return np.full(len(x), model.prior)
     out = np.empty(len(x))
     for at in range(0, len(x), BLOCK):
-        cosines = np.round(_embed(x[at : at + BLOCK], model.idf, model.directions) @ model.vectors.T, 6)
+        cosines = np.round(_embed(x[at : at + BLOCK], model.weights, model.directions) @ model.vectors.T, 6)
         k = min(NEIGHBOURS, cosines.shape[1])
         last = np.partition(cosines, -k, axis=1)[:, -k, None]
-        weights = np.where(cosines >= last, np.maximum(cosines, 0), 0) ** SHARPNESS
-        total = weights.sum(1)
-        out[at : at + BLOCK] = np.where(total > 0, weights @ model.labels / np.maximum(total, 1e-300), model.prior)
+        near = np.where(cosines >= last, np.maximum(cosines, 0), 0) ** SHARPNESS
+        total = near.sum(1)
+        out[at : at + BLOCK] = np.where(total > 0, near @ model.labels / np.maximum(total, 1e-300), model.prior)
     return np.round(np.clip(out, 0, 1), 6)
 
 
@@ -117,7 +119,8 @@ def held_out(id_col: str = "doc_id"):
 def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = MOST_LABELLED) -> QualityModel:
     """Fit on at most ``most`` labelled documents, chosen by a hash of their id, none of them held out.
 
-    Labels without a document, null labels and held-out ids are not used; of repeated ids one row is.
+    Labels without a document, null labels and held-out ids are not used; of repeated ids one row is. No such row: a
+    model that scores 0.5. Null texts count as empty; very long ones are taken whole.
     """
     chosen = (
         labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
@@ -135,16 +138,23 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
                 [b.column("_id").cast(pa.string()), b.column("_y"), pa.array([features(t).tobytes() for t in b.column("_text").to_pylist()], pa.binary())], ["_id", "_y", "_x"]
             )
 
-    rows = sorted(texts.mapInArrow(featurise, "_id string, _y double, _x binary").collect())  # at most `most` rows of 8 KB
-    x = np.array([np.frombuffer(r[2], np.float32) for r in rows]) if rows else np.zeros((0, TERMS + 4), np.float32)
-    return fit(x, np.array([r[1] for r in rows]))
+    def fitted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted(row for b in batches for row in zip(*(b.column(c).to_pylist() for c in ("_id", "_y", "_x"))))
+        x = np.array([np.frombuffer(r[2], np.float32) for r in rows]) if rows else np.zeros((0, TERMS + SHAPES), np.float32)
+        model = fit(x, np.array([r[1] for r in rows]))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    # at most `most` rows of 8 KB go to one task, and a model of a few megabytes to the driver, whose memory is small
+    found = texts.mapInArrow(featurise, "_id string, _y double, _x binary").repartition(1).mapInArrow(fitted, "model binary").collect()
+    return pickle.loads(found[0].model) if found else fit(np.zeros((0, TERMS + SHAPES), np.float32), np.zeros(0))
 
 
 def score_documents(docs: DataFrame, model: QualityModel, text_col: str = "text", out: str = "score") -> DataFrame:
     """docs with a score from 0 to 1 for every whole text, the higher the likelier label 1; nothing else is an input.
 
     Null text: scored as the empty text. A text without any similar labelled text, or a model without labels: the
-    share of label 1 (0.5 if there are no labels). A column of the input named like the new one is replaced.
+    share of label 1 (0.5 if there are no labels). Repeated rows: each is scored, alike. Very long texts are taken
+    whole. Empty table: empty result. A column of the input named like the new one is replaced.
     """
     docs = docs.drop(out)
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -170,6 +180,9 @@ def op7_quality(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_good(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the classifier accepts, unchanged."""
-    model = fit_quality(docs, table(spark, sf_dir, "labels"))
-    return score_documents(docs, model, out="_quality_score").where(F.col("_quality_score") >= ACCEPT).drop("_quality_score")
+    """The documents that the classifier accepts, unchanged, whatever their other columns are named.
+
+    See :func:`fit_quality` and :func:`score_documents` for odd rows; without any label all have 0.5, and none is kept.
+    """
+    model, score = fit_quality(docs, table(spark, sf_dir, "labels")), free_name(docs, "_score")
+    return score_documents(docs, model, out=score).where(F.col(score) >= ACCEPT).drop(score)
