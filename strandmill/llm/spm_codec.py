@@ -8,11 +8,13 @@ also encoded by the ``sentencepiece`` library itself, to verify parity.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import chain
 
 import pyarrow as pa
 from pyspark import SparkFiles
@@ -28,6 +30,9 @@ UNIGRAM, BPE = 1, 2
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 #: A batch handed to the library holds about so many characters (encodings take some hundred bytes a token).
 BATCH_CHARS = 1 << 20
+#: Different words whose ids a worker keeps.
+WORDS = 1 << 17
+_WORD = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 #: One text in so many is also encoded by the sentencepiece library: every one.
 PARITY_ONE_IN = 1
 
@@ -132,12 +137,38 @@ class Codec:
             self.data = f.read()
         self.model = parse_model(self.data)
         self.tokenizer = build_tokenizer(self.model)
+        self._words = self._word_tokenizer()
+        self._known: dict[str, list[int]] = {}
         self._reference = None
         mark = SPACE if self.model.escape_whitespaces else " "
         self._bytes = [bytes([int(p[3:-1], 16)]) if kind == BYTE else b"" if kind == CONTROL else p.replace(mark, " ").encode("utf-8") for p, _, kind in self.model.pieces]
 
+    def _word_tokenizer(self):
+        """The model without normaliser and cuts, for single words; None where texts can't be cut into words."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer(self.tokenizer.model) if self.tokenizer.pre_tokenizer is not None else None
+
+    def _normalised(self, text: str) -> str:
+        m = self.model
+        if m.charsmap or m.remove_extra_whitespaces:
+            return self.tokenizer.normalizer.normalize_str(text)
+        return (SPACE if m.add_dummy_prefix and text else "") + text.replace(" ", SPACE)
+
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        """The ids of each text. Where texts can be cut into words, the library encodes each different word once.
+
+        The words met so far are kept, up to WORDS of them; those still unknown of all texts go to it as one batch.
+        """
+        if self._words is None:
+            return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        cut = [_WORD.findall(self._normalised(t)) for t in texts]
+        if len(self._known) > WORDS:
+            self._known.clear()
+        new = list({w for words in cut for w in words}.difference(self._known))
+        self._known.update(zip(new, (e.ids for e in self._words.encode_batch_fast(new, add_special_tokens=False))))
+        ids = self._known.__getitem__
+        return [list(chain.from_iterable(map(ids, words))) for words in cut]
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         """The pieces' bytes joined, without the prefix that encoding adds; bytes that are no UTF-8 become U+FFFD."""
@@ -182,7 +213,8 @@ def encode_documents(docs: DataFrame, model_path: str = MODEL_PATH, text_col: st
     in every run). Where the libraries differ, the ids of the sentencepiece library are kept.
 
     Null text: null ids, null round_trip and parity. Empty text: no ids. Very long texts are encoded whole; a batch
-    is closed after about BATCH_CHARS characters. Input columns named like the new ones are replaced.
+    is closed after about BATCH_CHARS characters. Repeated rows: each is encoded, alike. Empty table: empty result.
+    Input columns named like the new ones are replaced.
     """
     names = (out, "round_trip", "parity")
     docs = docs.drop(*names)
@@ -221,7 +253,11 @@ def _encode(c: Codec, texts: list[str | None], one_in: int):
 
 
 def decode_documents(tokens: DataFrame, model_path: str = MODEL_PATH, ids_col: str = "token_ids", out: str = "decoded") -> DataFrame:
-    """tokens with one more column: the text its ids stand for (null ids: null)."""
+    """tokens with one more column: the text its ids stand for.
+
+    Null ids: null; no ids: the empty text. Very long lists are decoded whole, repeated rows each. Empty table: empty
+    result. An input column named like the new one is replaced. Ids that the model doesn't have raise.
+    """
     tokens = tokens.drop(out)
 
     def run(batches):
