@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_path, stored, table
+from .common import shared_path, small, stored, table
 
 _IDS = uuid.UUID("8c1f0a52-6d0e-5a39-9b52-0d7f1c6f7a11")
 #: Payloads below so many bytes are never stored as revisits.
@@ -99,8 +99,9 @@ def plan_records(pages: DataFrame, id_col="page_id", url_col="url", payload_col=
     """Which rows are stored and which revisit: page_id, url, html, digest, record_type, refers_to.
 
     Only digests, sizes and ids are aggregated (with partial aggregates, so a payload shared by a third of the rows
-    is no hot task); payloads that can't be revisits get a join key of their own row, and the join that gives each
-    row its response is one that adaptive execution splits where a digest is hot.
+    is no hot task). What is shared goes to the rows while it is small, and payloads then stay where they are read.
+    Beyond that bound both are shuffled: payloads that can't be revisits get a join key of their own row, and the join is
+    one that adaptive execution splits where a digest is hot.
     """
     html = F.coalesce(F.col(payload_col).cast("string"), F.lit(""))
     p = pages.select(
@@ -111,6 +112,7 @@ def plan_records(pages: DataFrame, id_col="page_id", url_col="url", payload_col=
         p.where(F.col("n") >= LEAST_PAYLOAD).groupBy(F.col("digest").alias("_key"), F.col("n").alias("_n"))
         .agg(F.max("page_id").alias("_first"), F.count(F.lit(1)).alias("_copies")).where("_copies > 1")
     )
+    shared = small(stored(shared.drop("_copies"), "warc-shared"), 80)
     own = F.concat(F.lit("row "), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(" "), F.coalesce(F.col("url"), F.lit("")))
     keyed = p.withColumn("_key", F.when(F.col("n") >= LEAST_PAYLOAD, F.col("digest")).otherwise(own)).withColumn("_n", F.col("n"))
     revisit = F.col("_first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_first"))
@@ -215,7 +217,8 @@ def op3_warc(spark, sf_dir: str) -> DataFrame:
 
     Null html: the empty payload. Null url: a record without target URI. Null page_id: loses to any other; equal
     payloads that all have null ids are all responses. Rows that repeat the largest page_id of their payload are all
-    responses. Empty table: no archive, no row. Other columns of the input are ignored.
+    responses. Empty table: no archive, no row. Very long payloads are one record, read as one range. Other columns of
+    the input are ignored.
     """
     index = write_archives(table(spark, sf_dir, "pages"))
     return read_records(index, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
