@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, table
+from .common import connected_components, free_name, table
 
 #: The query's contract: four words a shingle, four bits. The pipeline's near-duplicates are found otherwise: see keep_one.
 SHINGLE, BITS, SEED = 4, 4, 42
@@ -188,7 +188,8 @@ def keep_one(spark, docs: DataFrame, sf_dir: str, shingle: int = 5) -> DataFrame
     Rows are linked if their sets of five-word shingles have a Jaccard similarity of at least 0.8: all such pairs, by
     an exact join, as at that similarity fingerprints differ in too many bits to meet by. Texts without a word have
     the empty set and are one group; fewer words than a shingle are one shingle. Rows with a null id all stay, and
-    group no others. Of rows that repeat an id all stay or none.
+    group no others. Of rows that repeat an id all stay or none. Null text: as the empty one. Very long texts are taken
+    whole. Empty table: empty result. Columns of any name pass through.
     """
     from .common import shared_dir
     from .shingle_sets import sets_of, shingle_links
@@ -198,4 +199,6 @@ def keep_one(spark, docs: DataFrame, sf_dir: str, shingle: int = 5) -> DataFrame
     prints = sets_of(typed, "doc_id", "text", shingle).checkpoint()
     by_print = _named(prints, shingle_links(typed, prints, "doc_id", "text", shingle), "doc_id")
     drop = prints.join(by_print, "_fp").where(F.col("doc_id") != F.col("component_id"))
-    return docs.join(drop.select(F.col("doc_id").alias("_drop")).distinct(), F.col("doc_id") == F.col("_drop"), "left_anti")
+    name = free_name(docs, "_drop")
+    drop = drop.select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(drop, docs["doc_id"] == drop[name], "left_anti")
