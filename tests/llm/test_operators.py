@@ -328,8 +328,7 @@ def test_large_group_of_near_copies(spark, monkeypatch, hot):
 
 def test_lines_whose_neighbour_fails_meet_the_others(spark, monkeypatch):
     """A test so loose that neighbours are chosen that aren't similar: their lines must still find those that are."""
-    monkeypatch.setattr(line_dedup, "_near", lambda x, y, num, den: line_dedup.F.coalesce(line_dedup._both(x, y) >= 0, line_dedup.F.lit(False)))
-    monkeypatch.setattr(line_dedup, "GROUP", 1)
+    monkeypatch.setattr(line_dedup, "_near", lambda x, y, num, den: line_dedup._both(x, y) >= 0)
     rng = random.Random(10)
     base = [words(rng, 30, 60) for _ in range(12)]
     rows = [(i, "\n".join(" ".join({**dict(enumerate(b.split())), rng.randrange(30): f"z{i}"}.values()) for b in rng.sample(base, 3))) for i in range(40)]
