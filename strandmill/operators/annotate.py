@@ -29,6 +29,8 @@ KERNEL = (
 _ARROW_HIT = pa.struct([(n, pa.string() if n in ("anchor", "cigar", "matched") else pa.int32()) for n in ("start", "end", "anchor", "distance", "substitutions", "insertions", "deletions", "cigar", "matched")])
 _ARROW_SEGMENT = pa.struct([("name", pa.string()), ("role", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("length", pa.int32()), ("mean_qscore", pa.float64()), ("gc_fraction", pa.float64()), ("n_fraction", pa.float64()), ("status", pa.string())])
 _ARROW_MOLECULE = pa.struct([("cycle", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("sequence", pa.string()), ("quality", pa.string())])
+#: Bases that are searched as one array.
+BATCH_BASES = 1 << 20
 _ERRORS = 10.0 ** (-np.arange(-33, 223) / 10)
 
 
@@ -60,21 +62,35 @@ def observe(sequence: str, quality: str, best: dict[str, tuple], segments) -> li
     return out
 
 
+def _stretches(sequences: list[str]) -> Iterator[tuple[int, int]]:
+    """Runs of sequences of about BATCH_BASES together, or one longer one."""
+    lo = bases = 0
+    for i, x in enumerate(sequences):
+        bases += len(x)
+        if bases >= BATCH_BASES:
+            yield lo, i + 1
+            lo, bases = i + 1, 0
+    if lo < len(sequences):
+        yield lo, len(sequences)
+
+
 def kernel(s: Settings):
     """The function for mapInArrow that adds the columns of KERNEL to the first columns of its input."""
     order = s.structure.expected_order
 
-    def one(probes, sequence: str, quality: str) -> tuple:
-        forward = matching.find_hits(sequence, probes)
-        reverse = matching.find_hits(matching.reverse_complement(sequence), probes)
+    def one(sequence: str, quality: str, forward: list[tuple], reverse: list[tuple]) -> tuple:
         v, hits = structure.choose_strand(forward, reverse, s.structure, len(sequence))
+        score = quality_score(quality, s.qscore_method == "conservative")
         if v.is_reversed:
-            sequence, quality_o = matching.reverse_complement(sequence), quality[::-1]
-        else:
-            quality_o = quality
-        parts = observe(sequence, quality_o, matching.best_hits(hits), s.structure.segments)
-        split = structure.molecules(sequence, quality_o, hits, order) if s.structure.split_concatemers and v.label == "concatemer_candidate" else []
-        return (v.label, v.order_valid, v.is_reversed, v.detected, v.violations, v.cycle_count, hits, parts, split, quality_score(quality, s.qscore_method == "conservative"))
+            sequence, quality = matching.reverse_complement(sequence), quality[::-1]
+        parts = observe(sequence, quality, matching.best_hits(hits), s.structure.segments)
+        split = structure.molecules(sequence, quality, hits, order) if s.structure.split_concatemers and v.label == "concatemer_candidate" else []
+        return (v.label, v.order_valid, v.is_reversed, v.detected, v.violations, v.cycle_count, hits, parts, split, score)
+
+    def annotated(probes, sequences: list[str], qualities: list[str]) -> list[tuple]:
+        forward = matching.find_hits_in_all(sequences, probes)
+        reverse = matching.find_hits_in_all([matching.reverse_complement(x) for x in sequences], probes)
+        return list(map(one, sequences, qualities, forward, reverse))
 
     def structs(rows: list[list[tuple]], kind: pa.StructType) -> pa.Array:
         return pa.array([[dict(zip(kind.names, x)) for x in row] for row in rows], pa.list_(kind))
@@ -82,7 +98,10 @@ def kernel(s: Settings):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         probes = matching.compile_anchors(s.anchors)
         for b in batches:
-            rows = [one(probes, seq or "", q or "") for seq, q in zip(b.column("sequence").to_pylist(), b.column("quality").to_pylist())]
+            sequences, qualities = ([x or "" for x in b.column(c).to_pylist()] for c in ("sequence", "quality"))
+            rows: list[tuple] = []
+            for lo, hi in _stretches(sequences):
+                rows += annotated(probes, sequences[lo:hi], qualities[lo:hi])
             cols = list(zip(*rows)) or [[] for _ in range(10)]
             arrays = [
                 pa.array(cols[0], pa.string()), pa.array(cols[1], pa.bool_()), pa.array(cols[2], pa.bool_()), pa.array(cols[3], pa.list_(pa.string())),

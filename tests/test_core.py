@@ -43,6 +43,41 @@ def test_exact_hits_overlap_and_edit_hits_do_not():
     assert len(hits("AAAAAA", sequence="AAAA", max_edits=0)) == 1
 
 
+def brute_edit_ends(text, motif, most):
+    """The least edits of the motif to stretches that end at each place, one cell after the other."""
+    row = [0] * (len(text) + 1)
+    for i, c in enumerate(motif, 1):
+        last, row[0] = row[0], i
+        for j, x in enumerate(text, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != c))
+    return {j: d for j, d in enumerate(row) if j and d <= most}
+
+
+@pytest.mark.parametrize("kw", [
+    {"max_edits": 0}, {"max_edits": 1}, {"max_edits": 3}, {"max_mismatches": 2}, {"max_mismatches": 0}, {"max_edits": 2, "search_region": "5p", "search_window_bp": 25},
+    {"max_edits": 1, "search_region": "3p", "search_window_bp": 9}, {"max_mismatches": 1, "search_region": "3p", "search_window_bp": 20},
+])
+def test_all_at_once_finds_what_one_by_one_does(kw):
+    rng = random.Random(40)
+    text = lambda n: "".join(rng.choice("ACGTACGTacgtN") for _ in range(n))
+    motif = "ACGTTGCA"
+    some = ["", "A", "ACGTTGC", motif, motif * 3, "CGTTGCA" + motif[:-1], *(text(rng.randrange(90)) + rng.choice([motif, "ACGTGCA", "ACGTTTGCA", "ACCTTGCA", ""]) + text(rng.randrange(60)) for _ in range(150))]
+    probes = probe(sequence=motif, **kw) + matching.compile_anchors([settings.Anchor(name="b", type="fixed", sequence="GGAT", max_edits=1), settings.Anchor(name="c", type="regex", pattern="A{3,}")])
+    assert matching.find_hits_in_all(some, probes) == [matching.find_hits(x, probes) for x in some]
+    assert matching.find_hits_in_all([], probes) == []
+
+
+def test_edit_alignments_are_of_the_least_edits():
+    rng = random.Random(41)
+    for _ in range(200):
+        x = "".join(rng.choice("ACG") for _ in range(rng.randrange(30)))
+        laid = matching._Laid([x], 4)
+        found = matching.edit_batch(laid, matching.codes("ACGGA"), 2)
+        assert {end: d for _, d, _, end, _ in found} == brute_edit_ends(x, "ACGGA", 2)
+        for _, d, start, end, ops in found:
+            assert d == sum(map(ops.count, "XID")) and end - start == len(ops) - ops.count("D") and 5 == len(ops) - ops.count("I")
+
+
 def test_window_applies_to_the_strand_searched():
     kw = dict(sequence="ACGT", max_edits=0, search_region="5p", search_window_bp=6)
     assert len(hits("ACGTTTACGT", **kw)) == 1
@@ -118,7 +153,7 @@ def test_segment():
 
 @pytest.mark.parametrize("raw,message", [
     ({"structure": {"expected_order": ["x"]}}, "Unknown anchor"), ({"thresholds": {"warn_long_high_quality_ratio": 0.5, "fail_long_high_quality_ratio": 0.7}}, "fail threshold"),
-    ({"anchors": [{"name": "a", "type": "odd"}]}, "Unsupported"), ({"structure": {"concatemer_min_cycles": 1}}, "at least 2"),
+    ({"anchors": [{"name": "a", "type": "odd"}]}, "type is 'odd', not one of"), ({"structure": {"concatemer_min_cycles": 1}}, "below 2"),
     ({"anchors": [{"name": "a", "type": "fixed", "sequence": "A", "max_edits": True}]}, "max_edits"), ({"qscore_method": "best"}, "qscore_method"),
 ])
 def test_bad_settings(raw, message):
@@ -258,6 +293,31 @@ def test_bam(spark, tmp_path):
     assert r.tags == {"CR": "ACGA", "CB": "ACGT-1", "pt": "35", "xx": "1,-2", "XA": "x"}
 
 
+def test_lengths_of_the_floating_type_are_cut(spark):
+    fields = spark.createDataFrame([(["pt:f:35.7", "xx:f:1.5"],), (["pt:f:35.0"],), (["pt:Z:12.5"],), (["pt:f:-0.5"],), (["pt:f:nan"],), (["pt:i:7"],)], "f array<string>")
+    got = fields.select(tags.parse_tags(F.col("f")).alias("tags"))
+    assert got.first().tags == {"pt": "35", "xx": "1.5"}
+    assert {(r.length, r["count"]) for r in tags.tail_lengths(got).collect()} == {(35, 2), (0, 1), (7, 1)}
+    assert tables.bam_tags(b"ptf" + struct.pack("<f", 35.7) + b"xxf" + struct.pack("<f", 1.5)) == {"pt": "35", "xx": "1.5"}
+
+
+def test_missing_inputs_are_told(spark, tmp_path, capsys):
+    from strandmill import cli
+
+    with pytest.raises(ValueError, match="no folder"):
+        fastq.list_fastq(tmp_path / "none")
+    with pytest.raises(ValueError, match="no FASTQ file"):
+        fastq.read_fastq(spark, str(tmp_path / "none.fastq"))
+    (tmp_path / "c.json").write_text(json.dumps({"anchors": [{"name": "a", "type": "fixed", "sequence": "ACGT"}]}))
+    assert cli.main(["batch", "--config", str(tmp_path / "c.json"), "--input", str(tmp_path / "none"), "--outdir", str(tmp_path / "o")]) == 1
+    assert cli.main(["run", "--config", str(tmp_path / "none.json"), "--fastq", "x", "--outdir", str(tmp_path / "o")]) == 1
+    assert capsys.readouterr().err.count("error: ") == 2
+
+
+def test_folders_of_samples():
+    assert qc.folders(["a", "a", "b", "a_2", "a"]) == ["a", "a_2", "b", "a_2_2", "a_3"]
+
+
 def test_end_to_end(spark, tmp_path):
     full = "AAAAACGTGGCCCC"
     write_fastq(tmp_path / "s.fastq", [("full", full, "I" * 14), ("two", full * 2, "I" * 28)])
