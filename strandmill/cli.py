@@ -79,7 +79,7 @@ def main(argv: list[str] | None = None) -> int:
             top.error("batch needs --input or samples in the configuration")
         qc.run_batch(spark, paths, s, a.outdir, continue_on_error=a.continue_on_error, sample_names=names, **options)
         return 0
-    except (ValueError, qc.BatchError) as e:
+    except (ValueError, OSError, qc.BatchError) as e:
         print(f"error: {e}", file=sys.stderr)
         return 1
 

@@ -7,6 +7,7 @@ one occurs unchanged within r places of its own in a barcode that is at most r e
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -75,28 +76,35 @@ def nearest(raw: DataFrame, whitelist: DataFrame, radius: int, raw_col: str = "r
     )
 
 
+#: A table of looked-up barcodes of at most so many bytes is broadcast to the reads; a larger one and they are shuffled.
+BROADCAST_BYTES, LOOKED_UP_BYTES = 32 << 20, 128
+
+
 def assess(annotated: DataFrame, b: Barcode, whitelist: DataFrame | None = None) -> DataFrame:
-    """annotated with barcode_status, raw_barcode, raw_umi, min_barcode_q, nearest_distance, second_distance, nearest_barcode."""
+    """annotated with barcode_status, raw_barcode, raw_umi, min_barcode_q, nearest_distance, second_distance, nearest_barcode.
+
+    The reads are kept, in memory or on disk, as they are read for their distinct barcodes and again for the result.
+    Only reads with something to look up are joined, so those without a barcode don't meet under one key.
+    """
     df = extract(annotated, b)
+    unknown = {"nearest_distance": F.lit(None).cast("int"), "second_distance": F.lit(None).cast("int"), "nearest_barcode": F.lit(None).cast("string")}
     if whitelist is None or not b.enabled:
-        return df.withColumns({
-            "barcode_status": F.coalesce("barcode_status", F.lit("extracted")), "nearest_distance": F.lit(None).cast("int"),
-            "second_distance": F.lit(None).cast("int"), "nearest_barcode": F.lit(None).cast("string"),
-        })
-    asked = df.where(F.col("barcode_status").isNull()).select("raw_barcode").distinct()
+        return df.withColumns({"barcode_status": F.coalesce("barcode_status", F.lit("extracted")), **unknown})
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    asking = df.where(F.col("barcode_status").isNull())
+    asked = asking.select("raw_barcode").distinct().persist(StorageLevel.MEMORY_AND_DISK)
     exact = asked.join(whitelist.select(F.col("barcode").alias("raw_barcode")).distinct(), "raw_barcode").select("raw_barcode", F.lit(True).alias("_exact"))
     rest = asked.join(exact, "raw_barcode", "left_anti")
     found = nearest(rest, whitelist, b.max_edit_distance + b.min_distance_margin)
     looked_up = exact.select("raw_barcode", "_exact", F.lit(0).alias("_d1"), F.col("raw_barcode").alias("_near"), F.lit(None).cast("int").alias("_d2")).unionByName(
         found.select("raw_barcode", F.lit(False).alias("_exact"), F.col("nearest_distance").alias("_d1"), F.col("nearest_barcode").alias("_near"), F.col("second_distance").alias("_d2"))
     )
-    df = df.join(looked_up, "raw_barcode", "left")
-    asked_for = F.col("barcode_status").isNull()
-    reach = F.col("_d1") <= b.max_edit_distance
-    close = F.col("_d2") - F.col("_d1") < b.min_distance_margin
-    told = F.when(F.col("_exact"), "exact").when(~F.coalesce(reach, F.lit(False)), "unrecoverable").when(F.coalesce(close, F.lit(False)), "ambiguous").otherwise("uniquely_recoverable")
-    within = asked_for & F.coalesce(reach, F.lit(False))
-    return df.withColumns({
-        "nearest_distance": F.when(asked_for, F.col("_d1")), "second_distance": F.when(within, F.col("_d2")), "nearest_barcode": F.when(within, F.col("_near")),
-        "barcode_status": F.coalesce("barcode_status", told),
+    if asked.count() * LOOKED_UP_BYTES <= BROADCAST_BYTES:
+        looked_up = F.broadcast(looked_up)
+    reach = F.coalesce(F.col("_d1") <= b.max_edit_distance, F.lit(False))
+    close = F.coalesce(F.col("_d2") - F.col("_d1") < b.min_distance_margin, F.lit(False))
+    told = F.when(F.col("_exact"), "exact").when(~reach, "unrecoverable").when(close, "ambiguous").otherwise("uniquely_recoverable")
+    answered = asking.join(looked_up, "raw_barcode", "left").withColumns({
+        "nearest_distance": F.col("_d1"), "second_distance": F.when(reach, F.col("_d2")), "nearest_barcode": F.when(reach, F.col("_near")), "barcode_status": told,
     }).drop("_exact", "_d1", "_d2", "_near")
+    return answered.unionByName(df.where(F.col("barcode_status").isNotNull()).withColumns(unknown))

@@ -17,12 +17,17 @@ def plain_barcode(value: Column) -> Column:
 
 
 def parse_tags(fields: Column) -> Column:
-    """A map of ``TAG:TYPE:VALUE`` fields; malformed ones and numbers that are none are left out, the last of a tag counts."""
+    """A map of ``TAG:TYPE:VALUE`` fields; malformed ones and numbers that are none are left out, the last of a tag counts.
+
+    A length in ``pt`` of the floating type is cut to a whole number, as its type isn't known later.
+    """
     parts = F.transform(fields, lambda f: F.split(f, ":", 3))
     whole = lambda p: F.get(p, F.lit(1)).isin("i", "I")
     value = lambda p: F.get(p, F.lit(2))
     fine = F.filter(parts, lambda p: (F.size(p) == 3) & (~whole(p) | F.trim(value(p)).rlike(r"^[+-]?\d+$")) & ((F.get(p, F.lit(1)) != "f") | value(p).try_cast("double").isNotNull()))
-    entries = F.transform(fine, lambda p: F.struct(F.get(p, F.lit(0)).alias("key"), F.when(whole(p), F.regexp_replace(F.trim(value(p)), r"^\+", "")).otherwise(value(p)).alias("value")))
+    cut = lambda p: F.when((F.get(p, F.lit(0)) == "pt") & (F.get(p, F.lit(1)) == "f"), value(p).try_cast("double").try_cast("bigint").cast("string"))
+    plain = lambda p: F.when(whole(p), F.regexp_replace(F.trim(value(p)), r"^\+", "")).otherwise(F.coalesce(cut(p), value(p)))
+    entries = F.transform(fine, lambda p: F.struct(F.get(p, F.lit(0)).alias("key"), plain(p).alias("value")))
     last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.greatest(F.size(entries) - i - 1, F.lit(0))), lambda later: later["key"] == e["key"]))
     return F.map_from_entries(last)
 

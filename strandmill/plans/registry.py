@@ -1,7 +1,7 @@
 """The engine's operators as queries over the driver's tables.
 
 The tables hold no reads, so reads are derived from ``documents`` by SQL that Spark and DuckDB read alike: bases from
-digests of the id, in sixteen layouts (whole, reversed, with a substitution, without an anchor, doubled, ...). The
+digests of the id, in sixteen layouts (whole, reversed, with one edit, without an anchor, doubled, ...). The
 oracles work from those reads, by other means than the operators, and never from the layout's number.
 """
 
@@ -15,6 +15,7 @@ from strandmill.functions import columns as C
 from strandmill.operators import barcodes, metrics as M, tags
 from strandmill.operators.annotate import annotate, oriented
 from strandmill.plans import qc
+from strandmill.sources.fastq import spread
 
 FLAGSHIP = "bucket_counts"
 LEFT, RIGHT = "AACCGGTTACGTCAGT", "TGCATGCAAGCTTCGA"
@@ -24,7 +25,7 @@ READS = f"""
 SELECT doc_id AS read_index, concat('r', doc_id) AS read_id, sequence,
   substr(repeat(translate(q, '{_HEX}', CASE WHEN doc_id % 32 = 16 THEN '&&&&&&&&&&&&&&&&' ELSE 'IIIHGFEDCBIIGG55' END), 12), 1, length(sequence)) AS quality
 FROM (SELECT doc_id, q, CASE k
-    WHEN 0 THEN c WHEN 1 THEN reverse(translate(c, 'ACGTN', 'TGCAN')) WHEN 2 THEN concat('AACCGATTACGTCAGT', p, '{RIGHT}') WHEN 3 THEN concat(p, '{RIGHT}')
+    WHEN 0 THEN c WHEN 1 THEN reverse(translate(c, 'ACGTN', 'TGCAN')) WHEN 2 THEN concat(CASE doc_id % 48 WHEN 2 THEN 'AACCGATTACGTCAGT' WHEN 18 THEN 'AACCGGTTGACGTCAGT' ELSE 'AACCGGTACGTCAGT' END, p, '{RIGHT}') WHEN 3 THEN concat(p, '{RIGHT}')
     WHEN 4 THEN concat('{LEFT}', p) WHEN 5 THEN p WHEN 6 THEN concat('{RIGHT}', p, '{LEFT}') WHEN 7 THEN concat('{LEFT}', p, '{LEFT}', p, '{RIGHT}')
     WHEN 8 THEN concat('{LEFT}', p, '{RIGHT}', p, '{RIGHT}') WHEN 9 THEN concat(c, c) WHEN 10 THEN concat(c, c, c) WHEN 11 THEN concat(substr(y, 1, 12), c)
     WHEN 12 THEN lower(c) WHEN 13 THEN concat('{LEFT}', substr(p, 1, 20), '{RIGHT}')
@@ -36,7 +37,7 @@ FROM (SELECT doc_id, q, CASE k
           translate(md5(concat('w:', doc_id * 7 % 100 + 1)), '{_HEX}', '{_BASES}') AS w
         FROM {{documents}}) layer1) layer2) layer3) layer4
 """
-WHITELIST = f"SELECT DISTINCT substr(translate(md5(concat('w:', s_suppkey)), '{_HEX}', '{_BASES}'), 1, 8) AS barcode FROM {{supplier}} WHERE s_suppkey <= 100 AND s_suppkey % 3 <> 0"
+WHITELIST = f"SELECT DISTINCT substr(translate(md5(concat('w:', s_suppkey)), '{_HEX}', '{_BASES}'), 1, 8) AS barcode FROM {{supplier}} WHERE s_suppkey IS NOT NULL"
 
 
 def query_settings(edits: bool = False) -> settings.Settings:
@@ -54,14 +55,13 @@ def query_settings(edits: bool = False) -> settings.Settings:
 
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(READS, documents=spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """The ids, dealt to all cores where the table's scan has fewer partitions, made into reads."""
+    return spark.sql(READS, documents=spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")))
 
 
 def whitelist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every supplier's barcode; WHITELIST, which the oracles still read, leaves most suppliers out."""
-    digest = F.md5(F.concat(F.lit("w:"), F.col("s_suppkey").cast("string")))
-    suppliers = spark.read.parquet(f"{sf_dir}/supplier.parquet").where(F.col("s_suppkey").isNotNull())
-    return suppliers.select(F.substring(F.translate(digest, _HEX, _BASES), 1, 8).alias("barcode")).distinct()
+    """Every supplier's barcode."""
+    return spark.sql(WHITELIST, supplier=spark.read.parquet(f"{sf_dir}/supplier.parquet"))
 
 
 def annotated(spark, sf_dir, edits: bool = False) -> DataFrame:
@@ -111,10 +111,10 @@ def edit_distances(spark, sf_dir):
 
 
 def exact_hits(spark, sf_dir):
-    """Overlapping exact occurrences of a short motif, on the strand as read."""
+    """Overlapping exact occurrences of a short motif on the strand chosen."""
     s = settings.from_dict({"anchors": [{"name": "motif", "type": "fixed", "sequence": "ACA"}], "structure": {"expected_order": []}})
-    a = annotate(reads(spark, sf_dir), s).where("not is_reversed")
-    return a.select("read_index", F.explode("hits").alias("h")).select("read_index", F.col("h.start").alias("start"))
+    h = annotate(reads(spark, sf_dir), s).select("read_index", "orientation", F.explode("hits").alias("h"))
+    return h.select("read_index", "orientation", F.col("h.start").alias("start"))
 
 
 def regex_hits(spark, sf_dir):
@@ -253,13 +253,39 @@ _WL = f"wl AS ({WHITELIST.format(supplier='supplier')})"
 _Q = """q AS (SELECT read_index, length(sequence) AS n, CASE WHEN length(quality) = 0 THEN 0.0 ELSE
   -10 * log10(list_sum(list_transform(string_split(quality, ''), lambda c: pow(10.0, -(ord(c) - 33) / 10.0))) / length(quality)) END AS qs FROM reads)"""
 # hits by trying every place of both strands
-_HITS = f"""strands AS (SELECT read_index, false AS rev, upper(sequence) AS s FROM reads UNION ALL
+_PLACES = f"""strands AS (SELECT read_index, false AS rev, upper(sequence) AS s FROM reads UNION ALL
     SELECT read_index, true, reverse(translate(upper(sequence), 'ACGTN', 'TGCAN')) FROM reads),
-  tried AS (SELECT read_index, rev, s, anchor, motif, unnest(range(1, greatest(length(s) - 14, 1))) AS i
-    FROM strands, (VALUES ('left', '{LEFT}'), ('right', '{RIGHT}')) m(anchor, motif)),
-  hits AS (SELECT read_index, rev, anchor, (i - 1)::INTEGER AS start, (i + 15)::INTEGER AS stop, hamming(substr(s, i, 16), motif)::INTEGER AS distance
-    FROM tried WHERE hamming(substr(s, i, 16), motif) <= 1),
-  names AS (SELECT read_index, rev, string_agg(upper(substr(anchor, 1, 1)), '' ORDER BY start, stop, anchor) AS w, count(*) AS k, sum(distance) AS d FROM hits GROUP BY ALL),
+  tried AS (SELECT read_index, rev, s, anchor, motif, unnest(range(1, greatest(length(s) - 13, 1))) AS i
+    FROM strands, (VALUES ('left', '{LEFT}'), ('right', '{RIGHT}')) m(anchor, motif))"""
+_MISMATCHES = """hits AS (SELECT read_index, rev, anchor, (i - 1)::INTEGER AS start, (i + 15)::INTEGER AS stop, hamming(substr(s, i, 16), motif)::INTEGER AS distance
+    FROM tried WHERE i <= length(s) - 15 AND hamming(substr(s, i, 16), motif) <= 1)"""
+
+
+def _equal(length: int, suffix: bool) -> str:
+    """How many characters of a stretch of so many that ends at place i + 14 are those of the motif, from one side."""
+    n, u = min(length, 16), f"substr(s, i + 15 - {length}, {length})"
+    places = f"lambda k: {u}[{length} - k] = motif[16 - k]), false)" if suffix else f"lambda k: {u}[k + 1] = motif[k + 1]), false)"
+    return f"coalesce(list_position(list_transform(range({n}), {places} - 1, {n})"
+
+
+# Alignments with one edit at most to each end: the edit stands as far left as it can, a substitution before an insertion
+# before a deletion. Of those of one anchor the best, then the one nearest to the motif's length, then the first is taken,
+# and so on among those that don't overlap.
+_EDITS = f"""ends AS (SELECT *, i + 14 AS e, CASE WHEN i > 1 THEN hamming(substr(s, i - 1, 16), motif) END AS h16, CASE WHEN i > 1 THEN {_equal(16, False)} END AS p16,
+      CASE WHEN i > 2 THEN {_equal(17, False)} END AS p17, CASE WHEN i > 2 THEN {_equal(17, True)} END AS s17, {_equal(15, False)} AS p15, {_equal(15, True)} AS s15 FROM tried),
+  placed AS (SELECT *, CASE WHEN h16 = 1 THEN p16 + 1 END AS x, CASE WHEN greatest(1, 16 - s17) <= p17 THEN greatest(1, 16 - s17) END AS n,
+      CASE WHEN greatest(1, 16 - s15) <= p15 + 1 THEN greatest(1, 16 - s15) END AS d FROM ends),
+  edited AS (SELECT *, CASE WHEN h16 = 0 THEN 'M' WHEN x <= coalesce(n, 99) AND x <= coalesce(d, 99) THEN 'X' WHEN n <= coalesce(d, 99) THEN 'I' ELSE 'D' END AS op
+    FROM placed WHERE h16 = 0 OR x IS NOT NULL OR n IS NOT NULL OR d IS NOT NULL),
+  sized AS (SELECT read_index, rev, s, anchor, e, op, CASE op WHEN 'I' THEN 17 WHEN 'D' THEN 15 ELSE 16 END AS len,
+      CASE op WHEN 'M' THEN '16M' ELSE concat(CASE WHEN b > 0 THEN concat(b, 'M') END, '1', op, CASE WHEN a > 0 THEN concat(a, 'M') END) END AS cigar
+    FROM (SELECT *, CASE op WHEN 'X' THEN x - 1 WHEN 'I' THEN n WHEN 'D' THEN d - 1 END AS b, 16 - CASE op WHEN 'X' THEN x WHEN 'I' THEN n WHEN 'D' THEN d END AS a FROM edited) t),
+  sorted AS (SELECT read_index, rev, s, anchor, list([{{'d': (op <> 'M')::INTEGER, 'a': e - len, 'e': e, 'op': op, 'cigar': cigar}}] ORDER BY op <> 'M', abs(len - 16), e - len, e) AS c
+    FROM sized GROUP BY ALL),
+  taken AS (SELECT read_index, rev, s, anchor, unnest(list_reduce(c, lambda t, y: CASE WHEN len(list_filter(t, lambda z: z.a < y[1].e AND y[1].a < z.e)) = 0 THEN list_concat(t, y) ELSE t END)) AS h FROM sorted),
+  hits AS (SELECT read_index, rev, anchor, h.a::INTEGER AS start, h.e::INTEGER AS stop, h.d AS distance, (h.op = 'X')::INTEGER AS substitutions, (h.op = 'I')::INTEGER AS insertions,
+    (h.op = 'D')::INTEGER AS deletions, h.cigar, substr(s, h.a + 1, h.e - h.a) AS matched FROM taken)"""
+_CHOICE = """names AS (SELECT read_index, rev, string_agg(upper(substr(anchor, 1, 1)), '' ORDER BY start, stop, anchor) AS w, count(*) AS k, sum(distance) AS d FROM hits GROUP BY ALL),
   told AS (SELECT s.read_index, s.rev, length(s.s) AS n, coalesce(w, '') AS w, coalesce(k, 0) AS k, coalesce(d, 0) AS d,
       length(coalesce(w, '')) - length(replace(coalesce(w, ''), 'L', '')) AS nl, length(coalesce(w, '')) - length(replace(coalesce(w, ''), 'R', '')) AS nr,
       regexp_replace(regexp_replace(coalesce(w, ''), 'L+', 'L', 'g'), 'R+', 'R', 'g') AS runs,
@@ -276,6 +302,7 @@ _HITS = f"""strands AS (SELECT read_index, false AS rev, upper(sequence) AS s FR
   pair AS (SELECT c.*, l.start AS l0, l.stop AS l1, r.start AS r0, r.stop AS r1, o.s AS os, CASE WHEN c.rev THEN reverse(e.quality) ELSE e.quality END AS oq, e.sequence, e.quality, e.read_id
     FROM chosen c JOIN reads e ON e.read_index = c.read_index JOIN strands o ON o.read_index = c.read_index AND o.rev = c.rev
     LEFT JOIN best l ON l.read_index = c.read_index AND l.anchor = 'left' LEFT JOIN best r ON r.read_index = c.read_index AND r.anchor = 'right')"""
+_HITS = f"{_PLACES}, {_MISMATCHES}, {_CHOICE}"
 _SEGMENT = """seg AS (SELECT *, CASE WHEN l1 IS NULL OR r0 IS NULL OR r0 < l1 THEN 'missing' WHEN r0 - l1 < 40 THEN 'too_short' WHEN r0 - l1 > 80 THEN 'too_long' ELSE 'pass' END AS status,
     CASE WHEN r0 >= l1 THEN substr(os, l1 + 1, r0 - l1) END AS part, CASE WHEN r0 >= l1 THEN substr(oq, l1 + 1, r0 - l1) END AS pq FROM pair)"""
 _FLAGS = """seen AS (SELECT seg.*, q.qs, l0 / nullif(seg.n, 0) AS o5, (seg.n - r1) / nullif(seg.n, 0) AS o3,
@@ -325,8 +352,11 @@ def oracle_sql() -> dict:
         "exact_hits": f"""WITH {_READS}, s AS (SELECT read_index, upper(sequence) AS s, reverse(translate(upper(sequence), 'ACGTN', 'TGCAN')) AS r FROM reads),
           f AS (SELECT read_index, list_filter(range(0, greatest(length(s) - 2, 0)), lambda i: substr(s, i + 1, 3) = 'ACA') AS f, list_filter(range(0, greatest(length(r) - 2, 0)), lambda i: substr(r, i + 1, 3) = 'ACA') AS g FROM s),
           k AS (SELECT *, CASE WHEN len(f) = 0 THEN 0 WHEN len(f) > 1 THEN 1 ELSE 2 END AS fk, CASE WHEN len(g) = 0 THEN 0 WHEN len(g) > 1 THEN 1 ELSE 2 END AS gk FROM f)
-          SELECT read_index, unnest(f)::INTEGER AS start FROM k WHERE NOT (gk = 2, gk > 0, len(g)) > (fk = 2, fk > 0, len(f))""",
+          SELECT read_index, CASE WHEN t THEN 'reversed' ELSE 'forward' END AS orientation, unnest(CASE WHEN t THEN g ELSE f END)::INTEGER AS start
+          FROM (SELECT *, (gk = 2, gk > 0, len(g)) > (fk = 2, fk > 0, len(f)) AS t FROM k) c""",
         "hamming_hits": f"{hits} SELECT read_index, CASE WHEN rev THEN 'reversed' ELSE 'forward' END AS orientation, anchor, start, stop, distance FROM own",
+        "edit_hits": f"""WITH {_READS}, {_PLACES}, {_EDITS}, {_CHOICE} SELECT read_index, CASE WHEN rev THEN 'reversed' ELSE 'forward' END AS orientation, anchor, start, stop, distance,
+          substitutions, insertions, deletions, cigar, matched FROM own""",
         "edit_distances": f"""WITH {_READS}, a AS (SELECT read_index, false AS rev, upper(sequence) AS s FROM reads UNION ALL SELECT read_index, true, reverse(translate(upper(sequence), 'ACGTN', 'TGCAN')) FROM reads),
           p AS (SELECT read_index, rev, s, anchor, motif, unnest(range(1, length(s) + 1)) AS i FROM a, (VALUES ('left', '{LEFT}'), ('right', '{RIGHT}')) m(anchor, motif))
           SELECT read_index, rev AS is_reversed, anchor, min(least(levenshtein(substr(s, i, 15), motif), levenshtein(substr(s, i, 16), motif), levenshtein(substr(s, i, 17), motif)))::INTEGER AS distance

@@ -133,15 +133,29 @@ class FastqSource(DataSource):
 
 
 def read_fastq(spark: SparkSession, *paths: str, range_bytes: int = RANGE) -> DataFrame:
-    """The reads of FASTQ files, gzipped if they end in ``.gz``, in the files' order by read_index."""
+    """The reads of FASTQ files, gzipped if they end in ``.gz``, in the files' order by read_index. ValueError: no such file."""
+    for path in map(str, paths):
+        if "://" not in path and not Path(path).is_file():
+            raise ValueError(f"There is no FASTQ file at {path}")
     spark.dataSource.register(FastqSource)
     return spark.read.format("fastq").option("rangeBytes", range_bytes).load("\n".join(map(str, paths)))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan's rows over all cores, where it has fewer partitions than there are (a gzipped file has one).
+
+    Only for scans, whose partitions are known without running anything.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def list_fastq(source: str | Path, pattern: str = "*.fastq*") -> list[Path]:
     """The files of a folder that match, or those that a text file lists, one a line, relative to it."""
     source = Path(source)
     if source.is_dir():
         return sorted(source.glob(pattern))
+    if not source.is_file():
+        raise ValueError(f"There is no folder and no list of files at {source}")
     listed = (line.strip() for line in source.read_text(encoding="utf-8").splitlines())
     return [Path(x) if Path(x).is_absolute() else source.parent / x for x in listed if x]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gzip
+import math
 import struct
 from collections.abc import Iterable, Iterator, Mapping
 
@@ -24,6 +25,11 @@ def read_sam(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(parse_tags(F.slice("f", 12, F.greatest(F.size("f") - 11, F.lit(0)))).alias("tags"))
 
 
+def _length(tag: str, value):
+    """A length in ``pt`` that is given as a float is cut to a whole number, as its type isn't known later."""
+    return int(value) if tag == "pt" and isinstance(value, float) and math.isfinite(value) else value
+
+
 def bam_tags(data: bytes) -> dict[str, str]:
     """Tags of one BAM record's tail, values as text."""
     tags, at = {}, 0
@@ -33,6 +39,7 @@ def bam_tags(data: bytes) -> dict[str, str]:
         if kind in _NUMBERS:
             (value,) = struct.unpack_from("<" + _NUMBERS[kind], data, at)
             at += struct.calcsize("<" + _NUMBERS[kind])
+            value = _length(tag, value)
         elif kind == "A":
             value, at = chr(data[at]), at + 1
         elif kind in "ZH":
@@ -91,7 +98,7 @@ def read_bam(spark: SparkSession, *paths: str) -> DataFrame:
 
 def tag_records(spark: SparkSession, records: Iterable[Mapping]) -> DataFrame:
     """Records from memory."""
-    return spark.createDataFrame([({k: str(v) for k, v in r.items()},) for r in records], "tags map<string,string>")
+    return spark.createDataFrame([({k: str(_length(k, v)) for k, v in r.items()},) for r in records], "tags map<string,string>")
 
 
 def read_whitelist(spark: SparkSession, path: str) -> DataFrame:
