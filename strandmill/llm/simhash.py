@@ -21,8 +21,8 @@ from .common import connected_components, free_name, table
 SHINGLE, BITS, SEED = 4, 4, 42
 #: Ends of the segments: BITS + 1 of them, of 13 or 12 bits, so that at least one is equal.
 SEGMENTS = ((0, 13), (13, 26), (26, 39), (39, 52), (52, 64))
-#: Fingerprints of a bucket that are compared as one block.
-BLOCK = 1024
+#: Fingerprints of a bucket that are compared as one block, and how many a bucket may have before it is split.
+BLOCK, MOST_IN_BUCKET = 1024, 8192
 
 
 def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -138,13 +138,20 @@ def fingerprint_links(prints: DataFrame) -> DataFrame:
     given: at most one a fingerprint and bucket, not all pairs.
     """
     n = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    value = lambda k: F.shiftrightunsigned("_fp", SEGMENTS[k][0]).bitwiseAND(F.lit((1 << (SEGMENTS[k][1] - SEGMENTS[k][0])) - 1).cast("long"))
+    m = len(SEGMENTS)
     segments = [
-        F.struct(F.lit(k).alias("_k"), F.shiftrightunsigned("_fp", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)).alias("_value"))
-        for k, (lo, hi) in enumerate(SEGMENTS)
+        F.struct(F.lit(k).cast("long").alias("_k"), value(k).alias("_value"), value((k + 1) % m).alias("_next"), F.lit(SEGMENTS[(k + 1) % m][1] - SEGMENTS[(k + 1) % m][0]).alias("_width"))
+        for k in range(m)
     ]
-    rows = prints.select("_fp").distinct().select("_fp", F.explode(F.array(*segments)).alias("_s")).select(
-        F.col("_s._k").cast("long").alias("_k"), F.col("_s._value").cast("long").alias("_value"), "_fp"
-    )
+    rows = prints.select("_fp").distinct().select("_fp", F.explode(F.array(*segments)).alias("_s")).select("_fp", "_s.*")
+    # at most a row for each value of each segment, so under 2^16 of them, however many fingerprints there are
+    full = rows.groupBy("_k", "_value").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > MOST_IN_BUCKET).select("_k", "_value", F.lit(True).alias("_full"))
+    # by the chain's second budget the next segment differs in one bit at most: a full bucket is split by that segment, and
+    # each fingerprint is also in the parts that are one bit away
+    one_away = F.transform(F.sequence(F.lit(-1), F.col("_width") - 1), lambda i: F.when(i < 0, F.col("_next")).otherwise(F.col("_next").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))))
+    rows = rows.join(F.broadcast(full), ["_k", "_value"], "left").select("_k", "_value", "_fp", F.explode(F.when(F.col("_full"), F.transform(one_away, lambda x: x + 1)).otherwise(F.array(F.lit(0).cast("long")))).alias("_part"))
+    rows = rows.select("_k", (F.col("_part") * (1 << 16) + F.col("_value")).alias("_value"), "_fp")
     return rows.repartition(n, "_k", "_value").sortWithinPartitions("_k", "_value", "_fp").mapInArrow(_links, "u long, v long")
 
 
