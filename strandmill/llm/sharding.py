@@ -1,8 +1,9 @@
 """Sharding by sampled splitters: equal bytes per shard, equal texts next to each other.
 
 Every record gets a sort key (digest of its text, then its id). A size-weighted sample of the keys gives quantile
-boundaries; records are range-partitioned by them; a range that holds more than its share, or that lies across the
-end of a shard, is subdivided by the running size within it. Only ids, sizes and digests are shuffled, never texts.
+boundaries; records are range-partitioned by them. Ranges that turn out overfull get a sample and boundaries of their
+own, and are subdivided; one that lies across the end of a shard is cut by the running size within it. Only ids, sizes
+and digests are shuffled, never texts.
 """
 
 from __future__ import annotations
@@ -17,8 +18,8 @@ from .common import table
 #: Ranges: one for so many rows, between the two bounds. The upper bound also bounds the splitters (48 bytes each)
 #: and the table of range totals, which is what gets broadcast.
 ROWS_A_RANGE, LEAST_RANGES, MOST_RANGES = 20_000, 64, 16_384
-#: Keys drawn per boundary.
-DRAWS = 4
+#: Keys drawn per boundary; a range is overfull from so many times its share on, and is subdivided so often at most.
+DRAWS, OVERFULL, ROUNDS = 4, 2, 3
 
 
 def _sort_key(digest: Column, ident: Column) -> Column:
@@ -39,13 +40,34 @@ def _range_of(key: Column, splitters: list[str]) -> Column:
     return block * step + within
 
 
+def _in_ranges(keyed: DataFrame, splitters: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The records with their ranges, and each range's bytes and rows."""
+    ranged = keyed.withColumn("_range", _range_of(F.col("_key"), splitters))
+    return ranged, ranged.groupBy("_range").agg(F.sum("size").alias("_bytes"), F.count(F.lit(1)).alias("_rows"))
+
+
+def _subdivisions(ranged: DataFrame, overfull: dict[int, int], share: int, u: Column) -> list[str]:
+    """Boundaries within overfull ranges, from a sample of their records in which DRAWS a share are expected."""
+    if not overfull:
+        return []
+    drawn: dict[int, list[str]] = {}
+    for r in ranged.where(F.col("_range").isin(list(overfull)) & (u < F.col("size") * F.lit(DRAWS / share))).select("_range", "_key").collect():
+        drawn.setdefault(r[0], []).append(r[1])
+    out = []
+    for k, keys in drawn.items():
+        parts = -(-overfull[k] // share)
+        keys.sort()
+        out += [keys[len(keys) * i // parts] for i in range(1, parts)]
+    return sorted(set(out))
+
+
 def shard_by_bytes(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col: str = "text", seed: int = 42) -> DataFrame:
     """One row per record: id, size, text_crc32, shard, slot.
 
     size is the text's UTF-8 bytes plus 1. In the order of (md5 of the text, id) a record goes to the shard in which
     its first byte falls when all bytes are cut in n_shards equal parts, so shards differ by at most one record's
     size, equal texts are neighbours, and a group of copies larger than a shard is cut where the shard ends.
-    slot counts from 0 without gaps in each shard.
+    slot counts from 0 without gaps in each shard. Very long texts count whole.
 
     Null text: as the empty text (size 1, crc 0). Null id: sorts before all others of its text. Repeated rows: each
     is placed. Empty table: empty result. Other columns of the input are ignored, whatever their names.
@@ -71,8 +93,15 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", t
     keys = sorted(r[0] for r in drawn.select("_key").collect())  # at most MOST_RANGES * DRAWS keys
     splitters = sorted({keys[len(keys) * i // n_ranges] for i in range(1, n_ranges)}) if keys else []
 
-    ranged = keyed.withColumn("_range", _range_of(F.col("_key"), splitters))
-    sums = ranged.groupBy("_range").agg(F.sum("size").alias("_bytes"), F.count(F.lit(1)).alias("_rows"))
+    ranged, sums = _in_ranges(keyed, splitters)
+    for k in range(ROUNDS):
+        overfull = {r[0]: r[1] for r in sums.where((F.col("_bytes") > OVERFULL * total // n_ranges) & (F.col("_rows") > 1)).select("_range", "_bytes").collect()}
+        more = _subdivisions(ranged, overfull, max(1, total // n_ranges), u=F.pmod(F.xxhash64("_key", F.lit(seed + 1 + k)), F.lit(2**52)) / F.lit(float(2**52)))
+        room = MOST_RANGES * 2 - len(splitters)
+        if not set(more) - set(splitters) or room <= 0:
+            break
+        splitters = sorted({*splitters, *more[:: -(-len(more) // room)]})
+        ranged, sums = _in_ranges(keyed, splitters)
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # over at most MOST_RANGES rows
     bases = sums.select(
         "_range",
