@@ -3,32 +3,38 @@
 Vectors are grouped by length, longest first. For each bucket a query's running threshold becomes a bound on the
 cosine that a vector of the bucket needs; the bucket is left out where no vector can reach it, pruned by length where
 the bound is low, and by its heaviest coordinates where it is high. What is left is verified by exact products.
+
+Candidates are searched where they are read and never shuffled. Queries go to them in blocks of a bounded size; each block
+first meets the longest vectors, and the thresholds found there are handed on to the search of all.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import stored, table
 
 SCALE, K, QUERIES_ONE_IN = 256, 5, 50
-#: Vectors in a bucket, and rows and queries of one task.
-BUCKET, ROWS_A_CELL, QUERIES_A_CELL = 2048, 65_536, 4096
+#: Vectors in a bucket, vectors that a task holds at a time and of which the longest give the first thresholds, and bytes
+#: of a block of queries.
+BUCKET, ROWS_A_CELL, BLOCK_BYTES = 2048, 65_536, 8 << 20
 #: From this bound on the cosine on, coordinates prune before products are taken.
 HIGH_COSINE = 0.6
 #: Products are exact as long as no sum of them can reach this; beyond, they are a filter and scores are Python integers.
 EXACT = float(1 << 53)
 
 
-def top_in_cell(q_ids: np.ndarray, q: np.ndarray, v_ids: np.ndarray, v: np.ndarray, k: int = K, stats: dict | None = None) -> list[tuple[int, int, int]]:
+def top_in_cell(q_ids: np.ndarray, q: np.ndarray, v_ids: np.ndarray, v: np.ndarray, k: int = K, stats: dict | None = None, least: np.ndarray | None = None) -> list[tuple[int, int, int]]:
     """(query id, vector id, score) of each query's k best vectors here, itself left out, ties to smaller ids.
 
     q and v: integer-valued float64 matrices. Where their products may be inexact, see :func:`top_of_large`.
+    least: scores that each query has k vectors of elsewhere; vectors below may be left out.
     """
     if q.size and v.size and not _least_sum(q, v) < EXACT:
         return top_of_large(q_ids, q, v_ids, v, k)
@@ -38,9 +44,10 @@ def top_in_cell(q_ids: np.ndarray, q: np.ndarray, v_ids: np.ndarray, v: np.ndarr
     q_norms = np.sqrt((q * q).sum(1))
     best = np.full((len(q), k), -np.inf)
     best_ids = np.full((len(q), k), np.iinfo(np.int64).max)
+    floor = np.full(len(q), -np.inf) if least is None else least
     for at in range(0, len(v), BUCKET):
         b, b_ids, longest = v[at : at + BUCKET], v_ids[at : at + BUCKET], norms[at]
-        least = best[:, -1]
+        least = np.maximum(best[:, -1], floor)
         with np.errstate(divide="ignore", invalid="ignore"):
             bound = np.where(q_norms * longest > 0, least / (q_norms * longest), np.where(least > 0, np.inf, -1.0))
         live = np.nonzero(bound <= 1 + 1e-9)[0]
@@ -55,20 +62,20 @@ def top_in_cell(q_ids: np.ndarray, q: np.ndarray, v_ids: np.ndarray, v: np.ndarr
                     f = np.argsort(-np.abs(q[i]), kind="stable")[: max(1, q.shape[1] // 8)]
                     part = b[:, f] @ q[i, f]
                     rest = np.sqrt(np.maximum(q_norms[i] ** 2 - (q[i, f] ** 2).sum(), 0)) * np.sqrt(np.maximum(norms[at : at + BUCKET] ** 2 - (b[:, f] ** 2).sum(1), 0))
-                    some = np.nonzero(part + rest >= best[i, -1] - 1e-6 * (1 + abs(best[i, -1])))[0]
+                    some = np.nonzero(part + rest >= least[i] - 1e-6 * (1 + abs(least[i])))[0]
                     _merge(i, q_ids, b_ids[some], b[some] @ q[i], best, best_ids)
                     if stats is not None:
                         stats["verified"] = stats.get("verified", 0) + len(some)
                 continue
             # by length: the bucket's vectors are in descending length, so each query takes a prefix of them
             if len(rows):
-                need = np.where(q_norms[rows] > 0, best[rows, -1] / np.maximum(q_norms[rows], 1e-300), -np.inf)
+                need = np.where(q_norms[rows] > 0, least[rows] / np.maximum(q_norms[rows], 1e-300), -np.inf)
                 take = int(np.searchsorted(-norms[at : at + BUCKET], -(need.min() - 1e-9), side="right"))
                 scores = q[rows] @ b[:take].T
                 if stats is not None:
                     stats["verified"] = stats.get("verified", 0) + scores.size
                 for n, i in enumerate(rows.tolist()):
-                    some = np.nonzero(scores[n] >= best[i, -1])[0]
+                    some = np.nonzero(scores[n] >= least[i])[0]
                     _merge(i, q_ids, b_ids[:take][some], scores[n, some], best, best_ids)
     return [(int(q_ids[i]), int(best_ids[i, n]), int(best[i, n])) for i in range(len(q)) for n in range(k) if best[i, n] > -np.inf]
 
@@ -142,56 +149,91 @@ def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: int = SCA
 def top_products(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, one_in: int = QUERIES_ONE_IN, scale: int = SCALE) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k best inner products with all other rows, ties to smaller ids.
 
-    Queries are the rows whose id is divisible by one_in. Cells of so many rows, by ranges of length, and so many
-    queries are searched each in a task of its own; the k best of each cell are merged by a window over k rows a cell.
+    Queries are the rows whose id is divisible by one_in. They are dealt to blocks of about BLOCK_BYTES by a hash of
+    their id, and each block is searched for in all rows; a task keeps k vectors a query.
 
     Vectors that are null or hold a null or non-finite component, and rows with a null id take no part. Scores rank
     exactly however large; one beyond 64 bits is given as null, at its rank. Components of over 2^1024 / scale raise. Vectors of different dimension aren't compared. Rows that repeat an id are candidates each, but
     not for queries of their own id; a query id that repeats is answered over all its rows' vectors. Empty vectors
     score 0. Empty table: empty result. Other columns are ignored.
     """
+    spark = vectors.sparkSession
     all_ = quantised(vectors, id_col, vector_col, scale)
-    rows, least, most, queries = all_.agg(F.count(F.lit(1)), F.min("n"), F.max("n"), F.count_if(F.col("vec_id") % one_in == 0)).first()
-    n_cells, n_blocks = max(1, -(-rows // ROWS_A_CELL)), max(1, -(-queries // QUERIES_A_CELL))
-    # ranges of length by its distribution, so that each cell has about as many rows; ties are dealt by id
-    cuts = all_.approxQuantile("n", [i / n_cells for i in range(1, n_cells)], 0.001) if n_cells > 1 and rows else []
-    cell = F.lit(0)
-    for c in sorted(set(cuts)):
-        cell = cell + F.when(F.col("n") > c, 1).otherwise(0)
-    spread = F.pmod(F.xxhash64("vec_id"), F.lit(max(1, n_cells))) if cuts and len(set(cuts)) < n_cells // 2 + 1 else F.lit(0)
-    candidates = all_.select("vec_id", "x", (cell * n_cells + spread).cast("int").alias("cell"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"))
-    asked = all_.where(F.col("vec_id") % one_in == 0).select(
-        "vec_id", "x", F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).cast("int").alias("block")
-    )
-    cells = candidates.select("cell").distinct().agg(F.collect_list("cell").alias("c")).first().c
-    asked = asked.withColumn("cell", F.explode(F.array(*map(F.lit, cells)) if cells else F.lit(None).cast("array<int>")))
-    found = (
-        asked.groupBy("cell", "block").cogroup(candidates.groupBy("cell", "block")).applyInPandas(_cell(k), "query_id long, vec_id long, score long, _key binary")
-    )
+    asks = F.col("vec_id") % one_in == 0
+    rows, size = all_.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.when(asks, F.size("x") * 8 + 64)), F.lit(0))).first()
+    blocks = -(-size // BLOCK_BYTES)
+    longest = all_.where(F.col("n") >= all_.approxQuantile("n", [1 - ROWS_A_CELL / rows], 0.01)[0]) if rows > 4 * ROWS_A_CELL else None
+    kind = "query_id long, vec_id long, score long, _key binary"
     order = Window.partitionBy("query_id").orderBy(F.desc("_key"), "vec_id")
-    return (
-        found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
-    )
-
-
-def _cell(k: int):
-    def run(asked: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        found: list[tuple[int, int, int]] = []
-        dims = rows["x"].map(len)
-        for dim, part in asked.groupby(asked["x"].map(len)):
-            mine = rows[dims == dim]
-            if len(mine):
-                shape = lambda f: np.array(f["x"].tolist(), np.float64).reshape(len(f), dim)
-                q, v = shape(part), shape(mine)
-                if not (np.isfinite(q).all() and np.isfinite(v).all()):
-                    raise ValueError("a finite component is beyond a double when scaled")
-                found += top_in_cell(part["vec_id"].to_numpy(np.int64), q, mine["vec_id"].to_numpy(np.int64), v, k)
-        fits = lambda n: n if -(1 << 63) <= n < 1 << 63 else None
-        q_ids, v_ids, scores = zip(*found) if found else ((), (), ())
-        return pd.DataFrame({
-            "query_id": pd.Series(q_ids, dtype="int64"), "vec_id": pd.Series(v_ids, dtype="int64"),
-            "score": pd.Series([fits(n) for n in scores], dtype="Int64"), "_key": pd.Series([score_key(n) for n in scores], dtype="object"),
-        })
+    best_of = lambda found: found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    parts = []
+    for block in range(blocks):
+        asked = all_.where(asks & (F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block)).select("vec_id", "x").toArrow()
+        queries = [(ids, q) for _, ids, q in _by_dimension([asked])]
+        least: dict[int, float] = {}
+        if longest is not None:
+            first = best_of(longest.select("vec_id", "x").mapInArrow(_search(spark.sparkContext.broadcast((queries, least)), k), kind))
+            least = {r.query_id: float(r.score) for r in first.where(F.col("rank") == k).collect() if r.score is not None}  # a row a query of the block
+        found = best_of(all_.select("vec_id", "x").mapInArrow(_search(spark.sparkContext.broadcast((queries, least)), k), kind))
+        parts.append(found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))
+        if blocks > 1:  # one job a block, so that the next one's queries come when these are through
+            parts[-1] = stored(parts[-1], "top-k")
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+
+
+def _by_dimension(batches: list) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(dimension, ids, matrix) of the vectors of batches or tables, for each dimension there is."""
+    ids, lengths, flat = [], [], []
+    for b in batches:
+        for x in b.column("x").chunks if isinstance(b, pa.Table) else [b.column("x")]:
+            lengths.append(x.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+            flat.append(x.flatten().to_numpy(zero_copy_only=False))
+        ids.append(b.column("vec_id").to_numpy().astype(np.int64))
+    if not ids:
+        return
+    ids, lengths, flat = np.concatenate(ids), np.concatenate(lengths or [np.zeros(0, np.int64)]), np.concatenate(flat or [np.zeros(0)])
+    if not (np.isfinite(flat).all()):
+        raise ValueError("a finite component is beyond a double when scaled")
+    for dim in np.unique(lengths).tolist():
+        own = lengths == dim
+        yield dim, ids[own], flat[np.repeat(own, lengths)].reshape(int(own.sum()), dim)
+
+
+def _search(shared, k: int):
+    """For mapInArrow: each query's k best of a task's vectors, which are searched ROWS_A_CELL at a time."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries, known = shared.value
+        best: dict[int, list[tuple[int, int, int]]] = {}
+
+        def search(held: list) -> None:
+            for dim, v_ids, v in _by_dimension(held):
+                for q_ids, q in queries:
+                    if q.shape[1] != dim:
+                        continue
+                    # a query has k here, or somewhere else, of at least this score
+                    own = [(-best[i][k - 1][0] if len(best.get(i, ())) >= k else float("-inf")) for i in q_ids.tolist()]
+                    least = np.array([max(a, known.get(i, float("-inf"))) for a, i in zip(own, q_ids.tolist())], float)
+                    found: dict[int, list[tuple[int, int, int]]] = {}
+                    for i, c, score in top_in_cell(q_ids, q, v_ids, v, k, least=least):
+                        found.setdefault(i, []).append((-score, c))
+                    for i, more in found.items():
+                        best[i] = sorted([*best.get(i, ()), *more])[:k]
+
+        held, n = [], 0
+        for b in batches:
+            held.append(b)
+            n += b.num_rows
+            if n >= ROWS_A_CELL:
+                search(held)
+                held, n = [], 0
+        search(held)
+        out = [(i, c, -s) for i, top in best.items() for s, c in top]
+        fits = lambda s: s if -(1 << 63) <= s < 1 << 63 else None
+        yield pa.RecordBatch.from_arrays([
+            pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([fits(x[2]) for x in out], pa.int64()),
+            pa.array([score_key(x[2]) for x in out], pa.binary()),
+        ], ["query_id", "vec_id", "score", "_key"])
 
     return run
 
