@@ -46,15 +46,16 @@ def shared_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, what: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Write df once to the shared folder and read it back: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = shared_path(spark, what)
-    writer = df.write.mode("overwrite")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def store(df: DataFrame, what: str) -> tuple[DataFrame, str]:
+    """Write df once to the shared folder and read it back: cuts the lineage and survives lost executors. Also its path."""
+    path = shared_path(df.sparkSession, what)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def stored(df: DataFrame, what: str) -> DataFrame:
+    """As :func:`store`, for tables that stay until the shared folder goes, since results still read them."""
+    return store(df, what)[0]
 
 
 #: Stored tables of at most so many bytes are broadcast; larger ones are shuffled.

@@ -133,7 +133,9 @@ def test_fingerprint_and_spark_hash(spark):
     assert simhash.fingerprint("one two") == spark.range(1).select(F.xxhash64(F.lit("one two"))).first()[0] % (1 << 64)
 
 
-def test_components_are_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("most", [8192, 0])
+def test_components_are_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(simhash, "MOST_IN_BUCKET", most)  # 0: every bucket is split
     rng = random.Random(6)
     base = [words(rng, 150) for _ in range(12)]
     rows = []
@@ -191,7 +193,10 @@ def test_long_chain_of_links(spark):
 # ---------------------------------------------------------------- 5
 
 
-def test_shards(spark):
+@pytest.mark.parametrize("overfull", [2, 0])
+def test_shards(spark, monkeypatch, overfull):
+    monkeypatch.setattr(sharding, "OVERFULL", overfull)  # 0: every range of two rows is subdivided
+    monkeypatch.setattr(sharding, "LEAST_RANGES", 4 if not overfull else 64)
     rng = random.Random(5)
     rows = [(i, words(rng, rng.randrange(0, 60))) for i in range(400)] + [(1000 + i, "the same text again " * 9) for i in range(200)] + [(2000, None), (2001, ""), (None, "null id"), (None, "null id"), (3, words(rng, 3))]
     docs = frame(spark, rows)
@@ -407,9 +412,9 @@ def test_top_products_are_brute_force(spark, monkeypatch):
         if q % 50 == 0:
             best = sorted((-int(a @ b), c) for c, b in fine if c != q and len(a) == len(b))[:5]
             want |= {(q, n + 1, c, -s) for n, (s, c) in enumerate(best)}
-    for cell, block in ((65_536, 4096), (100, 5)):
+    for cell, block in ((65_536, 1 << 20), (100, 700)):
         monkeypatch.setattr(topk, "ROWS_A_CELL", cell)
-        monkeypatch.setattr(topk, "QUERIES_A_CELL", block)
+        monkeypatch.setattr(topk, "BLOCK_BYTES", block)
         assert {tuple(r) for r in topk.top_products(frame_).collect()} == want
     assert topk.top_products(frame_.limit(0)).count() == 0
 
