@@ -8,13 +8,11 @@ also encoded by the ``sentencepiece`` library itself, to verify parity.
 from __future__ import annotations
 
 import os
-import re
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
-from itertools import chain
 
 import pyarrow as pa
 from pyspark import SparkFiles
@@ -30,9 +28,6 @@ UNIGRAM, BPE = 1, 2
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 #: A batch handed to the library holds about so many characters (encodings take some hundred bytes a token).
 BATCH_CHARS = 1 << 20
-#: Different words whose ids a worker keeps.
-WORDS = 1 << 17
-_WORD = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 #: One text in so many is also encoded by the sentencepiece library: every one.
 PARITY_ONE_IN = 1
 
@@ -137,38 +132,36 @@ class Codec:
             self.data = f.read()
         self.model = parse_model(self.data)
         self.tokenizer = build_tokenizer(self.model)
-        self._words = self._word_tokenizer()
-        self._known: dict[str, list[int]] = {}
+        self._marked = self._marked_tokenizer()
         self._reference = None
         mark = SPACE if self.model.escape_whitespaces else " "
         self._bytes = [bytes([int(p[3:-1], 16)]) if kind == BYTE else b"" if kind == CONTROL else p.replace(mark, " ").encode("utf-8") for p, _, kind in self.model.pieces]
 
-    def _word_tokenizer(self):
-        """The model without normaliser and cuts, for single words; None where texts can't be cut into words."""
-        from tokenizers import Tokenizer
+    def _marked_tokenizer(self):
+        """The tokenizer without its normaliser, for texts that have their markers, one between two words; None where it does more.
 
-        return Tokenizer(self.tokenizer.model) if self.tokenizer.pre_tokenizer is not None else None
+        The library keeps track of each character through its normaliser and through cuts at a pattern, which takes it as
+        long as much of the encoding; both are plain replacements here.
+        """
+        from tokenizers import Tokenizer, pre_tokenizers
 
-    def _normalised(self, text: str) -> str:
         m = self.model
-        if m.charsmap or m.remove_extra_whitespaces:
-            return self.tokenizer.normalizer.normalize_str(text)
-        return (SPACE if m.add_dummy_prefix and text else "") + text.replace(" ", SPACE)
+        if m.charsmap or m.remove_extra_whitespaces or self.tokenizer.pre_tokenizer is None:
+            return None
+        marked = Tokenizer(self.tokenizer.model)
+        marked.pre_tokenizer = pre_tokenizers.Split(SPACE, "merged_with_next")
+        return marked
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        """The ids of each text. Where texts can be cut into words, the library encodes each different word once.
-
-        The words met so far are kept, up to WORDS of them; those still unknown of all texts go to it as one batch.
-        """
-        if self._words is None:
-            return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        cut = [_WORD.findall(self._normalised(t)) for t in texts]
-        if len(self._known) > WORDS:
-            self._known.clear()
-        new = list({w for words in cut for w in words}.difference(self._known))
-        self._known.update(zip(new, (e.ids for e in self._words.encode_batch_fast(new, add_special_tokens=False))))
-        ids = self._known.__getitem__
-        return [list(chain.from_iterable(map(ids, words))) for words in cut]
+        """The ids of each text, in batches on the library's threads."""
+        ids = lambda tokenizer, some: [e.ids for e in tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+        if self._marked is None:
+            return ids(self.tokenizer, texts)
+        marked = [(SPACE if self.model.add_dummy_prefix and t else "") + t.replace(" ", SPACE) for t in texts]
+        twice = [SPACE * 2 in t for t in marked]
+        plain = iter(ids(self._marked, [t for t, x in zip(marked, twice) if not x]))
+        other = iter(ids(self.tokenizer, [t for t, x in zip(texts, twice) if x]))
+        return [next(other) if x else next(plain) for x in twice]
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         """The pieces' bytes joined, without the prefix that encoding adds; bytes that are no UTF-8 become U+FFFD."""
