@@ -22,7 +22,7 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("--config", required=True)
         p.add_argument("--outdir", required=True)
         p.add_argument("--fastq" if name == "run" else "--input")
-        for flag in ("--export-csv", "--output-passed-fastq", "--output-failed-fastq", "--gzip-output"):
+        for flag in ("--export-csv", "--output-passed-fastq", "--output-failed-fastq", "--gzip-output", "--parts"):
             p.add_argument(flag, action="store_true")
         if name == "batch":
             p.add_argument("--pattern", default="*.fastq*")
@@ -58,7 +58,7 @@ def main(argv: list[str] | None = None) -> int:
             qc.audit_file(spark, a.input, a.outdir, a.sample_name)
             return 0
         s = settings.load(a.config)
-        options = {"export_csv": a.export_csv, "passed_fastq": a.output_passed_fastq, "failed_fastq": a.output_failed_fastq, "gzip_output": a.gzip_output}
+        options = {"export_csv": a.export_csv, "passed_fastq": a.output_passed_fastq, "failed_fastq": a.output_failed_fastq, "gzip_output": a.gzip_output, "parts": a.parts}
         listed = s.samples or []
         if a.command == "run":
             if len(listed) > 1:

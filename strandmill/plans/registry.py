@@ -19,6 +19,7 @@ from strandmill.sources.fastq import spread
 
 FLAGSHIP = "bucket_counts"
 LEFT, RIGHT = "AACCGGTTACGTCAGT", "TGCATGCAAGCTTCGA"
+WINDOW = 40
 _HEX, _BASES = "0123456789abcdef", "ACGTACGTACGTACGT"
 
 READS = f"""
@@ -40,11 +41,15 @@ FROM (SELECT doc_id, q, CASE k
 WHITELIST = f"SELECT DISTINCT substr(translate(md5(concat('w:', s_suppkey)), '{_HEX}', '{_BASES}'), 1, 8) AS barcode FROM {{supplier}} WHERE s_suppkey IS NOT NULL"
 
 
-def query_settings(edits: bool = False) -> settings.Settings:
-    """What the queries look for: two anchors with one mismatch (or one edit) each, a segment, and 8 + 4 bp of barcode and UMI."""
+def query_settings(edits: bool = False, window: int | None = None) -> settings.Settings:
+    """What the queries look for: two anchors with one mismatch (or one edit) each, a segment, and 8 + 4 bp of barcode and UMI.
+
+    window: the left anchor is looked for in so many bases of the 5' end, the right one in as many of the 3' end.
+    """
     tolerance = {"max_edits": 1} if edits else {"max_mismatches": 1}
+    left, right = ({"search_region": end, "search_window_bp": window} if window else {} for end in ("5p", "3p"))
     return settings.from_dict({
-        "anchors": [{"name": "left", "type": "fixed", "sequence": LEFT, **tolerance}, {"name": "right", "type": "fixed", "sequence": RIGHT, **tolerance}],
+        "anchors": [{"name": "left", "type": "fixed", "sequence": LEFT, **tolerance, **left}, {"name": "right", "type": "fixed", "sequence": RIGHT, **tolerance, **right}],
         "structure": {
             "expected_order": ["left", "right"], "anchor_rules": {"left": {}, "right": {}}, "split_concatemers": True,
             "segments": [{"name": "payload", "start_anchor": "left", "end_anchor": "right", "min_length": 40, "max_length": 80}],
@@ -99,6 +104,17 @@ def edit_hits(spark, sf_dir):
     return h.select("read_index", "orientation", "h.*").withColumnRenamed("end", "stop")
 
 
+def window_hits(spark, sf_dir):
+    """Hits of anchors that are looked for near the ends only."""
+    return _kernel_hits(annotate(reads(spark, sf_dir), query_settings(window=WINDOW)))
+
+
+def edit_anchor_stats(spark, sf_dir):
+    """What the anchors' best hits with edits are like."""
+    names = ("mean_best_mismatches", "mean_best_substitutions", "mean_best_insertions", "mean_best_deletions", "multi_hit_ratio", "mean_hits_per_positive_read", "mean_position")
+    return M.anchor_stats(annotated(spark, sf_dir, True)).select("anchor", "reads", *[F.round(c, 6).alias(c) for c in names])
+
+
 def edit_distances(spark, sf_dir):
     """Each anchor's least edits on each strand, where within one."""
     both = reads(spark, sf_dir).withColumn("turned", F.lit(False))
@@ -177,19 +193,22 @@ def length_stats(spark, sf_dir):
 
 
 def quality_levels(spark, sf_dir):
-    """The run's verdicts as rows."""
+    """The run's verdicts as rows, and the worst of those that count; which strand reads are of doesn't, as either will do."""
     s = query_settings()
-    t, far = s.thresholds, annotated(spark, sf_dir)
-    row = M.totals(far, s, F.count_if(F.col("bucket") == "no_anchor").alias("no_anchor"))
+    t = s.thresholds
+    row = M.totals(annotated(spark, sf_dir), s, F.count_if(F.col("bucket") == "no_anchor").alias("no_anchor"))
     n = F.col("total_reads")
-    parts = [
-        F.struct(F.lit(name).alias("metric"), F.round(C.share(part, n), 6).alias("value"), C.level(C.share(part, n), getattr(t, f"warn_{limit}_ratio"), getattr(t, f"fail_{limit}_ratio"), up).alias("status"))
-        for name, part, limit, up in (
-            ("long_high_quality_ratio", F.col("long_high_quality"), "long_high_quality", True), ("correct_anchor_order_ratio", F.col("order_valid"), "correct_anchor_order", True),
-            ("no_anchor_ratio", F.col("no_anchor"), "no_anchor", False), ("high_n_read_ratio", F.col("high_n"), "high_n", False),
-        )
+    level = lambda part, limit, up: C.level(C.share(F.col(part), n), getattr(t, f"warn_{limit}_ratio"), getattr(t, f"fail_{limit}_ratio"), up)
+    counting = [
+        ("long_high_quality_ratio", "long_high_quality", level("long_high_quality", "long_high_quality", True)),
+        ("correct_anchor_order_ratio", "order_valid", level("order_valid", "correct_anchor_order", True)),
+        ("no_anchor_ratio", "no_anchor", level("no_anchor", "no_anchor", False)), ("high_n_read_ratio", "high_n", level("high_n", "high_n", False)),
     ]
-    return row.select(F.inline(F.array(*parts)))
+    one = lambda name, value, status: F.struct(F.lit(name).alias("metric"), value.alias("value"), status.alias("status"))
+    rows = [one(name, F.round(C.share(F.col(part), n), 6), status) for name, part, status in [*counting, ("reversed_read_ratio", "reversed", F.lit("pass"))]]
+    found = F.array(*(status for *_, status in counting))
+    worst = F.when(F.array_contains(found, "fail"), "fail").when(F.array_contains(found, "warn"), "warn").otherwise("pass")
+    return row.select(F.inline(F.array(*rows, one("overall", F.lit(None).cast("double"), worst))))
 
 
 def split_molecules(spark, sf_dir):
@@ -238,7 +257,7 @@ def queries() -> dict:
         "bucket_counts": a(lambda d: _without_first(M.counts_by(d, "bucket"))), "read_metrics": read_metrics, "reverse_complement": strands,
         "length_histogram": plain(M.length_histogram), "qscore_histogram": plain(M.qscore_histogram), "length_q_bins": plain(M.length_q_bins),
         "base_quality_histogram": plain(M.base_quality_histogram), "length_stats": length_stats, "exact_hits": exact_hits, "hamming_hits": a(_kernel_hits),
-        "edit_hits": edit_hits, "edit_distances": edit_distances, "regex_hits": regex_hits, "best_hits": best_hits, "structures": structures, "read_flags": read_flags,
+        "edit_hits": edit_hits, "edit_anchor_stats": edit_anchor_stats, "window_hits": window_hits, "edit_distances": edit_distances, "regex_hits": regex_hits, "best_hits": best_hits, "structures": structures, "read_flags": read_flags,
         "structure_orientation_counts": a(lambda d: _without_first(M.counts_by(d, "label", "orientation"))), "segments": segments, "segment_stats": segment_stats,
         "barcode_status": barcode_status, "barcode_counts": barcode_counts, "top_barcodes": top_barcodes, "umi_stats": umis, "run_totals": run_totals,
         "anchor_stats": anchor_stats, "heatmap": a(M.heatmap), "quality_levels": quality_levels, "split_molecules": split_molecules, "passed_reads": passed_reads,
@@ -357,6 +376,12 @@ def oracle_sql() -> dict:
         "hamming_hits": f"{hits} SELECT read_index, CASE WHEN rev THEN 'reversed' ELSE 'forward' END AS orientation, anchor, start, stop, distance FROM own",
         "edit_hits": f"""WITH {_READS}, {_PLACES}, {_EDITS}, {_CHOICE} SELECT read_index, CASE WHEN rev THEN 'reversed' ELSE 'forward' END AS orientation, anchor, start, stop, distance,
           substitutions, insertions, deletions, cigar, matched FROM own""",
+        "edit_anchor_stats": f"""WITH {_READS}, {_PLACES}, {_EDITS}, {_CHOICE}, c AS (SELECT read_index, anchor, count(*) AS h FROM own GROUP BY ALL)
+          SELECT b.anchor, count(*) AS reads, round(avg(distance), 6) AS mean_best_mismatches, round(avg(substitutions), 6) AS mean_best_substitutions, round(avg(insertions), 6) AS mean_best_insertions,
+          round(avg(deletions), 6) AS mean_best_deletions, round(avg((h > 1)::INTEGER), 6) AS multi_hit_ratio, round(avg(h), 6) AS mean_hits_per_positive_read, round(avg(start / n), 6) AS mean_position
+          FROM best b JOIN c ON c.read_index = b.read_index AND c.anchor = b.anchor GROUP BY 1""",
+        "window_hits": f"""WITH {_READS}, {_PLACES}, {_MISMATCHES.replace("WHERE", f"WHERE CASE anchor WHEN 'left' THEN i + 15 <= {WINDOW} ELSE i > length(s) - {WINDOW} END AND")}, {_CHOICE}
+          SELECT read_index, CASE WHEN rev THEN 'reversed' ELSE 'forward' END AS orientation, anchor, start, stop, distance FROM own""",
         "edit_distances": f"""WITH {_READS}, a AS (SELECT read_index, false AS rev, upper(sequence) AS s FROM reads UNION ALL SELECT read_index, true, reverse(translate(upper(sequence), 'ACGTN', 'TGCAN')) FROM reads),
           p AS (SELECT read_index, rev, s, anchor, motif, unnest(range(1, length(s) + 1)) AS i FROM a, (VALUES ('left', '{LEFT}'), ('right', '{RIGHT}')) m(anchor, motif))
           SELECT read_index, rev AS is_reversed, anchor, min(least(levenshtein(substr(s, i, 15), motif), levenshtein(substr(s, i, 16), motif), levenshtein(substr(s, i, 17), motif)))::INTEGER AS distance
@@ -387,11 +412,12 @@ def oracle_sql() -> dict:
           FROM best b JOIN c ON c.read_index = b.read_index AND c.anchor = b.anchor GROUP BY 1""",
         "heatmap": f"""{whole}, cover AS (SELECT DISTINCT o.read_index, unnest(range(least(99, floor(start / o.n * 100)::INTEGER), least(100, greatest(least(99, floor(start / o.n * 100)::INTEGER) + 1, floor(stop / o.n * 100)::INTEGER)))) AS bin FROM own o)
           SELECT bucket, label, bin::INTEGER AS bin, count(*) AS reads FROM cover JOIN bucketed USING (read_index) GROUP BY ALL""",
-        "quality_levels": f"""{whole}, r AS (SELECT count(*) AS t, count_if(n >= 70 AND qs >= 12) AS a, count_if(label = 'full_structure') AS b, count_if(bucket = 'no_anchor') AS c, count_if(nf >= 0.1) AS d FROM bucketed)
-          SELECT 'long_high_quality_ratio' AS metric, round(a / t, 6) AS value, CASE WHEN a / t < 0.5 THEN 'fail' WHEN a / t < 0.7 THEN 'warn' ELSE 'pass' END AS status FROM r UNION ALL
+        "quality_levels": f"""{whole}, r AS (SELECT count(*) AS t, count_if(n >= 70 AND qs >= 12) AS a, count_if(label = 'full_structure') AS b, count_if(bucket = 'no_anchor') AS c, count_if(nf >= 0.1) AS d, count_if(rev) AS e FROM bucketed),
+          v AS (SELECT 'long_high_quality_ratio' AS metric, round(a / t, 6) AS value, CASE WHEN a / t < 0.5 THEN 'fail' WHEN a / t < 0.7 THEN 'warn' ELSE 'pass' END AS status FROM r UNION ALL
           SELECT 'correct_anchor_order_ratio', round(b / t, 6), CASE WHEN b / t < 0.5 THEN 'fail' WHEN b / t < 0.7 THEN 'warn' ELSE 'pass' END FROM r UNION ALL
           SELECT 'no_anchor_ratio', round(c / t, 6), CASE WHEN c / t > 0.35 THEN 'fail' WHEN c / t > 0.2 THEN 'warn' ELSE 'pass' END FROM r UNION ALL
-          SELECT 'high_n_read_ratio', round(d / t, 6), CASE WHEN d / t > 0.2 THEN 'fail' WHEN d / t > 0.1 THEN 'warn' ELSE 'pass' END FROM r""",
+          SELECT 'high_n_read_ratio', round(d / t, 6), CASE WHEN d / t > 0.2 THEN 'fail' WHEN d / t > 0.1 THEN 'warn' ELSE 'pass' END FROM r)
+          SELECT * FROM v UNION ALL SELECT 'reversed_read_ratio', round(e / t, 6), 'pass' FROM r UNION ALL SELECT 'overall', NULL, min(status) FROM v WHERE status <> 'pass' OR (SELECT bool_and(status = 'pass') FROM v)""",
         "split_molecules": f"""{hits}, o AS (SELECT own.*, lead(anchor) OVER w AS after, lead(stop) OVER w AS until FROM own WINDOW w AS (PARTITION BY own.read_index ORDER BY start, stop, anchor)),
           m AS (SELECT read_index, start, until, row_number() OVER (PARTITION BY read_index ORDER BY start) AS cycle FROM o WHERE anchor = 'left' AND after = 'right')
           SELECT concat(read_id, '|cycle=', cycle) AS read_id, substr(CASE WHEN rev THEN reverse(translate(sequence, 'ACGTNacgtn', 'TGCANtgcan')) ELSE sequence END, start + 1, until - start) AS sequence, substr(oq, start + 1, until - start) AS quality

@@ -23,14 +23,14 @@ HIT_COLUMNS = (
 )
 
 
-def fastq_lines(df: DataFrame) -> DataFrame:
-    """One column ``value``: each read as its four lines."""
-    return df.select(F.concat(F.lit("@"), "read_id", F.lit("\n"), "sequence", F.lit("\n+\n"), "quality").alias("value"))
-
-
 def write_fastq_table(df: DataFrame, path: str, by: str | None = None, compress: bool = False) -> None:
-    """Reads as a folder of FASTQ parts, written by all executors; by: a folder for each of a column's values."""
-    lines = fastq_lines(df) if by is None else df.select(by, F.concat(F.lit("@"), "read_id", F.lit("\n"), "sequence", F.lit("\n+\n"), "quality").alias("value"))
+    """Reads as a folder of FASTQ parts, written by all executors; by: a folder for each of a column's values.
+
+    The parts are ranges of read_index, so one after the other they are in the files' order, as is what is in them.
+    """
+    order = ["read_index", *(["cycle"] if "cycle" in df.columns else [])]
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*([by] if by else []), *order)
+    lines = ranged.select(*([by] if by else []), F.concat(F.lit("@"), "read_id", F.lit("\n"), "sequence", F.lit("\n+\n"), "quality").alias("value"))
     writer = lines.write.mode("overwrite").option("compression", "gzip" if compress else "none")
     (writer.partitionBy(by) if by else writer).text(path)
 

@@ -341,6 +341,11 @@ def test_end_to_end(spark, tmp_path):
     assert len((o / "anchor_hits.csv").read_text().splitlines()) == 7
     assert (o / "report.html").read_text().count("<svg") >= 5
     assert {"summary.json", "summary.csv", "structure_classification.csv", "strandmill_mqc.json", "concatemer_candidate.fastq.gz"} <= {p.name for p in o.iterdir()}
+    again = qc.run_qc(spark, str(tmp_path / "s.fastq"), s, str(tmp_path / "p"), passed_fastq=True, failed_fastq=True, parts=True)
+    assert again["passed_reads_exported"] == 1 == again["failed_reads_exported"]
+    text = lambda folder: "".join(x.read_text() for x in sorted((tmp_path / "p" / folder).glob("part-*")))
+    assert text("split_concatemers.fastq").startswith(f"@two|cycle=1\n{full}\n+\n") and text("split_concatemers.fastq").count("@two|") == 2
+    assert text("passed.fastq") == f"@full\n{full}\n+\n{'I' * 14}\n" and text("by_label.fastq/label=concatemer_candidate").startswith("@two\n")
     (tmp_path / "bad.fastq").write_text("x\n")
     results = qc.run_batch(spark, [tmp_path / "s.fastq", tmp_path / "bad.fastq", tmp_path / "none.fastq"], s, str(tmp_path / "b"), continue_on_error=True)
     assert sorted(r["status"] for r in results) == ["failed", "failed", "success"]
