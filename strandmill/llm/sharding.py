@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import stored, table
 
 #: Ranges: one for so many rows, between the two bounds. The upper bound also bounds the splitters (48 bytes each)
 #: and the table of range totals, which is what gets broadcast.
@@ -79,11 +79,10 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", t
         F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
         F.md5(F.encode(text, "UTF-8")).alias("_digest"),
     ).withColumn("_key", _sort_key(F.col("_digest"), F.col("_id"))).drop("_digest")
+    keyed = stored(keyed, "shard-keys")  # texts are read once; this is some 70 bytes a row
 
     # the sample: the least of -ln(u)/size over all records is a draw weighted by size, and so are the next least
-    rows, total = docs.select(
-        F.count(F.lit(1)), F.sum((F.octet_length(text) + 1).cast("long"))
-    ).first()
+    rows, total = keyed.select(F.count(F.lit(1)), F.sum("size")).first()
     total = total or 0
     n_ranges = min(MOST_RANGES, max(LEAST_RANGES, math.ceil(rows / ROWS_A_RANGE)))
     u = (F.pmod(F.xxhash64("_key", F.lit(seed)), F.lit(2**52)) + 1) / F.lit(float(2**52 + 1))
