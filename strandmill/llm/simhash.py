@@ -41,8 +41,12 @@ def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """The text's fingerprint; bit k of 64 is set if set in over half the hashes of its shingles."""
-    hashes = shingle_hashes(text, shingle)
+    """The text's fingerprint, of all its shingles."""
+    return print_of(shingle_hashes(text, shingle))
+
+
+def print_of(hashes: np.ndarray) -> int:
+    """The fingerprint of hashed shingles; bit k of 64 is set if set in over half the hashes."""
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         part = hashes[at : at + (1 << 16)]
@@ -192,8 +196,9 @@ def op4_simhash(spark, sf_dir: str) -> DataFrame:
 def keep_one(spark, docs: DataFrame, sf_dir: str, shingle: int = 5) -> DataFrame:
     """docs without near-duplicates: of each component the row with the smallest id stays, unchanged.
 
-    Rows are linked if their sets of five-word shingles have a Jaccard similarity of at least 0.8: all such pairs, by
-    an exact join, as at that similarity fingerprints differ in too many bits to meet by. Texts without a word have
+    Rows are linked if their sets of five-word shingles have a Jaccard similarity of at least 0.8. Sets meet by their
+    fingerprints, as in :func:`components`, and what meets is verified; as at that similarity fingerprints may differ in
+    more bits than they meet by, an exact join then finds all other such pairs. Texts without a word have
     the empty set and are one group; fewer words than a shingle are one shingle. Rows with a null id all stay, and
     group no others. Of rows that repeat an id all stay or none. Null text: as the empty one. Very long texts are taken
     whole. Empty table: empty result. Columns of any name pass through.

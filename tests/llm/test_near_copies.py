@@ -1,11 +1,11 @@
-"""The pipeline's near-copy stage: what its bounds let through."""
+"""The pipeline's near-copy stage: what its bounds let through, and the fingerprints by which sets meet."""
 
 import itertools
 import random
 
 import numpy as np
 
-from strandmill.llm import shingle_sets
+from strandmill.llm import shingle_sets, simhash
 
 
 def words(rng, n, vocabulary=4000):
@@ -45,3 +45,24 @@ def test_texts_of_pairs_that_cannot_be_similar_stay(spark):
     alike = {(a, b): len(np.intersect1d(sets[a], sets[b])) / len(np.union1d(sets[a], sets[b])) for a, b in itertools.combinations(fp, 2)}
     assert {p for p, s in alike.items() if s >= 0.8} <= got
     assert all(alike[p] >= 0.3 for p in got) and len(got) < len(alike) / 10
+
+
+def test_classes_meet_by_fingerprints(spark):
+    rows = [(1, 5), (2, 5), (3, 5 ^ 0b1111), (4, 5 ^ (0b11111 << 20)), (7, -1), (8, -2 ^ (1 << 62))]
+    classes = spark.createDataFrame(rows, "_fp long, _print long")
+    got = {(r.u, r.v) for r in shingle_sets.print_pairs(classes).collect()}
+    assert got == {(1, 2), (1, 3), (7, 8)}
+
+
+def test_near_copies_that_only_fingerprints_bring_together(spark, monkeypatch):
+    nothing = lambda num, den: lambda rows: iter(())
+    monkeypatch.setattr(shingle_sets, "_star", nothing)
+    monkeypatch.setattr(shingle_sets, "_across", nothing)
+    rng = random.Random(62)
+    rows = [(i, words(rng, 2000)) for i in range(6)]
+    near = [(10 + i, changed(rng, t, 1)) for i, t in rows]
+    prints = {d: simhash.print_of(shingle_sets.shingle_set(t, 5)) for d, t in rows + near}
+    linked = {d for d, _ in near if (prints[d] ^ prints[d - 10]).bit_count() <= simhash.BITS}
+    assert linked
+    kept = {r.doc_id for r in simhash.keep_one(spark, spark.createDataFrame(rows + near, "doc_id long, text string"), "").collect()}
+    assert kept == {d for d, _ in rows + near} - linked
