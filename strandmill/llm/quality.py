@@ -29,8 +29,8 @@ KINDS, LENGTHS, SHAPE_WEIGHT = 6, 8, 2.0
 SHAPES = KINDS * KINDS + 1 + LENGTHS
 #: Documents from this score on are accepted.
 ACCEPT = 0.7
-#: Documents whose cosines are computed as one product.
-BLOCK = 512
+#: Documents whose cosines are computed as one product, and labelled rows weighted at a time: a worker's memory is small.
+BLOCK = 128
 
 
 @dataclass
@@ -84,7 +84,9 @@ def fit(x: np.ndarray, y: np.ndarray, seed: int = 42) -> QualityModel:
         return QualityModel(np.ones(TERMS + SHAPES), np.zeros((TERMS + SHAPES, 1)), np.zeros((0, 1)), np.zeros(0), 0.5)
     weights = np.log((len(y) + 1) / (1 + (x > 0).sum(0))) + 1
     weights[TERMS:] *= SHAPE_WEIGHT
-    m = _unit(x.astype(np.float64) * weights)
+    m = np.empty(x.shape)  # the one whole copy of x
+    for at in range(0, len(x), BLOCK):
+        m[at : at + BLOCK] = _unit(x[at : at + BLOCK].astype(np.float64) * weights)
     q = m.T @ (m @ np.random.default_rng(seed).standard_normal((m.shape[1], min(DIRECTIONS + 16, m.shape[1]))))
     for _ in range(3):
         q, _ = np.linalg.qr(q)
@@ -141,7 +143,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     def fitted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted(row for b in batches for row in zip(*(b.column(c).to_pylist() for c in ("_id", "_y", "_x"))))
         x = np.array([np.frombuffer(r[2], np.float32) for r in rows]) if rows else np.zeros((0, TERMS + SHAPES), np.float32)
-        model = fit(x, np.array([r[1] for r in rows]))
+        y = np.array([r[1] for r in rows])
+        del rows
+        model = fit(x, y)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
     # at most `most` rows of 8 KB go to one task, and a model of a few megabytes to the driver, whose memory is small
