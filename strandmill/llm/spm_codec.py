@@ -7,7 +7,6 @@ also encoded by the ``sentencepiece`` library itself, to verify parity.
 
 from __future__ import annotations
 
-import ctypes
 import os
 import struct
 import zlib
@@ -21,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import give_back, table
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -230,14 +229,6 @@ def encode_documents(docs: DataFrame, model_path: str = MODEL_PATH, text_col: st
     return docs.mapInArrow(run, schema)
 
 
-def give_back() -> None:
-    """Return what the allocator keeps of freed batches: the worker stays, beside other stages' tasks."""
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
-    if trim:
-        trim(0)
-
-
 def _encode(c: Codec, texts: list[str | None], one_in: int):
     at = [i for i, t in enumerate(texts) if t is not None]
     some = [texts[i] for i in at]

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import struct
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,11 +21,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import give_back, table
 
 WINDOW, GRAM = 200, 56
-#: Bytes of text handled as one array, and anchors a task holds back to merge copies.
-CHUNK, HELD = 1 << 20, 1 << 18
+#: Bytes of text handled as one array (anchors take some hundred times as many), and anchors a task holds back to merge copies.
+CHUNK, HELD = 1 << 18, 1 << 18
 #: Bytes of regions whose suffixes are sorted together (small enough for a core's cache); an anchor's regions stay together.
 SORT_BYTES = 12 << 10
 #: An anchor with more distinct regions than this has them split by windows' distance to it, in steps of STEP, and by
@@ -249,6 +249,7 @@ def _anchor_batch(rows: np.ndarray, copies: np.ndarray | None = None) -> pa.Reco
 def _anchor_rows(window: int, merge: bool):
     def merged(parts: list[np.ndarray]) -> pa.RecordBatch:
         rows = np.concatenate(parts)
+        parts.clear()
         order = np.lexsort((rows[:, 1], rows[:, 0]))
         rows = rows[order]
         first = np.nonzero(np.concatenate([[True], (np.diff(rows[:, :2], axis=0) != 0).any(1)]))[0] if len(rows) else np.zeros(0, np.int64)
@@ -269,6 +270,7 @@ def _anchor_rows(window: int, merge: bool):
                     parts, held = [], 0
         if parts:
             yield merged(parts)
+        give_back()
 
     return run
 
@@ -337,6 +339,7 @@ def _sort_regions(window: int):
                 size += len(row[6])
         if held:
             yield solve(held)
+        give_back()
 
     return run
 
@@ -356,9 +359,12 @@ def removed_spans(n: int, starts: list[tuple[int, int]], window: int = WINDOW) -
     return [tuple(x) for x in spans]
 
 
-def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, finish: tuple[Callable, str] | None = None) -> DataFrame:
     """(id, _text, _spans) of every row: its text as bytes, and the maximal runs of bytes that go, as [start, end).
 
+    finish: a function of batches of these and the schema of what it gives, which is returned instead. It runs in the same
+    Python workers, so that texts aren't sent to others.
+
     See :func:`op1_suffix_dedup` for what goes. Null text: empty. Texts below ``window`` bytes: nothing goes. Null and
     repeated ids are allowed: every row is returned. Empty table: empty result. Other columns are ignored.
     """
@@ -415,9 +421,10 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays([b.column("_id"), texts, pa.array(found, kind)], [id_col, "_text", "_spans"])
 
-    return texts.join(per_row, "_row", "left").mapInArrow(
-        spans, f"`{id_col}` long, _text binary, _spans array<struct<start:long,end:long>>"
-    )
+    found = texts.join(per_row, "_row", "left")
+    if finish:
+        return found.mapInArrow(lambda batches: finish[0](spans(batches)), finish[1])
+    return found.mapInArrow(spans, f"`{id_col}` long, _text binary, _spans array<struct<start:long,end:long>>")
 
 
 def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:
@@ -426,10 +433,8 @@ def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     Texts are UTF-8 bytes; matches don't cross documents; strings are judged on the input, and one that starts twice
     in the same document, overlaps included, goes at both places.
     """
-    found = find_repeats(table(spark, sf_dir, "documents"))
-
     def digest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (part for whole in batches for part in _slices(whole)):
+        for b in batches:
             rows = []
             for t, spans in zip(b.column("_text").to_pylist(), b.column("_spans").to_pylist()):
                 kept, at = [], 0
@@ -444,7 +449,7 @@ def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:
                 ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
             )
 
-    return found.mapInArrow(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return find_repeats(table(spark, sf_dir, "documents"), finish=(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
 
 
 #: On hexadecimal text, two characters a byte. Equal strings are found by their digests.

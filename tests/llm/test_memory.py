@@ -3,8 +3,9 @@
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 
-from strandmill.llm import quality, shingle_sets, spm_codec
+from strandmill.llm import quality, shingle_sets, spm_codec, suffix_dedup
 
 
 def peak_mb(f) -> float:
@@ -46,3 +47,17 @@ def test_memory_of_encoded_batches_is_given_back():
     del kept[:-1]  # the last one keeps the allocator from lowering the heap's end
     spm_codec.give_back()
     assert anon() - before < 20
+
+
+def test_anchors_take_few_bytes_of_text_at_a_time():
+    texts = [np.random.default_rng(i).integers(97, 123, 4000, np.uint8).tobytes() for i in range(600)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.binary())], ["_id", "_text"])
+    found = []
+    assert peak_mb(lambda: found.extend(b.num_rows for b in suffix_dedup._anchor_rows(200, True)([batch]))) < 48
+    assert sum(found) > 10_000
+
+
+def test_digests_are_made_where_spans_are(spark, tmp_path):
+    spark.createDataFrame([(1, "a" * 300), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    plan = suffix_dedup.op1_suffix_dedup(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert "MapInArrow" in plan[0] and not any("MapInArrow" in line for line in plan[1:3])
