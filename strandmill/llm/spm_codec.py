@@ -1,8 +1,8 @@
 """SentencePiece encoding and decoding on the ``tokenizers`` library.
 
 The model protobuf is parsed here (no protobuf library), and its normaliser, metaspace marker, scores and byte
-fallback are rebuilt as a ``tokenizers`` pipeline, which encodes batches on several threads. Every text is
-also encoded by the ``sentencepiece`` library itself, to verify parity.
+fallback are rebuilt as a ``tokenizers`` pipeline, which encodes batches, on a task's one core as Spark keeps the others
+busy. Every text is also encoded by the ``sentencepiece`` library itself, to verify parity.
 """
 
 from __future__ import annotations
@@ -125,9 +125,9 @@ def build_tokenizer(m: Model):
 class Codec:
     """A model file's encoder and decoder."""
 
-    def __init__(self, path: str, threads: int = 2):
+    def __init__(self, path: str, threads: int = 1):
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "true" if threads > 1 else "false")
         with open(path, "rb") as f:
             self.data = f.read()
         self.model = parse_model(self.data)
@@ -153,7 +153,7 @@ class Codec:
         return marked
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        """The ids of each text, in batches on the library's threads."""
+        """The ids of each text, as a batch of the library's."""
         ids = lambda tokenizer, some: [e.ids for e in tokenizer.encode_batch_fast(some, add_special_tokens=False)]
         if self._marked is None:
             return ids(self.tokenizer, texts)
@@ -235,7 +235,7 @@ def _encode(c: Codec, texts: list[str | None], one_in: int):
     got = c.encode(some)
     back = c.decode(got)
     ids, trips, parity = [None] * len(texts), [None] * len(texts), [None] * len(texts)
-    asked = [k for k, t in enumerate(some) if one_in and zlib.crc32(t.encode("utf-8")) % one_in == 0]
+    asked = range(len(some)) if one_in == 1 else [k for k, t in enumerate(some) if one_in and zlib.crc32(t.encode("utf-8")) % one_in == 0]
     for k, ref in zip(asked, c.reference([some[k] for k in asked]) if asked else []):
         parity[at[k]] = ref == got[k]
         if ref != got[k]:
