@@ -138,30 +138,23 @@ class Codec:
         self._bytes = [bytes([int(p[3:-1], 16)]) if kind == BYTE else b"" if kind == CONTROL else p.replace(mark, " ").encode("utf-8") for p, _, kind in self.model.pieces]
 
     def _marked_tokenizer(self):
-        """The tokenizer without its normaliser, for texts that have their markers, one between two words; None where it does more.
+        """The tokenizer without normaliser and cuts, for texts that have their markers; None where the normaliser does more.
 
-        The library keeps track of each character through its normaliser and through cuts at a pattern, which takes it as
-        long as much of the encoding; both are plain replacements here.
+        The library keeps track of each character through its normaliser, and makes a string of each word that it cuts, which
+        takes it longer than to merge a text as a whole; most words are too rare for its cache to make up for that.
         """
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         m = self.model
-        if m.charsmap or m.remove_extra_whitespaces or self.tokenizer.pre_tokenizer is None:
-            return None
-        marked = Tokenizer(self.tokenizer.model)
-        marked.pre_tokenizer = pre_tokenizers.Split(SPACE, "merged_with_next")
-        return marked
+        return None if m.charsmap or m.remove_extra_whitespaces or not m.escape_whitespaces else Tokenizer(self.tokenizer.model)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         """The ids of each text, as a batch of the library's."""
-        ids = lambda tokenizer, some: [e.ids for e in tokenizer.encode_batch_fast(some, add_special_tokens=False)]
-        if self._marked is None:
-            return ids(self.tokenizer, texts)
-        marked = [(SPACE if self.model.add_dummy_prefix and t else "") + t.replace(" ", SPACE) for t in texts]
-        twice = [SPACE * 2 in t for t in marked]
-        plain = iter(ids(self._marked, [t for t, x in zip(marked, twice) if not x]))
-        other = iter(ids(self.tokenizer, [t for t, x in zip(texts, twice) if x]))
-        return [next(other) if x else next(plain) for x in twice]
+        tokenizer = self.tokenizer
+        if self._marked is not None:
+            tokenizer, prefix = self._marked, SPACE if self.model.add_dummy_prefix else ""
+            texts = [(prefix + t).replace(" ", SPACE) if t else t for t in texts]
+        return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         """The pieces' bytes joined, without the prefix that encoding adds; bytes that are no UTF-8 become U+FFFD."""
