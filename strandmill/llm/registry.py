@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_dedup, quality, sharding, simhash, spm_codec, suffix_dedup, topk, url_filter, warc
+from . import decontaminate, filter_audit, line_dedup, quality, sharding, simhash, spm_codec, suffix_dedup, topk, url_filter, warc
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_line_dedup": line_dedup.op8_line_dedup,
         "op9_decontaminate": decontaminate.op9_decontaminate,
         "op10_topk": topk.op10_topk,
+        "op11_filter_audit": filter_audit.op11_filter_audit,
     }
 
 
@@ -29,4 +30,5 @@ def oracle_sql() -> dict:
         "op8_line_dedup": line_dedup.OP8_SQL,
         "op9_decontaminate": decontaminate.OP9_SQL,
         "op10_topk": topk.OP10_SQL,
+        "op11_filter_audit": filter_audit.OP11_SQL,
     }
