@@ -1,5 +1,6 @@
 """The filter audit against a plain replay, with odd tables."""
 
+import functools
 import itertools
 import random
 import re
@@ -10,6 +11,7 @@ from strandmill.llm.filter_audit import COUNTS
 KIND = "doc_id long, text string, source string, part string, failures string, _id int, good int, bits string"
 
 
+@functools.cache
 def fails(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
     return {
