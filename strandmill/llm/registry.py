@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, filter_audit, lexical_search, line_dedup, quality, sharding, simhash, spm_codec, suffix_dedup, topk, url_filter, warc
+from . import decontaminate, filter_audit, lexical_search, line_dedup, quality, sharding, simhash, spm_codec, substring_dedup, suffix_dedup, topk, url_filter, warc
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_decontaminate": decontaminate.op9_decontaminate,
         "op10_topk": topk.op10_topk,
         "op11_filter_audit": filter_audit.op11_filter_audit,
+        "op12_substring_dedup": substring_dedup.op12_substring_dedup,
         "op13_lexical_search": lexical_search.op13_lexical_search,
     }
 
@@ -32,5 +33,6 @@ def oracle_sql() -> dict:
         "op9_decontaminate": decontaminate.OP9_SQL,
         "op10_topk": topk.OP10_SQL,
         "op11_filter_audit": filter_audit.OP11_SQL,
+        "op12_substring_dedup": substring_dedup.OP12_SQL,
         "op13_lexical_search": lexical_search.OP13_SQL,
     }
