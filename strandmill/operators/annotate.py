@@ -1,65 +1,67 @@
-"""Reads to annotated reads: the matching kernel once per read, everything else as column expressions.
+"""Reads to annotated reads: hits from the matching kernel, everything else as column expressions.
 
-The kernel runs in Arrow batches and sees only the sequence and quality. It is a narrow operation: no shuffle, whatever
-the number of reads.
+The kernel is an Arrow UDF of the sequence alone, and so a narrow operation: no shuffle, whatever the number of reads.
+What a query doesn't ask for, hits and scores included, is pruned from its plan.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from strandmill.functions import columns as C
 from strandmill.operators import matching, structure
-from strandmill.operators.matching import END, START
 from strandmill.settings import Settings
 
 HIT = "struct<start:int,end:int,anchor:string,distance:int,substitutions:int,insertions:int,deletions:int,cigar:string,matched:string>"
-SEGMENT = "struct<name:string,role:string,start:int,end:int,length:int,mean_qscore:double,gc_fraction:double,n_fraction:double,status:string>"
-MOLECULE = "struct<cycle:int,start:int,end:int,sequence:string,quality:string>"
-KERNEL = (
-    f"label string, order_valid boolean, is_reversed boolean, detected array<string>, violations array<string>, cycle_count int, "
-    f"hits array<{HIT}>, segments array<{SEGMENT}>, molecules array<{MOLECULE}>, read_qscore double"
-)
-_ARROW_HIT = pa.struct([(n, pa.string() if n in ("anchor", "cigar", "matched") else pa.int32()) for n in ("start", "end", "anchor", "distance", "substitutions", "insertions", "deletions", "cigar", "matched")])
-_ARROW_SEGMENT = pa.struct([("name", pa.string()), ("role", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("length", pa.int32()), ("mean_qscore", pa.float64()), ("gc_fraction", pa.float64()), ("n_fraction", pa.float64()), ("status", pa.string())])
-_ARROW_MOLECULE = pa.struct([("cycle", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("sequence", pa.string()), ("quality", pa.string())])
+_HIT_TYPES = [(n, pa.string() if n in ("anchor", "cigar", "matched") else pa.int32()) for n in ("start", "end", "anchor", "distance", "substitutions", "insertions", "deletions", "cigar", "matched")]
 #: Bases that are searched as one array.
 BATCH_BASES = 1 << 20
-_ERRORS = 10.0 ** (-np.arange(-33, 223) / 10)
+_PHRED = np.arange(-33, 223)
+_ERRORS = 10.0 ** (-_PHRED / 10)
+
+
+def quality_scores(qualities: pa.Array, conservative: bool = True) -> np.ndarray:
+    """Of each string of qualities the Phred score of the mean error rate, or the mean Phred score; 0 for none."""
+    texts = qualities.cast(pa.large_string()).fill_null("")
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    codes = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    if len(codes) and codes.max() > 127:  # one byte a character again
+        each = [t.encode("latin-1", "replace") for t in texts.to_pylist()]
+        codes, ends = np.frombuffer(b"".join(each), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in each])])
+    n, at = np.diff(ends), ends[:-1] - ends[0]
+    out = np.zeros(len(n))
+    some = n > 0
+    if some.any():
+        mean = np.add.reduceat((_ERRORS if conservative else _PHRED)[codes], at[some]) / n[some]
+        out[some] = np.where(mean > 0, -10 * np.log10(np.where(mean > 0, mean, 1)), 0.0) if conservative else mean
+    return out
 
 
 def quality_score(quality: str, conservative: bool = True) -> float:
-    """Phred score of the mean error rate, or the mean Phred score; 0 without qualities."""
-    if not quality:
-        return 0.0
-    q = np.frombuffer(quality.encode("latin-1", "replace"), np.uint8)
-    if not conservative:
-        return float((q.astype(np.int64) - 33).sum() / len(q))
-    rate = float(_ERRORS[q].sum()) / len(q)
-    return float(-10 * np.log10(rate)) if rate > 0 else 0.0
-
-
-def observe(sequence: str, quality: str, best: dict[str, tuple], segments) -> list[tuple]:
-    """What lies between each segment's anchors on the oriented read."""
-    out = []
-    for g in segments:
-        left, right = best.get(g.start_anchor), best.get(g.end_anchor)
-        if left is None or right is None or right[START] < left[END]:
-            out.append((g.name, g.role, None, None, None, None, None, None, "missing"))
-            continue
-        lo, hi = left[END], right[START]
-        part, n = sequence[lo:hi].upper(), len(sequence[lo:hi])
-        short = g.min_length is not None and n < g.min_length
-        long = g.max_length is not None and n > g.max_length
-        gc, unknown = part.count("G") + part.count("C"), part.count("N")
-        out.append((g.name, g.role, lo, hi, n, quality_score(quality[lo:hi]), gc / n if n else 0.0, unknown / n if n else 0.0, "too_short" if short else "too_long" if long else "pass"))
-    return out
+    return float(quality_scores(pa.array([quality]), conservative)[0])
+
+
+def read_scores(method: str):
+    @F.arrow_udf("double")
+    def scored(qualities: pa.Array) -> pa.Array:
+        return pa.array(quality_scores(qualities, method == "conservative"))
+
+    return scored
+
+
+def part_scores():
+    @F.arrow_udf("array<double>")
+    def scored(parts: pa.Array) -> pa.Array:
+        flat = parts.flatten()
+        ends = np.concatenate([[0], np.cumsum(parts.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(quality_scores(flat)))
+
+    return scored
 
 
 def _stretches(sequences: list[str]) -> Iterator[tuple[int, int]]:
@@ -74,71 +76,84 @@ def _stretches(sequences: list[str]) -> Iterator[tuple[int, int]]:
         yield lo, len(sequences)
 
 
-def kernel(s: Settings):
-    """The function for mapInArrow that adds the columns of KERNEL to the first columns of its input."""
-    order = s.structure.expected_order
-
-    def one(sequence: str, quality: str, forward: list[tuple], reverse: list[tuple]) -> tuple:
-        v, hits = structure.choose_strand(forward, reverse, s.structure, len(sequence))
-        score = quality_score(quality, s.qscore_method == "conservative")
-        if v.is_reversed:
-            sequence, quality = matching.reverse_complement(sequence), quality[::-1]
-        parts = observe(sequence, quality, matching.best_hits(hits), s.structure.segments)
-        split = structure.molecules(sequence, quality, hits, order) if s.structure.split_concatemers and v.label == "concatemer_candidate" else []
-        return (v.label, v.order_valid, v.is_reversed, v.detected, v.violations, v.cycle_count, hits, parts, split, score)
+def _hit_lists(found: list[list[tuple]]) -> pa.ListArray:
+    """Hits of each read as Arrow lists, made column by column."""
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
+    columns = list(zip(*(h for x in found for h in x))) or [()] * len(_HIT_TYPES)
+    fields = [pa.array(c, t) for c, (_, t) in zip(columns, _HIT_TYPES)]
+    return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(fields, [n for n, _ in _HIT_TYPES]))
 
-    def annotated(probes, sequences: list[str], qualities: list[str]) -> list[tuple]:
-        forward = matching.find_hits_in_all(sequences, probes)
-        reverse = matching.find_hits_in_all([matching.reverse_complement(x) for x in sequences], probes)
-        return list(map(one, sequences, qualities, forward, reverse))
 
-    def structs(rows: list[list[tuple]], kind: pa.StructType) -> pa.Array:
-        return pa.array([[dict(zip(kind.names, x)) for x in row] for row in rows], pa.list_(kind))
+def find_hits(s: Settings):
+    """A UDF of the sequence: the hits of each strand, read in that strand's direction."""
+    anchors = s.anchors
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        probes = matching.compile_anchors(s.anchors)
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        probes = matching.compile_anchors(anchors)
         for b in batches:
-            sequences, qualities = ([x or "" for x in b.column(c).to_pylist()] for c in ("sequence", "quality"))
-            rows: list[tuple] = []
+            sequences = [x or "" for x in b.to_pylist()]
+            forward: list[list[tuple]] = []
+            reverse: list[list[tuple]] = []
             for lo, hi in _stretches(sequences):
-                rows += annotated(probes, sequences[lo:hi], qualities[lo:hi])
-            cols = list(zip(*rows)) or [[] for _ in range(10)]
-            arrays = [
-                pa.array(cols[0], pa.string()), pa.array(cols[1], pa.bool_()), pa.array(cols[2], pa.bool_()), pa.array(cols[3], pa.list_(pa.string())),
-                pa.array(cols[4], pa.list_(pa.string())), pa.array(cols[5], pa.int32()), structs(cols[6], _ARROW_HIT), structs(cols[7], _ARROW_SEGMENT),
-                structs(cols[8], _ARROW_MOLECULE), pa.array(cols[9], pa.float64()),
-            ]
-            names = ["label", "order_valid", "is_reversed", "detected", "violations", "cycle_count", "hits", "segments", "molecules", "read_qscore"]
-            yield pa.RecordBatch.from_arrays([*b.columns, *arrays], [*b.schema.names, *names])
+                forward += matching.find_hits_in_all(sequences[lo:hi], probes)
+                reverse += matching.find_hits_in_all([matching.reverse_complement(x) for x in sequences[lo:hi]], probes)
+            yield pa.StructArray.from_arrays([_hit_lists(forward), _hit_lists(reverse)], ["forward", "reverse"])
 
-    return run
+    both.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    # not to be evaluated a second time for a filter on what is worked out from it
+    return F.arrow_udf(both, f"struct<forward:array<{HIT}>,reverse:array<{HIT}>>").asNondeterministic()
 
 
 def annotate(reads: DataFrame, s: Settings) -> DataFrame:
     """reads (read_index, read_id, sequence, quality, and others) with structure, offsets, segments, flags and bucket."""
     matching.compile_anchors(s.anchors)  # so that mistakes in them show here, not in a task
-    order = s.structure.expected_order
-    schema = T.StructType(list(reads.schema.fields) + list(T._parse_datatype_string(KERNEL).fields))
-    found = reads.mapInArrow(kernel(s), schema)
+    found = reads.withColumn("_found", find_hits(s)(F.col("sequence")))
+    return annotate_hits(found.withColumns({"_forward": F.col("_found.forward"), "_reverse": F.col("_found.reverse")}).drop("_found"), s)
+
+
+def annotate_hits(found: DataFrame, s: Settings) -> DataFrame:
+    """As :func:`annotate`, of reads whose hits on each strand are there, as _forward and _reverse."""
+    order, reads = s.structure.expected_order, found.columns
     seq, n = F.coalesce("sequence", F.lit("")), F.col("length")
     anchors = [a.name for a in s.anchors]
     entries = [F.struct(F.lit(a).alias("k"), C.best_of(F.col("hits"), a).alias("v")) for a in anchors]
     best = F.map_from_entries(F.filter(F.array(*entries), lambda e: e["v"].isNotNull())) if anchors else F.expr(f"cast(map() as map<string,{HIT}>)")
-    return (
-        found.withColumn("length", F.length(seq))
+    told = structure.choose_strand(found.withColumn("length", F.length(seq)), s.structure, F.col("length"))
+    told = told.withColumn("best", best).withColumns({
+        "_sequence": oriented_of(F.col("is_reversed"), seq, C.reverse_complement), "_quality": oriented_of(F.col("is_reversed"), F.coalesce("quality", F.lit("")), F.reverse),
+    })
+    told = structure.with_segments(told, s.structure.segments, "_sequence", "_quality", part_scores())
+    told = (
+        told.withColumn("molecules", structure.molecules(s.structure, F.col("_sequence"), F.col("_quality")))
+        .withColumn("read_qscore", read_scores(s.qscore_method)(F.coalesce("quality", F.lit(""))))
+        .drop("_sequence", "_quality", "_cycles")
         .withColumn("n_fraction", C.share(C.n_count(seq), n))
         .withColumn("invalid_fraction", C.share(C.invalid_count(seq), n))
-        .withColumn("best", best)
         .withColumn("five_prime_offset", C.five_prime_offset(F.col("best"), order, n))
         .withColumn("three_prime_offset", C.three_prime_offset(F.col("best"), order, n))
         .withColumn("flags", C.qc_flags(s))
         .withColumn("bucket", C.qc_bucket(F.col("flags")))
         .withColumn("orientation", F.when(F.col("is_reversed"), "reversed").otherwise("forward"))
     )
+    return told.withColumns({c: held(F.col(c)) for c in told.columns if c not in reads})
+
+
+def held(c: Column) -> Column:
+    """The column as it is, though the optimiser takes it for one that must not be worked out twice.
+
+    Else it would put copies of all the expressions behind a column into each filter on it, below the steps that are to
+    work them out once.
+    """
+    return F.when(F.spark_partition_id() >= 0, c)
+
+
+def oriented_of(is_reversed: Column, text: Column, turned) -> Column:
+    return F.when(is_reversed, turned(text)).otherwise(text)
 
 
 def oriented(annotated: DataFrame) -> DataFrame:
     """annotated with the sequence and quality of the strand that was chosen."""
-    return annotated.withColumn("oriented_sequence", F.when(F.col("is_reversed"), C.reverse_complement(F.col("sequence"))).otherwise(F.col("sequence"))).withColumn(
-        "oriented_quality", F.when(F.col("is_reversed"), F.reverse("quality")).otherwise(F.col("quality"))
-    )
+    rev = F.col("is_reversed")
+    return annotated.withColumns({
+        "oriented_sequence": oriented_of(rev, F.col("sequence"), C.reverse_complement), "oriented_quality": oriented_of(rev, F.col("quality"), F.reverse),
+    })

@@ -1,13 +1,19 @@
-"""What the order of a read's hits says about the molecule: label, orientation, cycles. No Spark."""
+"""What the order of a read's hits says about the molecule: label, orientation, cycles, segments, molecules.
+
+All of it is column expressions over arrays of hits: a fold with a state for the cycles, comparisons of structs for the
+strand, filters and literal maps for the rules. Columns that several expressions read are made in a step of their own, so
+that they are worked out once.
+"""
 
 from __future__ import annotations
 
-from collections import Counter
-from dataclasses import dataclass, field
-from itertools import groupby, pairwise
+from itertools import pairwise
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-from strandmill.operators.matching import DISTANCE, END, NAME, START, best_hits
-from strandmill.settings import Structure
+from strandmill.functions import columns as C
+from strandmill.settings import Rule, Segment, Structure
 
 # How labels rank when a read's two strands are compared.
 RANK = {
@@ -17,119 +23,172 @@ RANK = {
 }
 #: The offset within which an anchor is terminal, for rules that give none.
 TERMINAL_OFFSET = 0.15
+UNLIMITED = (1 << 31) - 1
+_SPANS = "array<struct<start:int,end:int>>"
+
+
+def _literal_map(pairs: dict) -> Column:
+    return F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair])
+
+
+def _words(words: list[str]) -> Column:
+    return F.array(*map(F.lit, words)).cast("array<string>")
 
 
-@dataclass
-class Verdict:
-    label: str
-    order_valid: bool = False
-    detected: list[str] = field(default_factory=list)
-    violations: list[str] = field(default_factory=list)
-    cycle_count: int = 0
-    is_reversed: bool = False
+def _count(names: Column, name: Column | str) -> Column:
+    return F.size(F.filter(names, lambda n: n == name))
 
 
-def cycles(hits: list[tuple], order: list[str]) -> list[list[tuple]]:
-    """Complete passes through the expected order, one after the other.
+def cycles(hits: Column, order: list[str]) -> Column:
+    """Where complete passes through the expected order start and end, one after the other.
 
-    Anchors outside the order are passed over; one of the order at the wrong place breaks a pass off, and the first
-    one starts another.
+    The state is the place in the order that is waited for, the running pass's start, and the passes done. Anchors outside
+    the order are passed over; one of the order at the wrong place breaks a pass off, and the first one starts another.
     """
-    place = {name: i for i, name in enumerate(order)}
-    done: list[list[tuple]] = []
-    run: list[tuple] = []
-    for h in sorted(hits, key=lambda h: h[:3]):
-        at = place.get(h[NAME])
-        if at is None:
-            continue
-        run = [*run, h] if at == len(run) else [h] if at == 0 else []
-        if len(run) == len(order):
-            done.append(run)
-            run = []
-    return done
-
-
-def violations(hits: list[tuple], rules: Structure, length: int | None) -> list[str]:
-    """Which rules the hits break, as ``anchor:what``."""
-    count, best = Counter(h[NAME] for h in hits), best_hits(hits)
+    none = F.array().cast(_SPANS)
+    if not order:
+        return none
+    places = _literal_map({name: k for k, name in enumerate(order)})
+
+    def step(s: Column, h: Column) -> Column:
+        place = F.try_element_at(places, h["anchor"])
+        at = F.when(place == s["at"], s["at"] + 1).when(place == 0, 1).otherwise(0)
+        start = F.when(place == 0, h["start"]).otherwise(s["start"])
+        whole = at == len(order)
+        moved = F.struct(
+            F.when(whole, 0).otherwise(at).alias("at"), start.alias("start"),
+            F.when(whole, F.concat(s["done"], F.array(F.struct(start.alias("start"), h["end"].alias("end"))))).otherwise(s["done"]).alias("done"),
+        )
+        return F.when(place.isNull(), s).otherwise(moved)
+
+    return F.aggregate(hits, F.struct(F.lit(0).alias("at"), F.lit(0).alias("start"), none.alias("done")), step, lambda s: s["done"])
+
+
+def _rule_checks(rules: Structure, names: Column, best: dict[str, Column], length: Column) -> list[Column]:
+    """What is broken, each as ``anchor:what`` or null."""
     out = []
     for name, r in rules.anchor_rules.items():
-        n, b = count[name], best.get(name)
-        out += [f"{name}:below_min_count"] * (r.required and n < r.min_count)
-        out += [f"{name}:above_max_count"] * (r.max_count is not None and n > r.max_count)
-        if b is None or not length or r.terminal == "any":
-            continue
-        limit = TERMINAL_OFFSET if r.max_terminal_offset is None else r.max_terminal_offset
-        left, right = b[START] / length, (length - b[END]) / length
-        broken = {"5p": left > limit, "3p": right > limit, "internal": min(left, right) <= limit}[r.terminal]
-        out += [f"{name}:not_internal" if r.terminal == "internal" else f"{name}:not_{r.terminal}_terminal"] * broken
+        n, b = _count(names, name), best[name]
+        if r.required:
+            out.append(F.when(n < r.min_count, f"{name}:below_min_count"))
+        if r.max_count is not None:
+            out.append(F.when(n > r.max_count, f"{name}:above_max_count"))
+        if r.terminal != "any":
+            limit = TERMINAL_OFFSET if r.max_terminal_offset is None else r.max_terminal_offset
+            left, right = b["start"] / length, (length - b["end"]) / length
+            broken = {"5p": left > limit, "3p": right > limit, "internal": F.least(left, right) <= limit}[r.terminal]
+            what = "not_internal" if r.terminal == "internal" else f"not_{r.terminal}_terminal"
+            out.append(F.when(b.isNotNull() & (length > 0) & broken, f"{name}:{what}"))
     for before, name in pairwise(rules.expected_order):
-        r = rules.anchor_rules.get(name)
-        if r and name in best and before in best:
-            gap = best[name][START] - best[before][END]
-            out += [f"{name}:distance_below_min"] * (r.min_distance_from_previous is not None and gap < r.min_distance_from_previous)
-            out += [f"{name}:distance_above_max"] * (r.max_distance_from_previous is not None and gap > r.max_distance_from_previous)
+        r: Rule | None = rules.anchor_rules.get(name)
+        if r:
+            gap = best[name]["start"] - best[before]["end"]  # null, and so never broken, unless both are there
+            out += [F.when(gap < r.min_distance_from_previous, f"{name}:distance_below_min")] if r.min_distance_from_previous is not None else []
+            out += [F.when(gap > r.max_distance_from_previous, f"{name}:distance_above_max")] if r.max_distance_from_previous is not None else []
     return out
 
 
-def _restarts(runs: list[str], order: list[str]) -> bool:
-    """Whether somewhere the whole order is followed by its first anchor."""
-    wanted = [*order, order[0]]
-    return any(runs[i : i + len(wanted)] == wanted for i in range(len(runs)))
-
-
-def _excess(count: Counter, rules: Structure) -> bool:
-    for name, n in count.items():
-        rule = rules.anchor_rules.get(name)
-        if n > 1 and (rule is None or (rule.max_count is not None and n > rule.max_count)):
-            return True
-    return False
-
-
-def label(hits: list[tuple], rules: Structure, length: int | None = None) -> Verdict:
-    """The structure of one strand's hits."""
-    if not hits:
-        return Verdict("no_anchor_detected")
-    order, names = rules.expected_order, [h[NAME] for h in hits]
-    runs, count = [n for n, _ in groupby(names)], Counter(names)
-    passes = len(cycles(hits, order)) if order else 0
-    if passes >= rules.concatemer_min_cycles:
-        return Verdict("concatemer_candidate", False, runs, cycle_count=passes)
-    if _excess(count, rules):
-        checks = ((_restarts(runs, order), "concatemer_candidate"), (count[order[0]] > 1, "internal_5p_anchor"), (count[order[-1]] > 1, "internal_3p_anchor")) if order else ()
-        return Verdict(next((name for holds, name in checks if holds), "duplicated_anchor"), False, runs)
+def _label(rules: Structure, hits: Column, names: Column, runs: Column, passes: Column, broken: Column) -> Column:
+    order = rules.expected_order
+    limits = {n: UNLIMITED if r.max_count is None else max(1, r.max_count) for n, r in rules.anchor_rules.items()}
+    most = lambda n: F.coalesce(F.try_element_at(_literal_map(limits), n), F.lit(1)) if limits else F.lit(1)
+    excess = F.exists(F.array_distinct(names), lambda n: _count(names, n) > most(n))
+    told = F.when(F.size(hits) == 0, "no_anchor_detected")
     if not order:
-        return Verdict("anchors_detected", True, runs)
-    optional = {n for n, r in rules.anchor_rules.items() if not r.required}
-    if set(order) - set(runs) - optional:
-        name = "missing_5p_anchor" if order[0] not in count else "missing_3p_anchor" if order[-1] not in count else "partial_structure"
-        return Verdict(name, False, runs)
-    places = [order.index(n) for n in runs if n in order]
-    if places != sorted(places):
-        return Verdict("anchor_order_invalid", False, runs)
-    broken = violations(hits, rules, length)
-    if broken:
-        return Verdict("structure_rule_violation", False, runs, broken, passes)
-    return Verdict("full_structure", True, runs)
-
-
-def _score(v: Verdict, hits: list[tuple]) -> tuple:
-    return v.order_valid, RANK.get(v.label, 0), len(v.detected), len(hits), -sum(h[DISTANCE] for h in hits)
-
-
-def choose_strand(forward: list[tuple], reverse: list[tuple], rules: Structure, length: int | None = None) -> tuple[Verdict, list[tuple]]:
-    """The better strand's structure and hits; the forward one's on a tie."""
-    f, r = label(forward, rules, length), label(reverse, rules, length)
-    r.is_reversed = True
-    v, hits = (r, reverse) if _score(r, reverse) > _score(f, forward) else (f, forward)
-    if rules.expected_orientation not in ("either", "reverse" if v.is_reversed else "forward"):
-        v.violations = [*v.violations, "orientation_unexpected"]
-        if v.label == "full_structure":
-            v.label, v.order_valid = "orientation_unexpected", False
-    return v, hits
-
-
-def molecules(sequence: str, quality: str, hits: list[tuple], order: list[str]) -> list[tuple[int, int, int, str, str]]:
-    """(cycle's number from 1, start, end, sequence, quality) of each complete cycle of an oriented read."""
-    spans = [(k, c[0][START], c[-1][END]) for k, c in enumerate(cycles(hits, order) if order else [], 1)]
-    return [(k, s, e, sequence[s:e], quality[s:e]) for k, s, e in spans if s < e]
+        return told.when(excess, "duplicated_anchor").otherwise("anchors_detected")
+    # somewhere the whole order is followed by its first anchor
+    again = [*order, order[0]]
+    restarts = F.exists(F.transform(runs, lambda _, i: F.slice(runs, i + 1, len(again))), lambda part: part == _words(again))
+    repeated = F.when(restarts, "concatemer_candidate").when(_count(names, order[0]) > 1, "internal_5p_anchor").when(_count(names, order[-1]) > 1, "internal_3p_anchor").otherwise("duplicated_anchor")
+    wanted = [n for n in order if n not in rules.anchor_rules or rules.anchor_rules[n].required]
+    absent = F.when(~F.array_contains(names, order[0]), "missing_5p_anchor").when(~F.array_contains(names, order[-1]), "missing_3p_anchor").otherwise("partial_structure")
+    places = F.filter(F.transform(runs, lambda n: F.try_element_at(_literal_map({name: k for k, name in enumerate(order)}), n)), lambda k: k.isNotNull())
+    return (
+        told.when(passes >= rules.concatemer_min_cycles, "concatemer_candidate").when(excess, repeated).when(F.size(F.array_except(_words(wanted), runs)) > 0, absent)
+        .when(places != F.array_sort(places), "anchor_order_invalid").when(F.size(broken) > 0, "structure_rule_violation").otherwise("full_structure")
+    )
+
+
+def with_strand(df: DataFrame, hits: str, out: str, rules: Structure, length: Column) -> DataFrame:
+    """df with a column ``out``: what one strand's hits say, with a score that sorts as strands are preferred."""
+    p, h = f"{out}_", F.col(hits)
+    named = [*rules.anchor_rules, *rules.expected_order]
+    df = df.withColumn(p + "names", F.transform(h, lambda x: x["anchor"]))
+    names = F.col(p + "names")
+    best = F.struct(F.lit(0).alias("none"), *[C.best_of(h, n).alias(f"b{k}") for k, n in enumerate(dict.fromkeys(named))])
+    df = df.withColumns({
+        p + "runs": F.filter(names, lambda n, i: (i == 0) | (n != F.get(names, i - 1))), p + "cycles": cycles(h, rules.expected_order), p + "best": best,
+    })
+    found = {n: F.col(f"{p}best")[f"b{k}"] for k, n in enumerate(dict.fromkeys(named))}
+    checks = _rule_checks(rules, names, found, length)
+    df = df.withColumn(p + "broken", F.array_compact(F.array(*checks)).cast("array<string>") if checks else F.array().cast("array<string>"))
+    runs, passes, broken = F.col(p + "runs"), F.size(p + "cycles"), F.col(p + "broken")
+    df = df.withColumn(p + "label", _label(rules, h, names, runs, passes, broken))
+    label = F.col(p + "label")
+    valid = label.isin("full_structure", "anchors_detected")
+    violated, counted = label == "structure_rule_violation", (label == "concatemer_candidate") & (passes >= rules.concatemer_min_cycles)
+    score = F.struct(valid, F.try_element_at(_literal_map(RANK), label), F.size(runs), F.size(h), -F.aggregate(h, F.lit(0), lambda s, x: s + x["distance"]))
+    told = F.struct(
+        label.alias("label"), valid.alias("order_valid"), runs.alias("detected"), F.when(violated, broken).otherwise(F.array().cast("array<string>")).alias("violations"),
+        F.when(violated | counted, passes).otherwise(0).alias("cycle_count"), h.alias("hits"), F.col(p + "cycles").alias("cycles"), score.alias("score"),
+    )
+    return df.withColumn(out, told).drop(*[p + x for x in ("names", "runs", "cycles", "best", "broken", "label")])
+
+
+def choose_strand(df: DataFrame, rules: Structure, length: Column, forward: str = "_forward", reverse: str = "_reverse") -> DataFrame:
+    """df with the better strand's label, order_valid, is_reversed, detected, violations, cycle_count, hits and _cycles; the forward one's on a tie."""
+    df = with_strand(with_strand(df, forward, "_f", rules, length), reverse, "_r", rules, length)
+    df = df.withColumn("is_reversed", F.col("_r.score") > F.col("_f.score")).withColumn("_s", F.when(F.col("is_reversed"), F.col("_r")).otherwise(F.col("_f")))
+    label, valid, violations = F.col("_s.label"), F.col("_s.order_valid"), F.col("_s.violations")
+    if rules.expected_orientation != "either":
+        against = F.col("is_reversed") if rules.expected_orientation == "forward" else ~F.col("is_reversed")
+        label = F.when(against & (label == "full_structure"), "orientation_unexpected").otherwise(label)
+        valid = valid & ~(against & (F.col("_s.label") == "full_structure"))
+        violations = F.when(against, F.concat(violations, _words(["orientation_unexpected"]))).otherwise(violations)
+    return df.withColumns({
+        "label": label, "order_valid": valid, "detected": F.col("_s.detected"), "violations": violations, "cycle_count": F.col("_s.cycle_count"),
+        "hits": F.col("_s.hits"), "_cycles": F.col("_s.cycles"),
+    }).drop("_f", "_r", "_s", forward, reverse)
+
+
+def _share_of(part: Column, characters: str) -> Column:
+    return C.share(F.length(part) - F.length(F.translate(part, characters, "")), F.length(part))
+
+
+def with_segments(df: DataFrame, segments: list[Segment], sequence: str, quality: str, scores) -> DataFrame:
+    """df with what lies between each segment's anchors on the oriented read; scores: a function of an array of qualities."""
+    if not segments:
+        return df.withColumn("segments", F.array().cast("array<struct<name:string,role:string,start:int,end:int,length:int,mean_qscore:double,gc_fraction:double,n_fraction:double,status:string>>"))
+    parts = []
+    for g in segments:
+        left, right = F.try_element_at("best", F.lit(g.start_anchor)), F.try_element_at("best", F.lit(g.end_anchor))
+        lo, hi = left["end"], right["start"]
+        cut = lambda c: F.substring(F.col(c), lo + 1, hi - lo)  # noqa: E731, B023
+        parts.append(F.when(hi >= lo, F.struct(lo.alias("lo"), hi.alias("hi"), F.upper(cut(sequence)).alias("bases"), cut(quality).alias("quality"))))
+    df = df.withColumn("_parts", F.array(*parts))
+    df = df.withColumn("_scores", scores(F.transform("_parts", lambda p: p["quality"])))
+    out = []
+    for k, g in enumerate(segments):
+        p = F.get("_parts", F.lit(k))
+        n = F.length(p["bases"])
+        status = F.when(p.isNull(), "missing").when(F.lit(False) if g.min_length is None else n < g.min_length, "too_short").when(F.lit(False) if g.max_length is None else n > g.max_length, "too_long").otherwise("pass")
+        there = lambda c: F.when(p.isNotNull(), c)  # noqa: E731, B023
+        out.append(F.struct(
+            F.lit(g.name).alias("name"), F.lit(g.role).alias("role"), p["lo"].alias("start"), p["hi"].alias("end"), n.alias("length"), there(F.get("_scores", F.lit(k))).alias("mean_qscore"),
+            there(_share_of(p["bases"], "GC")).alias("gc_fraction"), there(_share_of(p["bases"], "N")).alias("n_fraction"), status.alias("status"),
+        ))
+    return df.withColumn("segments", F.array(*out)).drop("_parts", "_scores")
+
+
+def molecules(rules: Structure, sequence: Column, quality: Column) -> Column:
+    """(cycle's number from 1, start, end, sequence, quality) of each complete cycle of an oriented read that is a concatemer."""
+    kind = "array<struct<cycle:int,start:int,end:int,sequence:string,quality:string>>"
+    none = F.array().cast(kind)
+    if not rules.split_concatemers:
+        return none
+    cut = lambda text, c: F.substring(text, c["start"] + 1, c["end"] - c["start"])
+    numbered = F.transform("_cycles", lambda c, i: F.struct((i + 1).alias("cycle"), c["start"].alias("start"), c["end"].alias("end")))
+    whole = F.transform(F.filter(numbered, lambda c: c["start"] < c["end"]), lambda c: F.struct(
+        c["cycle"].alias("cycle"), c["start"].alias("start"), c["end"].alias("end"), cut(sequence, c).alias("sequence"), cut(quality, c).alias("quality")
+    ))
+    return F.when(F.col("label") == "concatemer_candidate", whole).otherwise(none)

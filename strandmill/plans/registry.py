@@ -148,6 +148,30 @@ def structures(spark, sf_dir):
     return annotated(spark, sf_dir).select("read_index", "label", "orientation", "order_valid", F.size("hits").alias("n_hits"), F.array_join("detected", ",").alias("detected"))
 
 
+MIDDLE = "GATTA"
+
+
+def label_settings(kind: str) -> settings.Settings:
+    """Structures for all labels: with rules of place, distance and strand, without an order, and with a third anchor in between."""
+    two = [{"name": "left", "type": "fixed", "sequence": LEFT, "max_mismatches": 1}, {"name": "right", "type": "fixed", "sequence": RIGHT, "max_mismatches": 1}]
+    if kind == "rules":
+        rules = {"left": {"terminal": "5p", "max_terminal_offset": 0.05}, "right": {"min_distance_from_previous": 50, "max_distance_from_previous": 75}}
+        return settings.from_dict({"anchors": two, "structure": {"expected_order": ["left", "right"], "anchor_rules": rules, "expected_orientation": "forward"}})
+    if kind == "free":
+        return settings.from_dict({"anchors": two, "structure": {"expected_order": []}})
+    middle = {"name": "mid", "type": "fixed", "sequence": MIDDLE}
+    return settings.from_dict({"anchors": [two[0], middle, two[1]], "structure": {"expected_order": ["left", "mid", "right"], "anchor_rules": {"left": {}, "mid": {"max_count": None}, "right": {}}}})
+
+
+def structure_labels(spark, sf_dir):
+    """Label, strand and broken rules of every read under each of the three structures."""
+    parts = []
+    for kind in ("rules", "free", "middle"):
+        a = annotate(reads(spark, sf_dir), label_settings(kind))
+        parts.append(a.select(F.lit(kind).alias("structure"), "read_index", "label", "order_valid", "orientation", F.array_join("violations", ",").alias("violations"), "cycle_count"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 def read_flags(spark, sf_dir):
     return annotated(spark, sf_dir).select("read_index", F.array_join("flags", ";").alias("flags"), "bucket", F.round("five_prime_offset", 6).alias("offset5"), F.round("three_prime_offset", 6).alias("offset3"))
 
@@ -257,7 +281,7 @@ def queries() -> dict:
         "bucket_counts": a(lambda d: _without_first(M.counts_by(d, "bucket"))), "read_metrics": read_metrics, "reverse_complement": strands,
         "length_histogram": plain(M.length_histogram), "qscore_histogram": plain(M.qscore_histogram), "length_q_bins": plain(M.length_q_bins),
         "base_quality_histogram": plain(M.base_quality_histogram), "length_stats": length_stats, "exact_hits": exact_hits, "hamming_hits": a(_kernel_hits),
-        "edit_hits": edit_hits, "edit_anchor_stats": edit_anchor_stats, "window_hits": window_hits, "edit_distances": edit_distances, "regex_hits": regex_hits, "best_hits": best_hits, "structures": structures, "read_flags": read_flags,
+        "edit_hits": edit_hits, "edit_anchor_stats": edit_anchor_stats, "window_hits": window_hits, "edit_distances": edit_distances, "regex_hits": regex_hits, "best_hits": best_hits, "structures": structures, "structure_labels": structure_labels, "read_flags": read_flags,
         "structure_orientation_counts": a(lambda d: _without_first(M.counts_by(d, "label", "orientation"))), "segments": segments, "segment_stats": segment_stats,
         "barcode_status": barcode_status, "barcode_counts": barcode_counts, "top_barcodes": top_barcodes, "umi_stats": umis, "run_totals": run_totals,
         "anchor_stats": anchor_stats, "heatmap": a(M.heatmap), "quality_levels": quality_levels, "split_molecules": split_molecules, "passed_reads": passed_reads,
@@ -348,6 +372,33 @@ _TAGS = f"""tagged AS (SELECT id, string_split(line, chr(9)) AS f FROM ({TAG_LIN
   t AS (SELECT {', '.join(f"list_filter(f, lambda x: starts_with(x, '{x}:'))[1][6:] AS {x}" for x in ('CR', 'CB', 'UR', 'UB', 'pt', 'XA'))} FROM tagged)"""
 
 
+def _told(kind: str, hits: str, runs: str, passes: str, label: str, valid: str, more: str = "'' AS broken") -> str:
+    """CTEs that give read_index, label, rev, violations and passes of the strand chosen, under names that end in the kind."""
+    return f"""names_{kind} AS (SELECT read_index, rev, string_agg(upper(substr(anchor, 1, 1)), '' ORDER BY start, stop, anchor) AS w, count(*) AS k, sum(distance) AS d FROM {hits} GROUP BY ALL),
+  best_{kind} AS (SELECT read_index, rev, min(CASE WHEN anchor = 'left' THEN {{'d': distance, 's': start, 'e': stop}} END) AS l, min(CASE WHEN anchor = 'right' THEN {{'d': distance, 's': start, 'e': stop}} END) AS r FROM {hits} GROUP BY ALL),
+  told_{kind} AS (SELECT s.read_index, s.rev, length(s.s) AS n, coalesce(w, '') AS w, coalesce(k, 0) AS k, coalesce(d, 0) AS d, l, r, {runs} AS runs, {passes} AS passes,
+      length(coalesce(w, '')) - length(replace(coalesce(w, ''), 'L', '')) AS nl, length(coalesce(w, '')) - length(replace(coalesce(w, ''), 'R', '')) AS nr
+    FROM strands s LEFT JOIN names_{kind} x ON s.read_index = x.read_index AND s.rev = x.rev LEFT JOIN best_{kind} y ON s.read_index = y.read_index AND s.rev = y.rev),
+  labelled_{kind} AS (SELECT *, CASE WHEN w = '' THEN 'no_anchor_detected' {label} END AS label FROM (SELECT *, {more} FROM told_{kind}) t),
+  chosen_{kind} AS (SELECT * FROM labelled_{kind} QUALIFY row_number() OVER (PARTITION BY read_index ORDER BY label = '{valid}' DESC, CASE label WHEN 'full_structure' THEN 6 WHEN 'anchors_detected' THEN 5
+      WHEN 'anchor_order_invalid' THEN 4 WHEN 'partial_structure' THEN 3 WHEN 'missing_5p_anchor' THEN 2 WHEN 'missing_3p_anchor' THEN 2 WHEN 'no_anchor_detected' THEN 0 ELSE 1 END DESC, length(runs) DESC, k DESC, d, rev) = 1)"""
+
+
+_RUNS = "regexp_replace(regexp_replace(regexp_replace(coalesce(w, ''), 'L+', 'L', 'g'), 'R+', 'R', 'g'), 'M+', 'M', 'g')"
+_REPEATED = "WHEN nl > 1 OR nr > 1 THEN CASE WHEN contains(runs, '{again}') THEN 'concatemer_candidate' WHEN nl > 1 THEN 'internal_5p_anchor' ELSE 'internal_3p_anchor' END WHEN nl = 0 THEN 'missing_5p_anchor' WHEN nr = 0 THEN 'missing_3p_anchor'"
+_RULES = f"""WITH {_READS}, {_PLACES}, {_MISMATCHES},
+  {_told('rules', 'hits', _RUNS, "(length(coalesce(w, '')) - length(replace(coalesce(w, ''), 'LR', ''))) // 2", f"WHEN passes >= 2 THEN 'concatemer_candidate' {_REPEATED.format(again='LRL')} WHEN w = 'RL' THEN 'anchor_order_invalid' WHEN broken <> '' THEN 'structure_rule_violation' ELSE 'full_structure'", 'full_structure',
+    "concat_ws(',', CASE WHEN n > 0 AND l.s / n > 0.05 THEN 'left:not_5p_terminal' END, CASE WHEN r.s - l.e < 50 THEN 'right:distance_below_min' END, CASE WHEN r.s - l.e > 75 THEN 'right:distance_above_max' END) AS broken")},
+  {_told('free', 'hits', _RUNS, '0', "WHEN nl > 1 OR nr > 1 THEN 'duplicated_anchor' ELSE 'anchors_detected'", 'anchors_detected')},
+  middles AS (SELECT * FROM hits UNION ALL SELECT read_index, rev, 'mid', (i - 1)::INTEGER, (i + 4)::INTEGER, 0 FROM (SELECT read_index, rev, s, unnest(range(1, greatest(length(s) - 3, 1))) AS i FROM strands) t WHERE substr(s, i, 5) = '{MIDDLE}'),
+  {_told('middle', 'middles', _RUNS, "(length(coalesce(w, '')) - length(replace(coalesce(w, ''), 'LMR', ''))) // 3", f"WHEN passes >= 2 THEN 'concatemer_candidate' {_REPEATED.format(again='LMRL')} WHEN NOT contains(w, 'M') THEN 'partial_structure' WHEN runs <> 'LMR' THEN 'anchor_order_invalid' ELSE 'full_structure'", 'full_structure')}
+  SELECT 'rules' AS structure, read_index, CASE WHEN rev AND label = 'full_structure' THEN 'orientation_unexpected' ELSE label END AS label, label = 'full_structure' AND NOT rev AS order_valid,
+    CASE WHEN rev THEN 'reversed' ELSE 'forward' END AS orientation, concat_ws(',', CASE WHEN label = 'structure_rule_violation' THEN broken END, CASE WHEN rev THEN 'orientation_unexpected' END) AS violations,
+    CASE WHEN label = 'concatemer_candidate' AND passes >= 2 OR label = 'structure_rule_violation' THEN passes ELSE 0 END::INTEGER AS cycle_count FROM chosen_rules
+  UNION ALL SELECT 'free', read_index, label, label = 'anchors_detected', CASE WHEN rev THEN 'reversed' ELSE 'forward' END, '', 0 FROM chosen_free
+  UNION ALL SELECT 'middle', read_index, label, label = 'full_structure', CASE WHEN rev THEN 'reversed' ELSE 'forward' END, '', CASE WHEN label = 'concatemer_candidate' AND passes >= 2 THEN passes ELSE 0 END::INTEGER FROM chosen_middle"""
+
+
 def oracle_sql() -> dict:
     whole = f"WITH {_READS}, {_Q}, {_HITS}, {_SEGMENT}, {_FLAGS}"
     hits = f"WITH {_READS}, {_HITS}"
@@ -390,6 +441,7 @@ def oracle_sql() -> dict:
           SELECT read_index, len(f)::INTEGER AS n_hits, coalesce(list_sum(list_transform(f, lambda x: length(x))), 0)::INTEGER AS bases FROM m""",
         "best_hits": f"{hits} SELECT read_index, anchor, start, stop, distance FROM best",
         "structures": f"{hits} SELECT read_index, label, CASE WHEN rev THEN 'reversed' ELSE 'forward' END AS orientation, label = 'full_structure' AS order_valid, k::INTEGER AS n_hits, array_to_string(list_transform(list_filter(string_split(runs, ''), lambda c: c <> ''), lambda c: CASE c WHEN 'L' THEN 'left' ELSE 'right' END), ',') AS detected FROM chosen",
+        "structure_labels": _RULES,
         "read_flags": f"{whole} SELECT read_index, array_to_string(flags, ';') AS flags, bucket, round(o5, 6) AS offset5, round(o3, 6) AS offset3 FROM bucketed",
         "structure_orientation_counts": f"{hits} SELECT label, CASE WHEN rev THEN 'reversed' ELSE 'forward' END AS orientation, count(*) AS count FROM chosen GROUP BY 1, 2",
         "segments": f"{hits}, {_SEGMENT} SELECT read_index, status, length(part)::INTEGER AS length, round({gc}, 6) AS gc, {measured} AS qscore FROM seg",

@@ -119,36 +119,46 @@ def hit(name, start, end, distance=0):
     return (start, end, name, distance, 0, 0, 0, "", "")
 
 
-def test_rules_and_violations():
+def told(spark, forward, reverse, r, length):
+    """What the column expressions say of one read's hits."""
+    df = spark.createDataFrame([(forward, reverse, length)], f"_forward array<{annotate.HIT}>, _reverse array<{annotate.HIT}>, length int")
+    return structure.choose_strand(df, r, F.col("length")).first()
+
+
+def test_rules_and_violations(spark):
     r = rules(anchor_rules={"left": settings.Rule(terminal="5p", max_terminal_offset=0.1), "right": settings.Rule(terminal="3p", max_terminal_offset=0.1, min_distance_from_previous=5, max_distance_from_previous=20)})
-    assert structure.label([hit("left", 1, 5), hit("right", 15, 19)], r, 20).label == "full_structure"
-    v = structure.label([hit("left", 5, 9), hit("right", 10, 14)], r, 20)
+    assert told(spark, [hit("left", 1, 5), hit("right", 15, 19)], [], r, 20).label == "full_structure"
+    v = told(spark, [hit("left", 5, 9), hit("right", 10, 14)], [], r, 20)
     assert v.label == "structure_rule_violation" and {"left:not_5p_terminal", "right:distance_below_min"} <= set(v.violations)
 
 
-def test_cycles_and_molecules():
+def test_cycles_and_molecules(spark):
     found = [hit("left", 0, 4), hit("right", 10, 14), hit("left", 20, 24), hit("right", 30, 34)]
-    v = structure.label(found, rules(), 40)
+    v = told(spark, found, [], rules(), 40)
     assert (v.label, v.cycle_count) == ("concatemer_candidate", 2)
-    assert [m[:3] for m in structure.molecules("A" * 40, "I" * 40, found, ["left", "right"])] == [(1, 0, 14), (2, 20, 34)]
-    assert len(structure.cycles([hit("left", 0, 4), hit("other", 5, 6), hit("right", 10, 14)], ["left", "right"])) == 1
-    assert not structure.cycles([hit("right", 0, 4), hit("left", 5, 9)], ["left", "right"])
+    df = spark.createDataFrame([(v._cycles, v.label)], "_cycles array<struct<start:int,end:int>>, label string")
+    (m,) = df.select(structure.molecules(rules(split_concatemers=True), F.lit("A" * 40), F.lit("I" * 40))).first()
+    assert [x[:3] for x in m] == [(1, 0, 14), (2, 20, 34)]
+    assert len(told(spark, [hit("left", 0, 4), hit("other", 5, 6), hit("right", 10, 14)], [], rules(), 20)._cycles) == 1
+    assert not told(spark, [hit("right", 0, 4), hit("left", 5, 9)], [], rules(), 20)._cycles
 
 
-def test_orientation():
+def test_orientation(spark):
     found = [hit("left", 0, 4), hit("right", 10, 14)]
-    assert structure.choose_strand([], found, rules(), 14)[0].label == "full_structure"
-    v, _ = structure.choose_strand([], found, rules(expected_orientation="forward"), 14)
+    assert told(spark, [], found, rules(), 14).label == "full_structure"
+    v = told(spark, [], found, rules(expected_orientation="forward"), 14)
     assert v.label == "orientation_unexpected" and not v.order_valid
-    assert not structure.choose_strand([], [], rules(), 14)[0].is_reversed
+    assert not told(spark, [], [], rules(), 14).is_reversed
 
 
-def test_segment():
-    g = settings.Segment("s", "left", "right", min_length=4, max_length=8)
-    (o,) = annotate.observe("AAAACCGTGGGG", "I" * 12, {"left": hit("left", 0, 4), "right": hit("right", 8, 12)}, [g])
-    assert o[4] == 4 and o[6] == 0.75 and o[8] == "pass"
-    (o,) = annotate.observe("AAAAGGGG", "I" * 8, {"left": hit("left", 0, 4), "right": hit("right", 4, 8)}, [settings.Segment("s", "left", "right")])
-    assert o[4] == 0 and o[5] == 0.0 and o[8] == "pass"
+@pytest.mark.parametrize("sequence,first,second,g,want", [
+    ("AAAACCGTGGGG", (0, 4), (8, 12), settings.Segment("s", "left", "right", min_length=4, max_length=8), (4, 0.75, "pass")), ("AAAAGGGG", (0, 4), (4, 8), settings.Segment("s", "left", "right"), (0, 0.0, "pass")),
+])
+def test_segment(spark, sequence, first, second, g, want):
+    df = spark.createDataFrame([(sequence, "I" * len(sequence), {"left": hit("left", *first), "right": hit("right", *second)})], f"s string, q string, best map<string,{annotate.HIT}>")
+    (o,) = structure.with_segments(df, [g], "s", "q", annotate.part_scores()).first().segments
+    assert (o.length, o.gc_fraction, o.status) == want
+    assert o.mean_qscore == (0.0 if o.length == 0 else pytest.approx(40))
 
 
 @pytest.mark.parametrize("raw,message", [
