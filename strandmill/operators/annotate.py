@@ -76,7 +76,7 @@ def _stretches(sequences: list[str]) -> Iterator[tuple[int, int]]:
         yield lo, len(sequences)
 
 
-def _hit_lists(found: list[list[tuple]]) -> pa.ListArray:
+def hit_lists(found: list[list[tuple]]) -> pa.ListArray:
     """Hits of each read as Arrow lists, made column by column."""
     ends = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
     columns = list(zip(*(h for x in found for h in x))) or [()] * len(_HIT_TYPES)
@@ -97,7 +97,7 @@ def find_hits(s: Settings):
             for lo, hi in _stretches(sequences):
                 forward += matching.find_hits_in_all(sequences[lo:hi], probes)
                 reverse += matching.find_hits_in_all([matching.reverse_complement(x) for x in sequences[lo:hi]], probes)
-            yield pa.StructArray.from_arrays([_hit_lists(forward), _hit_lists(reverse)], ["forward", "reverse"])
+            yield pa.StructArray.from_arrays([hit_lists(forward), hit_lists(reverse)], ["forward", "reverse"])
 
     both.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     # not to be evaluated a second time for a filter on what is worked out from it
@@ -116,21 +116,21 @@ def annotate_hits(found: DataFrame, s: Settings) -> DataFrame:
     order, reads = s.structure.expected_order, found.columns
     seq, n = F.coalesce("sequence", F.lit("")), F.col("length")
     anchors = [a.name for a in s.anchors]
-    entries = [F.struct(F.lit(a).alias("k"), C.best_of(F.col("hits"), a).alias("v")) for a in anchors]
-    best = F.map_from_entries(F.filter(F.array(*entries), lambda e: e["v"].isNotNull())) if anchors else F.expr(f"cast(map() as map<string,{HIT}>)")
-    told = structure.choose_strand(found.withColumn("length", F.length(seq)), s.structure, F.col("length"))
+    entries = ", ".join(f"named_struct('k', {structure.text(a)}, 'v', {C.best_of('hits', a)})" for a in anchors)
+    best = F.expr(f"map_from_entries(filter(array({entries}), e -> e.v IS NOT NULL))" if anchors else f"cast(map() as map<string,{HIT}>)")
+    told = structure.choose_strand(found.withColumn("length", F.length(seq)), s.structure)
     told = told.withColumn("best", best).withColumns({
         "_sequence": oriented_of(F.col("is_reversed"), seq, C.reverse_complement), "_quality": oriented_of(F.col("is_reversed"), F.coalesce("quality", F.lit("")), F.reverse),
     })
     told = structure.with_segments(told, s.structure.segments, "_sequence", "_quality", part_scores())
     told = (
-        told.withColumn("molecules", structure.molecules(s.structure, F.col("_sequence"), F.col("_quality")))
+        told.withColumn("molecules", structure.molecules(s.structure, "_sequence", "_quality"))
         .withColumn("read_qscore", read_scores(s.qscore_method)(F.coalesce("quality", F.lit(""))))
         .drop("_sequence", "_quality", "_cycles")
-        .withColumn("n_fraction", C.share(C.n_count(seq), n))
-        .withColumn("invalid_fraction", C.share(C.invalid_count(seq), n))
-        .withColumn("five_prime_offset", C.five_prime_offset(F.col("best"), order, n))
-        .withColumn("three_prime_offset", C.three_prime_offset(F.col("best"), order, n))
+        .withColumns({
+            "n_fraction": C.share(C.n_count(seq), n), "invalid_fraction": C.share(C.invalid_count(seq), n),
+            "five_prime_offset": C.five_prime_offset(F.col("best"), order, n), "three_prime_offset": C.three_prime_offset(F.col("best"), order, n),
+        })
         .withColumn("flags", C.qc_flags(s))
         .withColumn("bucket", C.qc_bucket(F.col("flags")))
         .withColumn("orientation", F.when(F.col("is_reversed"), "reversed").otherwise("forward"))

@@ -27,168 +27,145 @@ UNLIMITED = (1 << 31) - 1
 _SPANS = "array<struct<start:int,end:int>>"
 
 
-def _literal_map(pairs: dict) -> Column:
-    return F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair])
+def text(word: str) -> str:
+    """A word as an SQL literal."""
+    return "'" + word.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _words(words: list[str]) -> Column:
-    return F.array(*map(F.lit, words)).cast("array<string>")
+def _map(pairs: dict) -> str:
+    return f"map({', '.join(f'{text(k)}, {v}' for k, v in pairs.items())})"
 
 
-def _count(names: Column, name: Column | str) -> Column:
-    return F.size(F.filter(names, lambda n: n == name))
+def _words(words: list[str]) -> str:
+    return f"cast(array({', '.join(map(text, words))}) as array<string>)"
 
 
-def cycles(hits: Column, order: list[str]) -> Column:
-    """Where complete passes through the expected order start and end, one after the other.
+def _places(order: list[str]) -> str:
+    return _map({name: k for k, name in enumerate(order)})
+
+
+def _count(names: str, name: str) -> str:
+    return f"size(filter({names}, n -> n = {name}))"
+
+
+def cycles(hits: str, order: list[str]) -> str:
+    """SQL of where complete passes through the expected order start and end, one after the other.
 
     The state is the place in the order that is waited for, the running pass's start, and the passes done. Anchors outside
     the order are passed over; one of the order at the wrong place breaks a pass off, and the first one starts another.
     """
-    none = F.array().cast(_SPANS)
+    none = f"cast(array() as {_SPANS})"
     if not order:
         return none
-    places = _literal_map({name: k for k, name in enumerate(order)})
-
-    def step(s: Column, h: Column) -> Column:
-        place = F.try_element_at(places, h["anchor"])
-        at = F.when(place == s["at"], s["at"] + 1).when(place == 0, 1).otherwise(0)
-        start = F.when(place == 0, h["start"]).otherwise(s["start"])
-        whole = at == len(order)
-        moved = F.struct(
-            F.when(whole, 0).otherwise(at).alias("at"), start.alias("start"),
-            F.when(whole, F.concat(s["done"], F.array(F.struct(start.alias("start"), h["end"].alias("end"))))).otherwise(s["done"]).alias("done"),
-        )
-        return F.when(place.isNull(), s).otherwise(moved)
-
-    return F.aggregate(hits, F.struct(F.lit(0).alias("at"), F.lit(0).alias("start"), none.alias("done")), step, lambda s: s["done"])
-
-
-def _rule_checks(rules: Structure, names: Column, best: dict[str, Column], length: Column) -> list[Column]:
-    """What is broken, each as ``anchor:what`` or null."""
-    out = []
+    place = f"try_element_at({_places(order)}, h.anchor)"
+    start = f"if({place} = 0, h.start, s.start)"
+    # passed over, the last of a pass, the next one, the first of another pass, or none of these
+    return f"""aggregate({hits}, named_struct('at', 0, 'start', 0, 'done', {none}), (s, h) -> CASE
+        WHEN {place} IS NULL THEN s
+        WHEN {place} = {len(order) - 1} AND {place} = s.at THEN named_struct('at', 0, 'start', {start}, 'done', concat(s.done, array(named_struct('start', {start}, 'end', h.end))))
+        ELSE named_struct('at', CASE WHEN {place} = s.at THEN s.at + 1 WHEN {place} = 0 THEN 1 ELSE 0 END, 'start', {start}, 'done', s.done) END, s -> s.done)"""
+
+
+def _rule_checks(rules: Structure, names: str, best: dict[str, str]) -> str:
+    """SQL of what is broken, as an array of ``anchor:what``."""
+    out: list[tuple[str, str]] = []
     for name, r in rules.anchor_rules.items():
-        n, b = _count(names, name), best[name]
+        n, b = _count(names, text(name)), best[name]
         if r.required:
-            out.append(F.when(n < r.min_count, f"{name}:below_min_count"))
+            out.append((f"{n} < {r.min_count}", f"{name}:below_min_count"))
         if r.max_count is not None:
-            out.append(F.when(n > r.max_count, f"{name}:above_max_count"))
+            out.append((f"{n} > {r.max_count}", f"{name}:above_max_count"))
         if r.terminal != "any":
             limit = TERMINAL_OFFSET if r.max_terminal_offset is None else r.max_terminal_offset
-            left, right = b["start"] / length, (length - b["end"]) / length
-            broken = {"5p": left > limit, "3p": right > limit, "internal": F.least(left, right) <= limit}[r.terminal]
-            what = "not_internal" if r.terminal == "internal" else f"not_{r.terminal}_terminal"
-            out.append(F.when(b.isNotNull() & (length > 0) & broken, f"{name}:{what}"))
+            left, right = f"{b}.start / length", f"(length - {b}.end) / length"
+            broken = {"5p": f"{left} > {limit}D", "3p": f"{right} > {limit}D", "internal": f"least({left}, {right}) <= {limit}D"}[r.terminal]
+            out.append((f"{b} IS NOT NULL AND length > 0 AND {broken}", f"{name}:not_internal" if r.terminal == "internal" else f"{name}:not_{r.terminal}_terminal"))
     for before, name in pairwise(rules.expected_order):
         r: Rule | None = rules.anchor_rules.get(name)
-        if r:
-            gap = best[name]["start"] - best[before]["end"]  # null, and so never broken, unless both are there
-            out += [F.when(gap < r.min_distance_from_previous, f"{name}:distance_below_min")] if r.min_distance_from_previous is not None else []
-            out += [F.when(gap > r.max_distance_from_previous, f"{name}:distance_above_max")] if r.max_distance_from_previous is not None else []
-    return out
+        gap = f"{best[name]}.start - {best[before]}.end"  # null, and so never broken, unless both are there
+        if r and r.min_distance_from_previous is not None:
+            out.append((f"{gap} < {r.min_distance_from_previous}", f"{name}:distance_below_min"))
+        if r and r.max_distance_from_previous is not None:
+            out.append((f"{gap} > {r.max_distance_from_previous}", f"{name}:distance_above_max"))
+    return f"cast(array_compact(array({', '.join(f'CASE WHEN {broken} THEN {text(what)} END' for broken, what in out)})) as array<string>)"
 
 
-def _label(rules: Structure, hits: Column, names: Column, runs: Column, passes: Column, broken: Column) -> Column:
+def _label(rules: Structure, hits: str, names: str, runs: str, passes: str, broken: str) -> str:
     order = rules.expected_order
     limits = {n: UNLIMITED if r.max_count is None else max(1, r.max_count) for n, r in rules.anchor_rules.items()}
-    most = lambda n: F.coalesce(F.try_element_at(_literal_map(limits), n), F.lit(1)) if limits else F.lit(1)
-    excess = F.exists(F.array_distinct(names), lambda n: _count(names, n) > most(n))
-    told = F.when(F.size(hits) == 0, "no_anchor_detected")
+    most = f"coalesce(try_element_at({_map(limits)}, x), 1)" if limits else "1"
+    excess = f"exists(array_distinct({names}), x -> {_count(names, 'x')} > {most})"
     if not order:
-        return told.when(excess, "duplicated_anchor").otherwise("anchors_detected")
+        return f"CASE WHEN size({hits}) = 0 THEN 'no_anchor_detected' WHEN {excess} THEN 'duplicated_anchor' ELSE 'anchors_detected' END"
+    first, last, again = text(order[0]), text(order[-1]), [*order, order[0]]
     # somewhere the whole order is followed by its first anchor
-    again = [*order, order[0]]
-    restarts = F.exists(F.transform(runs, lambda _, i: F.slice(runs, i + 1, len(again))), lambda part: part == _words(again))
-    repeated = F.when(restarts, "concatemer_candidate").when(_count(names, order[0]) > 1, "internal_5p_anchor").when(_count(names, order[-1]) > 1, "internal_3p_anchor").otherwise("duplicated_anchor")
+    restarts = f"exists(sequence(1, size({runs})), k -> slice({runs}, k, {len(again)}) = {_words(again)})"
     wanted = [n for n in order if n not in rules.anchor_rules or rules.anchor_rules[n].required]
-    absent = F.when(~F.array_contains(names, order[0]), "missing_5p_anchor").when(~F.array_contains(names, order[-1]), "missing_3p_anchor").otherwise("partial_structure")
-    places = F.filter(F.transform(runs, lambda n: F.try_element_at(_literal_map({name: k for k, name in enumerate(order)}), n)), lambda k: k.isNotNull())
-    return (
-        told.when(passes >= rules.concatemer_min_cycles, "concatemer_candidate").when(excess, repeated).when(F.size(F.array_except(_words(wanted), runs)) > 0, absent)
-        .when(places != F.array_sort(places), "anchor_order_invalid").when(F.size(broken) > 0, "structure_rule_violation").otherwise("full_structure")
-    )
-
-
-def with_strand(df: DataFrame, hits: str, out: str, rules: Structure, length: Column) -> DataFrame:
-    """df with a column ``out``: what one strand's hits say, with a score that sorts as strands are preferred."""
-    p, h = f"{out}_", F.col(hits)
-    named = [*rules.anchor_rules, *rules.expected_order]
-    df = df.withColumn(p + "names", F.transform(h, lambda x: x["anchor"]))
-    names = F.col(p + "names")
-    best = F.struct(F.lit(0).alias("none"), *[C.best_of(h, n).alias(f"b{k}") for k, n in enumerate(dict.fromkeys(named))])
+    places = f"filter(transform({runs}, n -> try_element_at({_places(order)}, n)), k -> k IS NOT NULL)"
+    return f"""CASE WHEN size({hits}) = 0 THEN 'no_anchor_detected' WHEN {passes} >= {rules.concatemer_min_cycles} THEN 'concatemer_candidate'
+        WHEN {excess} THEN CASE WHEN {restarts} THEN 'concatemer_candidate' WHEN {_count(names, first)} > 1 THEN 'internal_5p_anchor' WHEN {_count(names, last)} > 1 THEN 'internal_3p_anchor' ELSE 'duplicated_anchor' END
+        WHEN size(array_except({_words(wanted)}, {runs})) > 0 THEN CASE WHEN NOT array_contains({names}, {first}) THEN 'missing_5p_anchor' WHEN NOT array_contains({names}, {last}) THEN 'missing_3p_anchor' ELSE 'partial_structure' END
+        WHEN {places} <> array_sort({places}) THEN 'anchor_order_invalid' WHEN size({broken}) > 0 THEN 'structure_rule_violation' ELSE 'full_structure' END"""
+
+
+def with_strand(df: DataFrame, hits: str, out: str, rules: Structure) -> DataFrame:
+    """df with a column ``out``: what one strand's hits say, with a score that sorts as strands are preferred. df has the read's ``length``."""
+    names, runs, passes, broken, label = f"{out}_names", f"{out}_runs", f"size({out}_cycles)", f"{out}_broken", f"{out}_label"
+    named = {n: f"b{k}" for k, n in enumerate(dict.fromkeys([*rules.anchor_rules, *rules.expected_order]))}
+    best = ", ".join(f"'{b}', {C.best_of(hits, n)}" for n, b in named.items())
+    df = df.withColumn(names, F.expr(f"transform({hits}, h -> h.anchor)"))
     df = df.withColumns({
-        p + "runs": F.filter(names, lambda n, i: (i == 0) | (n != F.get(names, i - 1))), p + "cycles": cycles(h, rules.expected_order), p + "best": best,
+        runs: F.expr(f"filter({names}, (n, i) -> i = 0 OR n <> get({names}, i - 1))"), f"{out}_cycles": F.expr(cycles(hits, rules.expected_order)),
+        f"{out}_best": F.expr(f"named_struct('none', 0{', ' * bool(best)}{best})"),
     })
-    found = {n: F.col(f"{p}best")[f"b{k}"] for k, n in enumerate(dict.fromkeys(named))}
-    checks = _rule_checks(rules, names, found, length)
-    df = df.withColumn(p + "broken", F.array_compact(F.array(*checks)).cast("array<string>") if checks else F.array().cast("array<string>"))
-    runs, passes, broken = F.col(p + "runs"), F.size(p + "cycles"), F.col(p + "broken")
-    df = df.withColumn(p + "label", _label(rules, h, names, runs, passes, broken))
-    label = F.col(p + "label")
-    valid = label.isin("full_structure", "anchors_detected")
-    violated, counted = label == "structure_rule_violation", (label == "concatemer_candidate") & (passes >= rules.concatemer_min_cycles)
-    score = F.struct(valid, F.try_element_at(_literal_map(RANK), label), F.size(runs), F.size(h), -F.aggregate(h, F.lit(0), lambda s, x: s + x["distance"]))
-    told = F.struct(
-        label.alias("label"), valid.alias("order_valid"), runs.alias("detected"), F.when(violated, broken).otherwise(F.array().cast("array<string>")).alias("violations"),
-        F.when(violated | counted, passes).otherwise(0).alias("cycle_count"), h.alias("hits"), F.col(p + "cycles").alias("cycles"), score.alias("score"),
-    )
-    return df.withColumn(out, told).drop(*[p + x for x in ("names", "runs", "cycles", "best", "broken", "label")])
-
-
-def choose_strand(df: DataFrame, rules: Structure, length: Column, forward: str = "_forward", reverse: str = "_reverse") -> DataFrame:
-    """df with the better strand's label, order_valid, is_reversed, detected, violations, cycle_count, hits and _cycles; the forward one's on a tie."""
-    df = with_strand(with_strand(df, forward, "_f", rules, length), reverse, "_r", rules, length)
-    df = df.withColumn("is_reversed", F.col("_r.score") > F.col("_f.score")).withColumn("_s", F.when(F.col("is_reversed"), F.col("_r")).otherwise(F.col("_f")))
-    label, valid, violations = F.col("_s.label"), F.col("_s.order_valid"), F.col("_s.violations")
+    df = df.withColumn(broken, F.expr(_rule_checks(rules, names, {n: f"{out}_best.{b}" for n, b in named.items()})))
+    df = df.withColumn(label, F.expr(_label(rules, hits, names, runs, passes, broken)))
+    valid, counted = f"{label} IN ('full_structure', 'anchors_detected')", f"{label} = 'concatemer_candidate' AND {passes} >= {rules.concatemer_min_cycles}"
+    told = f"""named_struct('label', {label}, 'order_valid', {valid}, 'detected', {runs}, 'violations', if({label} = 'structure_rule_violation', {broken}, cast(array() as array<string>)),
+        'cycle_count', if({label} = 'structure_rule_violation' OR {counted}, {passes}, 0), 'hits', {hits}, 'cycles', {out}_cycles,
+        'score', named_struct('valid', {valid}, 'rank', try_element_at({_map(RANK)}, {label}), 'runs', size({runs}), 'hits', size({hits}), 'distance', -aggregate({hits}, 0, (s, h) -> s + h.distance)))"""
+    return df.withColumn(out, F.expr(told)).drop(names, runs, f"{out}_cycles", f"{out}_best", broken, label)
+
+
+def choose_strand(df: DataFrame, rules: Structure, forward: str = "_forward", reverse: str = "_reverse") -> DataFrame:
+    """df, which has the reads' ``length``, with the better strand's label, order_valid, is_reversed, detected, violations, cycle_count, hits and _cycles; the forward one's on a tie."""
+    df = with_strand(with_strand(df, forward, "_f", rules), reverse, "_r", rules)
+    df = df.withColumn("is_reversed", F.expr("_r.score > _f.score")).withColumn("_s", F.expr("if(is_reversed, _r, _f)"))
+    label, valid, violations = "_s.label", "_s.order_valid", "_s.violations"
     if rules.expected_orientation != "either":
-        against = F.col("is_reversed") if rules.expected_orientation == "forward" else ~F.col("is_reversed")
-        label = F.when(against & (label == "full_structure"), "orientation_unexpected").otherwise(label)
-        valid = valid & ~(against & (F.col("_s.label") == "full_structure"))
-        violations = F.when(against, F.concat(violations, _words(["orientation_unexpected"]))).otherwise(violations)
-    return df.withColumns({
-        "label": label, "order_valid": valid, "detected": F.col("_s.detected"), "violations": violations, "cycle_count": F.col("_s.cycle_count"),
-        "hits": F.col("_s.hits"), "_cycles": F.col("_s.cycles"),
-    }).drop("_f", "_r", "_s", forward, reverse)
-
-
-def _share_of(part: Column, characters: str) -> Column:
-    return C.share(F.length(part) - F.length(F.translate(part, characters, "")), F.length(part))
+        against = "is_reversed" if rules.expected_orientation == "forward" else "NOT is_reversed"
+        label = f"if({against} AND _s.label = 'full_structure', 'orientation_unexpected', _s.label)"
+        valid = f"_s.order_valid AND NOT ({against} AND _s.label = 'full_structure')"
+        violations = f"if({against}, concat(_s.violations, {_words(['orientation_unexpected'])}), _s.violations)"
+    columns = {"label": label, "order_valid": valid, "detected": "_s.detected", "violations": violations, "cycle_count": "_s.cycle_count", "hits": "_s.hits", "_cycles": "_s.cycles"}
+    return df.withColumns({name: F.expr(sql) for name, sql in columns.items()}).drop("_f", "_r", "_s", forward, reverse)
 
 
 def with_segments(df: DataFrame, segments: list[Segment], sequence: str, quality: str, scores) -> DataFrame:
     """df with what lies between each segment's anchors on the oriented read; scores: a function of an array of qualities."""
     if not segments:
-        return df.withColumn("segments", F.array().cast("array<struct<name:string,role:string,start:int,end:int,length:int,mean_qscore:double,gc_fraction:double,n_fraction:double,status:string>>"))
-    parts = []
-    for g in segments:
-        left, right = F.try_element_at("best", F.lit(g.start_anchor)), F.try_element_at("best", F.lit(g.end_anchor))
-        lo, hi = left["end"], right["start"]
-        cut = lambda c: F.substring(F.col(c), lo + 1, hi - lo)  # noqa: E731, B023
-        parts.append(F.when(hi >= lo, F.struct(lo.alias("lo"), hi.alias("hi"), F.upper(cut(sequence)).alias("bases"), cut(quality).alias("quality"))))
-    df = df.withColumn("_parts", F.array(*parts))
-    df = df.withColumn("_scores", scores(F.transform("_parts", lambda p: p["quality"])))
-    out = []
+        return df.withColumn("segments", F.expr("cast(array() as array<struct<name:string,role:string,start:int,end:int,length:int,mean_qscore:double,gc_fraction:double,n_fraction:double,status:string>>)"))
+    parts, out = [], []
     for k, g in enumerate(segments):
-        p = F.get("_parts", F.lit(k))
-        n = F.length(p["bases"])
-        status = F.when(p.isNull(), "missing").when(F.lit(False) if g.min_length is None else n < g.min_length, "too_short").when(F.lit(False) if g.max_length is None else n > g.max_length, "too_long").otherwise("pass")
-        there = lambda c: F.when(p.isNotNull(), c)  # noqa: E731, B023
-        out.append(F.struct(
-            F.lit(g.name).alias("name"), F.lit(g.role).alias("role"), p["lo"].alias("start"), p["hi"].alias("end"), n.alias("length"), there(F.get("_scores", F.lit(k))).alias("mean_qscore"),
-            there(_share_of(p["bases"], "GC")).alias("gc_fraction"), there(_share_of(p["bases"], "N")).alias("n_fraction"), status.alias("status"),
-        ))
-    return df.withColumn("segments", F.array(*out)).drop("_parts", "_scores")
-
-
-def molecules(rules: Structure, sequence: Column, quality: Column) -> Column:
+        lo, hi = f"try_element_at(best, {text(g.start_anchor)}).end", f"try_element_at(best, {text(g.end_anchor)}).start"
+        parts.append(f"CASE WHEN {hi} >= {lo} THEN named_struct('lo', {lo}, 'hi', {hi}, 'bases', upper(substring({sequence}, {lo} + 1, {hi} - {lo})), 'quality', substring({quality}, {lo} + 1, {hi} - {lo})) END")
+        p = f"get(_parts, {k})"
+        n = f"length({p}.bases)"
+        short = [f"WHEN {n} < {g.min_length} THEN 'too_short'"] * (g.min_length is not None) + [f"WHEN {n} > {g.max_length} THEN 'too_long'"] * (g.max_length is not None)
+        share = lambda c: f"CASE WHEN {n} > 0 THEN ({n} - length(translate({p}.bases, '{c}', ''))) / {n} WHEN {n} = 0 THEN 0D END"  # noqa: E731, B023
+        out.append(f"""named_struct('name', {text(g.name)}, 'role', {text(g.role)}, 'start', {p}.lo, 'end', {p}.hi, 'length', {n}, 'mean_qscore', if({p} IS NOT NULL, get(_scores, {k}), cast(null as double)),
+            'gc_fraction', {share('GC')}, 'n_fraction', {share('N')}, 'status', CASE WHEN {p} IS NULL THEN 'missing' {' '.join(short)} ELSE 'pass' END)""")
+    df = df.withColumn("_parts", F.expr(f"array({', '.join(parts)})"))
+    df = df.withColumn("_scores", scores(F.expr("transform(_parts, p -> p.quality)")))
+    return df.withColumn("segments", F.expr(f"array({', '.join(out)})")).drop("_parts", "_scores")
+
+
+def molecules(rules: Structure, sequence: str, quality: str) -> Column:
     """(cycle's number from 1, start, end, sequence, quality) of each complete cycle of an oriented read that is a concatemer."""
-    kind = "array<struct<cycle:int,start:int,end:int,sequence:string,quality:string>>"
-    none = F.array().cast(kind)
+    none = "cast(array() as array<struct<cycle:int,start:int,end:int,sequence:string,quality:string>>)"
     if not rules.split_concatemers:
-        return none
-    cut = lambda text, c: F.substring(text, c["start"] + 1, c["end"] - c["start"])
-    numbered = F.transform("_cycles", lambda c, i: F.struct((i + 1).alias("cycle"), c["start"].alias("start"), c["end"].alias("end")))
-    whole = F.transform(F.filter(numbered, lambda c: c["start"] < c["end"]), lambda c: F.struct(
-        c["cycle"].alias("cycle"), c["start"].alias("start"), c["end"].alias("end"), cut(sequence, c).alias("sequence"), cut(quality, c).alias("quality")
-    ))
-    return F.when(F.col("label") == "concatemer_candidate", whole).otherwise(none)
+        return F.expr(none)
+    cut = lambda c: f"substring({c}, c.start + 1, c.end - c.start)"
+    numbered = "transform(_cycles, (c, i) -> named_struct('cycle', i + 1, 'start', c.start, 'end', c.end))"
+    whole = f"transform(filter({numbered}, c -> c.start < c.end), c -> named_struct('cycle', c.cycle, 'start', c.start, 'end', c.end, 'sequence', {cut(sequence)}, 'quality', {cut(quality)}))"
+    return F.expr(f"if(label = 'concatemer_candidate', {whole}, {none})")

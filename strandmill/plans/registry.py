@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from strandmill import settings
 from strandmill.functions import columns as C
-from strandmill.operators import barcodes, metrics as M, tags
+from strandmill.operators import barcodes, metrics as M, seeds, tags
 from strandmill.operators.annotate import annotate, oriented
 from strandmill.plans import qc
 from strandmill.sources.fastq import spread
@@ -38,6 +38,11 @@ FROM (SELECT doc_id, q, CASE k
           translate(md5(concat('w:', doc_id * 7 % 100 + 1)), '{_HEX}', '{_BASES}') AS w
         FROM {{documents}}) layer1) layer2) layer3) layer4
 """
+LONG_READS = """
+SELECT doc_id AS read_index, translate(regexp_replace(lower(coalesce(text, '')), '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ACGTCAGTGCATTGACACGTGTCAAC') AS sequence FROM {documents}
+"""
+#: Motifs that are looked for in long reads with mismatches.
+LONG_MOTIFS = {"one": "GACTGTCAGA", "two": "CATTACGTTGCA", "three": "TGCAACGT"}
 WHITELIST = f"SELECT DISTINCT substr(translate(md5(concat('w:', s_suppkey)), '{_HEX}', '{_BASES}'), 1, 8) AS barcode FROM {{supplier}} WHERE s_suppkey IS NOT NULL"
 
 
@@ -73,6 +78,16 @@ def annotated(spark, sf_dir, edits: bool = False) -> DataFrame:
     return annotate(reads(spark, sf_dir), query_settings(edits))
 
 
+def seeded(spark, sf_dir) -> DataFrame:
+    """As annotated, with hits by the seed join: no Python worker is needed for hits with mismatches."""
+    return seeds.annotate(reads(spark, sf_dir), query_settings())
+
+
+def long_reads(spark, sf_dir) -> DataFrame:
+    """Every document's whole text as a read, its letters as bases."""
+    return spark.sql(LONG_READS.replace(", 'g')", ")"), documents=spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")))
+
+
 def assessed(spark, sf_dir) -> DataFrame:
     s = query_settings()
     return barcodes.assess(annotated(spark, sf_dir), s.barcode, whitelist(spark, sf_dir))
@@ -129,10 +144,17 @@ def edit_distances(spark, sf_dir):
 def exact_hits(spark, sf_dir):
     """Overlapping exact occurrences of a short motif on the strand chosen."""
     s = settings.from_dict({"anchors": [{"name": "motif", "type": "fixed", "sequence": "ACA"}], "structure": {"expected_order": []}})
-    h = annotate(reads(spark, sf_dir), s).select("read_index", "orientation", F.explode("hits").alias("h"))
+    h = seeds.annotate(reads(spark, sf_dir), s).select("read_index", "orientation", F.explode("hits").alias("h"))
     return h.select("read_index", "orientation", F.col("h.start").alias("start"))
 
 
+def long_read_hits(spark, sf_dir):
+    """All places of both strands of long reads that hold a motif with one mismatch at most."""
+    anchors = [settings.Anchor(name=n, type="fixed", sequence=m, max_mismatches=1) for n, m in LONG_MOTIFS.items()]
+    h = seeds.strand_hits(long_reads(spark, sf_dir), anchors)
+    return h.select("read_index", "turned", F.col("hit.anchor").alias("anchor"), F.col("hit.start").alias("start"), F.col("hit.distance").alias("distance"), F.col("hit.matched").alias("matched"))
+
+
 def regex_hits(spark, sf_dir):
     s = settings.from_dict({"anchors": [{"name": "homopolymer", "type": "regex", "pattern": "A{3,}|C{3,}|G{3,}|T{3,}"}]})
     a = annotate(reads(spark, sf_dir), s)
@@ -140,7 +162,7 @@ def regex_hits(spark, sf_dir):
 
 
 def best_hits(spark, sf_dir):
-    b = annotated(spark, sf_dir).select("read_index", F.explode("best").alias("anchor", "b"))
+    b = seeded(spark, sf_dir).select("read_index", F.explode("best").alias("anchor", "b"))
     return b.select("read_index", "anchor", F.col("b.start").alias("start"), F.col("b.end").alias("stop"), F.col("b.distance").alias("distance"))
 
 
@@ -280,7 +302,7 @@ def queries() -> dict:
     return {
         "bucket_counts": a(lambda d: _without_first(M.counts_by(d, "bucket"))), "read_metrics": read_metrics, "reverse_complement": strands,
         "length_histogram": plain(M.length_histogram), "qscore_histogram": plain(M.qscore_histogram), "length_q_bins": plain(M.length_q_bins),
-        "base_quality_histogram": plain(M.base_quality_histogram), "length_stats": length_stats, "exact_hits": exact_hits, "hamming_hits": a(_kernel_hits),
+        "base_quality_histogram": plain(M.base_quality_histogram), "length_stats": length_stats, "exact_hits": exact_hits, "hamming_hits": lambda spark, sf_dir: _kernel_hits(seeded(spark, sf_dir)), "long_read_hits": long_read_hits,
         "edit_hits": edit_hits, "edit_anchor_stats": edit_anchor_stats, "window_hits": window_hits, "edit_distances": edit_distances, "regex_hits": regex_hits, "best_hits": best_hits, "structures": structures, "structure_labels": structure_labels, "read_flags": read_flags,
         "structure_orientation_counts": a(lambda d: _without_first(M.counts_by(d, "label", "orientation"))), "segments": segments, "segment_stats": segment_stats,
         "barcode_status": barcode_status, "barcode_counts": barcode_counts, "top_barcodes": top_barcodes, "umi_stats": umis, "run_totals": run_totals,
@@ -439,6 +461,13 @@ def oracle_sql() -> dict:
           FROM p GROUP BY ALL HAVING min(least(levenshtein(substr(s, i, 15), motif), levenshtein(substr(s, i, 16), motif), levenshtein(substr(s, i, 17), motif))) <= 1""",
         "regex_hits": f"""WITH {_READS}, m AS (SELECT read_index, regexp_extract_all(upper(sequence), 'A{{3,}}|C{{3,}}|G{{3,}}|T{{3,}}') AS f FROM reads)
           SELECT read_index, len(f)::INTEGER AS n_hits, coalesce(list_sum(list_transform(f, lambda x: length(x))), 0)::INTEGER AS bases FROM m""",
+        "long_read_hits": f"""WITH reads AS ({LONG_READS.format(documents='documents')}), strands AS (SELECT read_index, false AS turned, sequence AS s FROM reads
+            UNION ALL SELECT read_index, true, reverse(translate(sequence, 'ACGT', 'TGCA')) FROM reads),
+          tried AS (SELECT read_index, turned, s, unnest(range(1, length(s) + 1)) AS i FROM strands),
+          laid AS (SELECT read_index, turned, anchor, motif, i, substr(s, i, length(motif)) AS matched
+            FROM tried, (VALUES {', '.join(f"('{n}', '{m}')" for n, m in LONG_MOTIFS.items())}) m(anchor, motif) WHERE i + length(motif) - 1 <= length(s)),
+          told AS (SELECT *, CASE WHEN length(matched) = length(motif) THEN hamming(matched, motif) ELSE 99 END AS distance FROM laid)
+          SELECT read_index, turned, anchor, (i - 1)::INTEGER AS start, distance::INTEGER AS distance, matched FROM told WHERE distance <= 1""",
         "best_hits": f"{hits} SELECT read_index, anchor, start, stop, distance FROM best",
         "structures": f"{hits} SELECT read_index, label, CASE WHEN rev THEN 'reversed' ELSE 'forward' END AS orientation, label = 'full_structure' AS order_valid, k::INTEGER AS n_hits, array_to_string(list_transform(list_filter(string_split(runs, ''), lambda c: c <> ''), lambda c: CASE c WHEN 'L' THEN 'left' ELSE 'right' END), ',') AS detected FROM chosen",
         "structure_labels": _RULES,

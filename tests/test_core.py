@@ -122,7 +122,7 @@ def hit(name, start, end, distance=0):
 def told(spark, forward, reverse, r, length):
     """What the column expressions say of one read's hits."""
     df = spark.createDataFrame([(forward, reverse, length)], f"_forward array<{annotate.HIT}>, _reverse array<{annotate.HIT}>, length int")
-    return structure.choose_strand(df, r, F.col("length")).first()
+    return structure.choose_strand(df, r).first()
 
 
 def test_rules_and_violations(spark):
@@ -136,8 +136,8 @@ def test_cycles_and_molecules(spark):
     found = [hit("left", 0, 4), hit("right", 10, 14), hit("left", 20, 24), hit("right", 30, 34)]
     v = told(spark, found, [], rules(), 40)
     assert (v.label, v.cycle_count) == ("concatemer_candidate", 2)
-    df = spark.createDataFrame([(v._cycles, v.label)], "_cycles array<struct<start:int,end:int>>, label string")
-    (m,) = df.select(structure.molecules(rules(split_concatemers=True), F.lit("A" * 40), F.lit("I" * 40))).first()
+    df = spark.createDataFrame([(v._cycles, v.label, "A" * 40, "I" * 40)], "_cycles array<struct<start:int,end:int>>, label string, s string, q string")
+    (m,) = df.select(structure.molecules(rules(split_concatemers=True), "s", "q")).first()
     assert [x[:3] for x in m] == [(1, 0, 14), (2, 20, 34)]
     assert len(told(spark, [hit("left", 0, 4), hit("other", 5, 6), hit("right", 10, 14)], [], rules(), 20)._cycles) == 1
     assert not told(spark, [hit("right", 0, 4), hit("left", 5, 9)], [], rules(), 20)._cycles

@@ -40,7 +40,8 @@ def test_columns_say_what_the_rules_do(spark, seed):
     rows = [(k, random_hits(rng, rules), random_hits(rng, rules), rng.choice([0, 60, 120, 300])) for k in range(150)]
     df = spark.createDataFrame(rows, f"k int, _forward array<{HIT}>, _reverse array<{HIT}>, length int")
     sequence, quality = "ACGTTGCAAT" * 40, "0123456789" * 40
-    found = structure.choose_strand(df, rules, F.col("length")).withColumn("molecules", structure.molecules(rules, F.lit(sequence), F.lit(quality)))
+    df = df.withColumns({"s": F.lit(sequence), "q": F.lit(quality)})
+    found = structure.choose_strand(df, rules).withColumn("molecules", structure.molecules(rules, "s", "q"))
     labels = set()
     for r in found.collect():
         _, forward, reverse, length = rows[r.k]
