@@ -64,11 +64,10 @@ def levenshtein_within(a: Column, b: Column, most: int) -> Column:
     return F.when(d < 0, most + 1).otherwise(d)
 
 
-def best_of(hits: Column, anchor: str) -> Column:
-    """An anchor's best hit in an array of hits: least distance, then first place; null without any."""
-    own = F.filter(hits, lambda h: h["anchor"] == anchor)
-    keyed = F.transform(own, lambda h: F.struct(h["distance"].alias("d"), h["start"].alias("s"), h["end"].alias("e"), h.alias("h")))
-    return F.array_min(keyed)["h"]
+def best_of(hits: str, anchor: str) -> str:
+    """SQL of an anchor's best hit in a column of hits: least distance, then first place; null without any."""
+    name = anchor.replace("\\", "\\\\").replace("'", "\\'")
+    return f"array_min(transform(filter({hits}, h -> h.anchor = '{name}'), h -> named_struct('d', h.distance, 's', h.start, 'e', h.end, 'h', h))).h"
 
 
 def five_prime_offset(best: Column, order: list[str], length: Column) -> Column:

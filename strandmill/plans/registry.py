@@ -7,6 +7,8 @@ oracles work from those reads, by other means than the operators, and never from
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +17,10 @@ from strandmill.functions import columns as C
 from strandmill.operators import barcodes, metrics as M, seeds, tags
 from strandmill.operators.annotate import annotate, oriented
 from strandmill.plans import qc
-from strandmill.sources.fastq import spread
+from strandmill.sinks.files import write_fastq_file
+from strandmill.sinks.ordered import make_folder, shared_folder, write_file
+from strandmill.sources.fastq import read_fastq, spread
+from strandmill.sources.tables import HEADER, read_bam, unmapped_record
 
 FLAGSHIP = "bucket_counts"
 LEFT, RIGHT = "AACCGGTTACGTCAGT", "TGCATGCAAGCTTCGA"
@@ -296,6 +301,32 @@ def tail_median(spark, sf_dir):
     return M.lower_median_of(tags.tail_lengths(tag_records(spark, sf_dir)), "length")
 
 
+#: Bytes of a range of the files that queries write and read back, so that there are several.
+RANGE_BYTES = 1 << 18
+
+
+def block_reads(spark, sf_dir):
+    """All reads written as one block-compressed FASTQ file by all executors, and read back in ranges of its blocks."""
+    folder = shared_folder(spark)
+    make_folder(spark, folder)
+    write_fastq_file(reads(spark, sf_dir), Path(folder), "reads", compress=True)
+    back = read_fastq(spark, f"{folder}/reads.fastq.gz", range_bytes=RANGE_BYTES)
+    return back.select("read_id", "sequence", "quality")
+
+
+def block_tags(spark, sf_dir):
+    """How many records have which tags, from a BAM file of all customers' tags that is read in ranges of its blocks."""
+    folder = shared_folder(spark)
+    make_folder(spark, folder)
+
+    def records(batch):
+        for k, tags_ in zip(batch.column("id").to_pylist(), batch.column("tags").to_pylist()):
+            yield unmapped_record(f"c{k}", {t: int(v) if t == "pt" else v for t, v in tags_})
+
+    write_file(tag_records(spark, sf_dir), ["id"], f"{folder}/tags.bam", records, HEADER, compress=True)
+    return tags.tag_counts(read_bam(spark, f"{folder}/tags.bam", range_bytes=RANGE_BYTES))
+
+
 def queries() -> dict:
     a = lambda f: lambda spark, sf_dir: f(annotated(spark, sf_dir))
     plain = lambda f: lambda spark, sf_dir: f(reads(spark, sf_dir).withColumn("length", F.length("sequence")).withColumn("read_qscore", C.conservative_q(F.col("quality"))))
@@ -307,7 +338,7 @@ def queries() -> dict:
         "structure_orientation_counts": a(lambda d: _without_first(M.counts_by(d, "label", "orientation"))), "segments": segments, "segment_stats": segment_stats,
         "barcode_status": barcode_status, "barcode_counts": barcode_counts, "top_barcodes": top_barcodes, "umi_stats": umis, "run_totals": run_totals,
         "anchor_stats": anchor_stats, "heatmap": a(M.heatmap), "quality_levels": quality_levels, "split_molecules": split_molecules, "passed_reads": passed_reads,
-        "oriented_reads": oriented_reads, "tag_counts": tag_counts, "tag_distances": tag_distances, "tail_median": tail_median,
+        "oriented_reads": oriented_reads, "block_reads": block_reads, "block_tags": block_tags, "tag_counts": tag_counts, "tag_distances": tag_distances, "tail_median": tail_median,
     }
 
 
@@ -394,6 +425,10 @@ _TAGS = f"""tagged AS (SELECT id, string_split(line, chr(9)) AS f FROM ({TAG_LIN
   t AS (SELECT {', '.join(f"list_filter(f, lambda x: starts_with(x, '{x}:'))[1][6:] AS {x}" for x in ('CR', 'CB', 'UR', 'UB', 'pt', 'XA'))} FROM tagged)"""
 
 
+_TAG_COUNTS = f"""WITH {_TAGS} SELECT count(*) AS total_reads, count(CR) AS CR, count(CB) AS CB, 0::BIGINT AS CY, count(UR) AS UR, count(UB) AS UB, 0::BIGINT AS UY, count(pt) AS pt,
+  count_if(XA = 'ambiguous')::BIGINT AS ambiguous FROM t"""
+
+
 def _told(kind: str, hits: str, runs: str, passes: str, label: str, valid: str, more: str = "'' AS broken") -> str:
     """CTEs that give read_index, label, rev, violations and passes of the strand chosen, under names that end in the kind."""
     return f"""names_{kind} AS (SELECT read_index, rev, string_agg(upper(substr(anchor, 1, 1)), '' ORDER BY start, stop, anchor) AS w, count(*) AS k, sum(distance) AS d FROM {hits} GROUP BY ALL),
@@ -505,8 +540,9 @@ def oracle_sql() -> dict:
           FROM m JOIN pair USING (read_index) WHERE label = 'concatemer_candidate'""",
         "passed_reads": f"{whole} SELECT read_id, sequence, quality FROM bucketed WHERE bucket = 'pass'",
         "oriented_reads": f"{hits} SELECT read_index, CASE WHEN rev THEN reverse(translate(sequence, 'ACGTNacgtn', 'TGCANtgcan')) ELSE sequence END AS oriented_sequence, oq AS oriented_quality FROM pair",
-        "tag_counts": f"""WITH {_TAGS} SELECT count(*) AS total_reads, count(CR) AS CR, count(CB) AS CB, 0::BIGINT AS CY, count(UR) AS UR, count(UB) AS UB, 0::BIGINT AS UY, count(pt) AS pt, count_if(XA = 'ambiguous')::BIGINT AS ambiguous
-          FROM t""",
+        "block_reads": f"WITH {_READS} SELECT read_id, sequence, quality FROM reads",
+        "block_tags": _TAG_COUNTS,
+        "tag_counts": _TAG_COUNTS,
         "tag_distances": f"""WITH {_TAGS} SELECT levenshtein(CR, regexp_replace(CB, '-[0-9]+$', ''))::INTEGER AS distance, count(*) AS count, 'barcode' AS pair FROM t WHERE CR <> '' AND CB <> '' GROUP BY 1
           UNION ALL SELECT levenshtein(UR, UB)::INTEGER, count(*), 'umi' FROM t WHERE UR <> '' AND UB <> '' GROUP BY 1""",
         "tail_median": f"WITH {_TAGS} SELECT quantile_disc(pt::INTEGER, 0.5)::DOUBLE AS median FROM t WHERE pt::INTEGER >= 0",

@@ -1,16 +1,19 @@
-"""Rows to files. Large outputs are written by Spark; a single named file is streamed, partition by partition."""
+"""Rows to files: large ones by all executors, as folders of parts or as single files that parts are put together to."""
 
 from __future__ import annotations
 
 import csv
-import gzip
+import io
 import json
 from collections.abc import Callable, Iterable
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
+from strandmill.sinks.ordered import write_file
+
 # The columns of the CSV files.
 DETAIL_COLUMNS = (
     "Read ID", "Read Length", "Read Qscore", "Structure Label", "QC Bucket", "QC Flags", "Is Reversed", "Order Valid", "5p Offset", "3p Offset",
@@ -35,19 +38,15 @@ def write_fastq_table(df: DataFrame, path: str, by: str | None = None, compress:
     (writer.partitionBy(by) if by else writer).text(path)
 
 
-def open_text(path: Path):
-    return gzip.open(path, "wt", encoding="utf-8") if path.suffix == ".gz" else path.open("w", encoding="utf-8")
+def _fastq_texts(batch: pa.RecordBatch) -> Iterable[bytes]:
+    for name, sequence, quality in zip(*(batch.column(c).to_pylist() for c in ("read_id", "sequence", "quality"))):
+        yield f"@{name}\n{sequence}\n+\n{quality}\n".encode()
 
 
 def write_fastq_file(df: DataFrame, folder: Path, stem: str, compress: bool = False) -> int:
-    """Reads in order of read_index as one file of this name; how many."""
-    n = 0
+    """Reads in order of read_index as one file of this name, compressed ones in blocks that can be read in ranges; how many."""
     order = ["read_index", *(["cycle"] if "cycle" in df.columns else [])]
-    with open_text(folder / f"{stem}.fastq{'.gz' if compress else ''}") as out:
-        for row in df.orderBy(*order).select("read_id", "sequence", "quality").toLocalIterator(prefetchPartitions=True):
-            out.write(f"@{row[0]}\n{row[1]}\n+\n{row[2]}\n")
-            n += 1
-    return n
+    return write_file(df.select(*order, "read_id", "sequence", "quality"), order, folder / f"{stem}.fastq{'.gz' if compress else ''}", _fastq_texts, compress=compress)
 
 
 def _blank(x) -> object:
@@ -71,12 +70,27 @@ def hit_row(r: Row) -> list:
     ]
 
 
-def write_csv(path: Path, header: Iterable[str], rows: Iterable, form: Callable = list) -> None:
-    """Rows under a header; numbers are formatted in Python, whose rounding is half to even on the binary value."""
+def write_csv(path: Path, header: Iterable[str], rows: Iterable) -> None:
+    """A few rows under a header."""
     with path.open("w", newline="", encoding="utf-8") as f:
         out = csv.writer(f)
         out.writerow(header)
-        out.writerows(map(form, rows))
+        out.writerows(rows)
+
+
+def _csv_text(rows: Iterable) -> bytes:
+    out = io.StringIO()
+    csv.writer(out).writerows(rows)
+    return out.getvalue().encode()
+
+
+def _row(x):
+    return Row(**{k: _row(v) for k, v in x.items()}) if isinstance(x, dict) else [_row(v) for v in x] if isinstance(x, list) else x
+
+
+def _csv_texts(form: Callable):
+    """Numbers are formatted in Python, whose rounding is half to even on the binary value."""
+    return lambda batch: (_csv_text(form(_row(r)) for r in batch.slice(at, 1024).to_pylist()) for at in range(0, batch.num_rows, 1024))
 
 
 def write_details(df: DataFrame, path: Path, barcodes: bool) -> None:
@@ -85,12 +99,12 @@ def write_details(df: DataFrame, path: Path, barcodes: bool) -> None:
         "read_index", "read_id", "length", "read_qscore", "label", "bucket", "flags", "is_reversed", "order_valid", "five_prime_offset", "three_prime_offset",
         "n_fraction", "invalid_fraction", "n_hits", "segments", "shown_status", "raw_barcode", "raw_umi", "nearest_distance", "second_distance",
     ]
-    write_csv(path, DETAIL_COLUMNS, shown.select(*columns).orderBy("read_index").toLocalIterator(), detail_row)
+    write_file(shown.select(*columns), ["read_index"], path, _csv_texts(detail_row), _csv_text([DETAIL_COLUMNS]))
 
 
 def write_hits(df: DataFrame, path: Path) -> None:
     rows = df.select("read_index", "read_id", "length", "read_qscore", "label", "bucket", "is_reversed", F.posexplode("hits").alias("pos", "hit"))
-    write_csv(path, HIT_COLUMNS, rows.orderBy("read_index", "pos").toLocalIterator(), hit_row)
+    write_file(rows, ["read_index", "pos"], path, _csv_texts(hit_row), _csv_text([HIT_COLUMNS]))
 
 
 def write_json(path: Path, what: dict) -> None:

@@ -1,6 +1,7 @@
 """FASTQ as a Spark data source: ``spark.read.format("fastq").load(path)``.
 
-Plain files are read in byte ranges that start at records; gzipped ones, which can't be split, as one range each.
+Plain files are read in byte ranges that start at records, block-compressed ones (BGZF) in ranges of blocks; other gzipped
+ones, which can't be split, as one range each.
 read_index sorts records as the files have them: the range's number, then the record's number in it.
 """
 
@@ -14,6 +15,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from strandmill.sources import bgzf
+
 SCHEMA = "read_index long, read_id string, sequence string, quality string, path string"
 #: Bytes of a range; records of a range are numbered below 2**RECORD_BITS.
 RANGE, RECORD_BITS = 64 << 20, 36
@@ -84,10 +87,40 @@ def next_record(handle, at: int) -> int:
     return start
 
 
+def first_in_blocks(reader: bgzf.BlockReader) -> int:
+    """The place of the first record after a block's first line, which may be cut, as :func:`next_record` tells them; the end if there is none."""
+    reader.readline()
+    places, lines = [reader.tell()], []
+    for _ in range(9):
+        lines.append(reader.readline())
+        places.append(reader.tell())
+    for k in range(5):
+        a, b, c, d, after = lines[k : k + 5]
+        if a.startswith(b"@") and c.startswith(b"+") and d and len(b.rstrip(b"\r\n")) == len(d.rstrip(b"\r\n")) and (not after or after.startswith(b"@")):
+            return places[k]
+    return places[0] if lines[-1] else places[-1]
+
+
 class _Range(InputPartition):
-    def __init__(self, number: int, path: str, lo: int, hi: int | None):
+    def __init__(self, number: int, path: str, lo: int, hi: int | None, size: int | None = None):
         super().__init__(number)
-        self.number, self.path, self.lo, self.hi = number, path, lo, hi
+        self.number, self.path, self.lo, self.hi, self.size = number, path, lo, hi, size
+
+
+def byte_ranges(paths: list[str], size: int, compressed) -> list[_Range]:
+    """Ranges of files; of those that compressed() holds for only where they are in blocks, with the file's size."""
+    out: list[_Range] = []
+    for path in paths:
+        n, blocks = file_size(path), None
+        if compressed(path):
+            with open_binary(path) as raw:
+                blocks = n if bgzf.is_bgzf(raw) else None
+            if blocks is None:
+                out.append(_Range(len(out), path, 0, None))
+                continue
+        for lo in range(0, max(n, 1), size):
+            out.append(_Range(len(out), path, lo, min(n, lo + size), blocks))
+    return out
 
 
 class _Reader(DataSourceReader):
@@ -95,21 +128,15 @@ class _Reader(DataSourceReader):
         self.paths, self.size = paths, size
 
     def partitions(self):
-        out: list[_Range] = []
-        for path in self.paths:
-            if path.endswith(".gz"):
-                out.append(_Range(len(out), path, 0, None))
-                continue
-            n = file_size(path)
-            for lo in range(0, max(n, 1), self.size):
-                out.append(_Range(len(out), path, lo, min(n, lo + self.size)))
-        return out
+        return byte_ranges(self.paths, self.size, lambda path: path.endswith(".gz"))
 
     def read(self, part: _Range):
         base = part.number << RECORD_BITS
         with open_binary(part.path) as raw:
             if part.hi is None:
                 records = parse_records(io.BufferedReader(gzip.GzipFile(fileobj=raw)))
+            elif part.size is not None:
+                records = bgzf.records(raw, part.lo, part.hi, part.size, first_in_blocks, lambda reader, stop: parse_records(reader, stop=stop))
             else:
                 lo = next_record(raw, part.lo) if part.lo else 0
                 raw.seek(lo)
