@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, table
+from .common import BROADCAST_BYTES, free_name, table
 
 #: 1: the word counts, 0: it is ignored. Together they miss no window of WINDOW words with NEEDED of them equal.
 MASKS = ("11111", "111101", "101111")
@@ -23,8 +23,9 @@ WINDOW, NEEDED = 13, 11
 SHORT = 8
 #: Items of so few words that no mask fits are looked for by all of their words.
 TINY = 4
-#: The benchmark is broadcast in blocks of at most so many bytes of text, one pass over the documents each.
-BLOCK_BYTES = 4 << 20
+#: The benchmark's seeds are broadcast in blocks of at most so many bytes of its text, one pass over the documents each. A word
+#: has a seed for each mask, rows of some 150 bytes.
+BLOCK_BYTES = 1 << 19
 
 
 def word_hashes(text: Column) -> Column:
@@ -63,61 +64,73 @@ def find_overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     Items of fewer than ``window`` words: all but one from SHORT words on, all of them below, down to items of one word.
 
     Null or empty texts have no words and match nothing. Repeated rows of one id count as one document (rows with a
-    null id too). Very long texts are searched whole. The items go out in broadcast blocks of a bounded size. An empty
-    side gives an empty result. Other columns are ignored.
+    null id too). Very long texts and items are taken whole: an item's words are fetched for verified places only, and
+    its seeds may lie in several blocks. Blocks go out by broadcast, each of a bounded size. An empty side gives an empty
+    result. Other columns are ignored.
     """
-    size, count = items.select(F.coalesce(F.sum(F.octet_length(F.col(item_text).cast("string")) + 64), F.lit(0)), F.count(F.lit(1))).first()
-    blocks = max(1, math.ceil(size / block_bytes))
-    hashed_items = items.select(F.col(item_id).alias("_item"), word_hashes(F.col(item_text)).alias("_iw")).where(F.size("_iw") > 0)
+    hashed_items = items.select(F.col(item_id).alias("_item"), word_hashes(F.col(item_text)).alias("_iw"), F.octet_length(F.col(item_text).cast("string")).alias("_bytes")).where(F.size("_iw") > 0).withColumn("_key", F.xxhash64("_iw"))
     hashed_docs = docs.select(F.col(id_col).alias("_doc"), word_hashes(F.col(text_col)).alias("_dw"))
-    # documents are only searched for the sizes of tiny items that there are
-    tiny = [r[0] for r in hashed_items.where(F.size("_iw") <= TINY).select(F.size("_iw")).distinct().collect()]
+    # equal items are one text; documents are only searched for the sizes of tiny items that there are
+    texts = hashed_items.select("_key", "_iw", "_bytes").dropDuplicates(["_key"])
+    words, size = texts.agg(F.coalesce(F.sum(F.size("_iw").cast("long")), F.lit(0)), F.coalesce(F.sum(F.col("_bytes").cast("long") + 64), F.lit(0))).first()
+    texts = texts.drop("_bytes")
+    tiny = [r[0] for r in texts.where(F.size("_iw") <= TINY).select(F.size("_iw")).distinct().collect()]
     numbered = dict(enumerate(masks)) | {len(masks) + n: "1" * n for n in sorted(tiny)}
-    found = [_overlaps(hashed_docs, hashed_items.where(F.pmod(F.xxhash64("_iw"), F.lit(blocks)) == b), numbered, len(masks), window) for b in range(blocks)]
+    blocks = max(1, math.ceil(size / block_bytes))
+    seeds = _item_seeds(texts, numbered, len(masks))
+    if words * 8 <= BROADCAST_BYTES:
+        texts = F.broadcast(texts)
+    place = F.pmod(F.xxhash64("_key", "_q"), F.lit(blocks))
+    found = [_overlaps(hashed_docs, seeds.where(place == b) if blocks > 1 else seeds, texts, numbered, len(masks), window) for b in range(blocks)]
+    best = (
+        reduce(DataFrame.unionByName, found).withColumn("_fits", F.col("_best") >= _needed(F.col("_n"), window, needed)).where("_fits")
+        .groupBy("_doc", "_key").agg(F.max("_best").alias("_best"), F.max("_all").alias("_all"), F.max("_inside").alias("_inside"))
+    )
     return (
-        reduce(DataFrame.unionByName, found).withColumn("_fits", F.col("_best") >= _needed(F.col("_n"), window, needed))
-        .groupBy("_doc", "_item")
-        .agg(
-            F.max(F.when(F.col("_fits"), F.col("_best"))).alias("best_window"), F.max(F.when(F.col("_fits"), F.col("_all"))).alias("n_matched"),
-            F.max(F.when(F.col("_fits"), F.col("_inside"))).alias("n_aligned"),
-        )
-        .where(F.col("best_window").isNotNull())
+        best.join(hashed_items.select("_key", "_item"), "_key").groupBy("_doc", "_item")
+        .agg(F.max("_best").alias("best_window"), F.max("_all").alias("n_matched"), F.max("_inside").alias("n_aligned"))
         .select(F.col("_doc").alias(id_col), F.col("_item").alias(item_id), "best_window", "n_matched", "n_aligned")
     )
 
 
-def _overlaps(hashed_docs: DataFrame, hashed_items: DataFrame, masks: dict[int, str], spaced: int, window: int) -> DataFrame:
+def _item_seeds(texts: DataFrame, masks: dict[int, str], spaced: int) -> DataFrame:
+    """(_key, _n, _q, _seed, _before, _after) of every seed of the items: a row has the words around its place, and not the item's others."""
+    i = _seeded(texts, ["_key"], "_q", "_iw", masks).where((F.col("_mask") < spaced) | (F.size("_iw") == F.col("_mask") - spaced))
+    return i.select(
+        "_key", F.size("_iw").alias("_n"), "_q", "_seed", F.get("_iw", F.col("_q") - 1).alias("_before"), F.slice("_iw", F.col("_q") + 1, F.lit(len(masks[0]))).alias("_after"),
+    )
+
+
+def _overlaps(hashed_docs: DataFrame, seeds: DataFrame, texts: DataFrame, masks: dict[int, str], spaced: int, window: int) -> DataFrame:
     """Laid-over stretches around hits; the first ``spaced`` masks are those for items of any size, one for each tiny size follows."""
     d = _seeded(hashed_docs, ["_doc"], "_p", "_dw", masks)
-    i = _seeded(hashed_items, ["_item"], "_q", "_iw", masks).where((F.col("_mask") < spaced) | (F.size("_iw") == F.col("_mask") - spaced))
-    i = i.select("_item", "_iw", "_q", "_seed")
     # one key of type long (a seed's hash takes in its mask's number), so that the broadcast table is one of longs
-    hits = d.join(F.broadcast(i), "_seed")
+    hits = d.join(F.broadcast(seeds), "_seed")
     # a run of equal words hits at each of its positions: go on from the first, and from the first mask
-    same = lambda k: F.get("_dw", F.col("_p") + k).eqNullSafe(F.get("_iw", F.col("_q") + k))
-    follows = (F.col("_p") > 0) & (F.col("_q") > 0) & same(-1)
+    same = lambda k: F.get("_dw", F.col("_p") + k).eqNullSafe(F.get("_after", F.lit(k)))
+    follows = (F.col("_p") > 0) & (F.col("_q") > 0) & F.get("_dw", F.col("_p") - 1).eqNullSafe(F.col("_before"))
     solid = reduce(lambda a, b: a & b, [same(k) for k in range(len(masks[0]))])
     hits = hits.where(~F.when(F.col("_mask") >= spaced, False).when(F.col("_mask") == 0, follows).otherwise(solid))
-    # the two stretches that lie over each other: cut out before the rows leave generated code, so that a long
-    # document's words aren't copied for each hit
+    # the two stretches that lie over each other: the document's is cut out before the rows leave generated code, so that
+    # a long document's words aren't copied for each hit, and the item's fetched
     shift = F.col("_p") - F.col("_q")
-    before = F.greatest(-shift, F.lit(0))
-    inside = F.least(F.size("_iw"), F.size("_dw") - shift) - before
-    hits = hits.select(
-        "_doc", "_item", F.size("_iw").alias("_n"), before.alias("_before"),
-        F.slice("_dw", shift + before + 1, inside).alias("_d"), F.slice("_iw", before + 1, inside).alias("_i"),
-    )
-    equal = F.zip_with("_d", "_i", lambda a, b: F.when(a == b, 1).otherwise(0))
-    hits = hits.select(
-        "_doc", "_item", "_n", F.size("_d").alias("_inside"),
-        F.concat(F.array_repeat(F.lit(0), F.col("_before")), equal, F.array_repeat(F.lit(0), F.col("_n") - F.col("_before") - F.size("_d"))).alias("_eq"),
-    )
-    # running sums, so that a window's sum is a difference
-    sums = F.aggregate("_eq", F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+    lead = F.greatest(-shift, F.lit(0))
+    inside = F.least(F.col("_n"), F.size("_dw") - shift) - lead
+    hits = hits.select("_doc", "_key", "_n", lead.alias("_lead"), F.slice("_dw", shift + lead + 1, inside).alias("_d"))
+    laid = hits.join(texts, "_key").select("_doc", "_key", "_n", "_d", F.slice("_iw", F.col("_lead") + 1, F.size("_d")).alias("_i"))
+    # where the words are equal; a best window starts at one of these places
+    equal = F.zip_with("_d", "_i", lambda a, b: a == b)
+    places = F.filter(F.transform(equal, lambda e, k: F.when(e, k)), lambda k: k.isNotNull())
     span = F.least(F.col("_n"), F.lit(window))
-    hits = hits.select("_doc", "_item", "_n", "_inside", sums.alias("_sums"), span.alias("_span"))
-    best = F.array_max(F.transform(F.sequence(F.lit(0), F.col("_n") - F.col("_span")), lambda s: F.get("_sums", s + F.col("_span")) - F.get("_sums", s)))
-    return hits.select("_doc", "_item", "_n", "_inside", best.alias("_best"), F.element_at("_sums", -1).alias("_all"))
+
+    def counted(at):
+        # a place and those of the next window - 1 that are near enough, read one by one: a slice would copy the array for each
+        near = lambda q, k: reduce(lambda a, b: a + b, [F.when(F.get(at, k + j) < q + span, 1).otherwise(0) for j in range(1, window)], F.lit(1))
+        return F.struct(F.coalesce(F.array_max(F.transform(at, near)), F.lit(0)).alias("best"), F.size(at).alias("all"))
+
+    # a one-element array is worked out once, where a column's expression might be put in for each of its uses
+    laid = laid.select("_doc", "_key", "_n", F.size("_d").alias("_inside"), F.transform(F.array(places), counted)[0].alias("_told"))
+    return laid.select("_doc", "_key", "_n", "_inside", F.col("_told.best").alias("_best"), F.col("_told.all").alias("_all"))
 
 
 def op9_decontaminate(spark, sf_dir: str) -> DataFrame:
