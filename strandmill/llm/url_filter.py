@@ -118,16 +118,21 @@ def _gram_sum(text: Column, salt: int, weights: Column) -> tuple[Column, Column]
     return total, count
 
 
+#: Columns of the result besides the id.
+JUDGED = ("host", "path", "rule", "verdict", "score")
+
+
 def judge_urls(pages: DataFrame, rules=RULES, model: tuple[int, list[int]] | None = None, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """One row per row of pages: id, host, path, rule, verdict, score.
 
     rules: ((host suffix and path prefix, verdict), ...), a bounded list in the plan; the longest that fits decides.
     Where none fits, the model does: block if its log-odds are above 0.
     Null url or one without ``://``: host and path empty, the verdict by the model's bias. Empty and very long urls
-    are judged whole. Repeated rows: each judged. Empty table: empty result. Other columns are ignored.
+    are judged whole. Repeated rows: each judged. Empty table: empty result. Other columns are ignored. An id column
+    with the name of another column of the result gets an underscore at its end.
     """
     bias, weights = model or fit_weights()
-    base = pages.select(F.col(id_col), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
+    base = pages.select(F.col(id_col).alias("_page"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     # one string, split and folded to a constant array by the optimiser
     table_ = F.split(F.lit(",".join(map(str, weights))), ",").cast("array<bigint>")
     hs, hn = _gram_sum(F.col("host"), HOST_SALT, table_)
@@ -143,7 +148,7 @@ def judge_urls(pages: DataFrame, rules=RULES, model: tuple[int, list[int]] | Non
         .withColumn("_n", F.greatest(hn + pn, F.lit(1)))
         .withColumn("_odds", F.lit(bias).cast("long") * F.col("_n") + F.col("_sum"))
         .select(
-            id_col, "host", "path", rule.alias("rule"),
+            F.col("_page").alias(id_col if id_col.lower() not in JUDGED else id_col + "_"), "host", "path", rule.alias("rule"),
             F.coalesce(decided, F.when(F.col("_odds") > 0, "block").otherwise("allow")).alias("verdict"),
             F.round(1 / (1 + F.exp(-F.col("_odds") / (F.col("_n") * F.lit(float(SCALE))))), 6).alias("score"),
         )

@@ -128,3 +128,11 @@ def test_urls_of_hosts_that_the_model_has_not_seen():
                 grams = url_filter._grams(host, url_filter.HOST_SALT) + url_filter._grams(path, url_filter.PATH_SALT)
                 right[label].append((bias * max(1, len(grams)) + sum(weights[g] for g in grams) > 0) == bool(label))
     assert np.mean(right[0]) > 0.95 and np.mean(right[1]) > 0.5
+
+
+@pytest.mark.parametrize("name", url_filter.JUDGED)
+def test_urls_with_ids_of_any_name(spark, name):
+    pages = spark.createDataFrame([(7, "https://net/x"), (8, None)], f"{name} long, url string")
+    got = url_filter.judge_urls(pages, id_col=name)
+    assert got.columns == [name + "_", *url_filter.JUDGED]
+    assert {(r[0], r.rule) for r in got.collect()} == {(7, "net/"), (8, None)}

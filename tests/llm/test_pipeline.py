@@ -39,7 +39,8 @@ def test_stages_keep_clean_documents_and_catch_the_rest(spark, planted):
         seen[name] = {r.doc_id: r for r in docs.collect()}
         assert docs.columns[: len(names)] == names
         assert set(range(60)) <= set(seen[name]), name
-    assert 100 not in seen["quality"] and 101 not in seen["near_copies"] or not seen["lines"][101].text.strip()
+    assert 100 not in seen["quality"]
+    assert 101 not in seen["near_copies"] or not seen["lines"][101].text.strip()
     assert 103 in seen["near_copies"] and 103 not in seen["benchmark"]
     assert all(r.round_trip for r in seen["tokens"].values() if r.text is not None)
     assert {r.doc_id for r in corpus_pipeline.run(spark, planted).collect()} == set(seen["tokens"])
