@@ -10,9 +10,11 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandmill.operators.annotate import held
 from strandmill.settings import Settings
 
 #: Scales and bins of the reports.
@@ -44,41 +46,95 @@ def base_quality_histogram(reads: DataFrame) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(256, np.int64)
         for b in batches:
-            for q in b.column("quality").to_pylist():
-                total += np.bincount(np.frombuffer((q or "").encode("latin-1", "replace"), np.uint8), minlength=256)
+            total += byte_counts(b.column("quality"))
         at = np.nonzero(total)[0]
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32) - 33), pa.array(total[at])], ["phred", "n"])
 
     return reads.select("quality").mapInArrow(run, "phred int, n long").groupBy("phred").agg(F.sum("n").alias("count"))
 
 
+def byte_counts(texts: pa.Array) -> np.ndarray:
+    """How often each byte occurs in a column of texts of one byte a character, counted in its buffer."""
+    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    if not len(texts):
+        return np.zeros(256, np.int64)
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = texts.buffers()[2]
+    return np.bincount(np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data else np.zeros(0, np.uint8), minlength=256)
+
+
+#: Prefix sums are carried from blocks of values to the blocks' parts: bits that a block leaves to its parts, and blocks of blocks.
+BLOCK_BITS, BLOCK_LEVELS = 10, 2
+
+
+def prefix_sums(hist: DataFrame, value: str, **amounts: Column) -> DataFrame:
+    """hist with, for each amount, ``<name>_before`` (its sum over smaller values), ``<name>_to`` (with this one's) and ``<name>_all``.
+
+    Values are distinct whole numbers below 2^31 in size (rows with null are left out), amounts whole. Blocks of 1,024 values, and of 1,024 such
+    blocks, are summed first; the coarsest ones, of which there are at most 4,096, are folded as one array, and each
+    finer level adds what lies before it within its block. So no window holds more than 1,024 rows.
+    """
+    names = list(amounts)
+    # held, so that each level reads the histogram's one exchange, and no filter of its own is put below that
+    whole = hist.where(F.col(value).isNotNull()).withColumns({f"_{n}": amounts[n].cast("long") for n in names})
+    levels = [whole.withColumn("_b0", held(F.col(value).cast("long")))]
+    for k in range(1, BLOCK_LEVELS + 1):
+        fine = f"_b{k - 1}"
+        levels.append(levels[-1].groupBy(F.shiftright(fine, BLOCK_BITS).alias(f"_b{k}")).agg(*[F.sum(f"_{n}").alias(f"_{n}") for n in names]))
+    top = f"_b{BLOCK_LEVELS}"
+    every = F.array_sort(F.collect_list(F.struct(top, *[f"_{n}" for n in names])))
+    rows = levels[-1].groupBy().agg(every.alias("_e"), *[F.sum(f"_{n}").alias(f"{n}_all") for n in names])
+    smaller = lambda e, n: F.aggregate(F.filter("_e", lambda o: o[top] < e[top]), F.lit(0).cast("long"), lambda a, o: a + o[f"_{n}"])
+    blocks = F.transform("_e", lambda e: F.struct(e[top].alias(top), *[smaller(e, n).alias(f"{n}_before") for n in names]))
+    above = rows.select(F.inline(blocks), *[f"{n}_all" for n in names])
+    for k in reversed(range(BLOCK_LEVELS)):
+        outer = f"_b{k + 1}"
+        inside = Window.partitionBy(outer).orderBy(f"_b{k}").rowsBetween(Window.unboundedPreceding, -1)
+        part = levels[k].withColumn(outer, F.shiftright(f"_b{k}", BLOCK_BITS))
+        part = part.withColumns({f"_{n}_in": F.coalesce(F.sum(f"_{n}").over(inside), F.lit(0).cast("long")) for n in names})
+        above = part.join(above, outer).withColumns({f"{n}_before": F.col(f"{n}_before") + F.col(f"_{n}_in") for n in names}).drop(outer, *[f"_{n}_in" for n in names])
+        if k:
+            above = above.drop(*[f"_{n}" for n in names])
+    return above.withColumns({f"{n}_to": F.col(f"{n}_before") + F.col(f"_{n}") for n in names}).drop("_b0", *[f"_{n}" for n in names])
+
+
+def _middle(value: str, upper: bool) -> Column:
+    """The lower or upper of the two middle values, by the prefix sums ``n`` of their counts; null if there are none."""
+    rank = F.floor((F.col("n_all") - (0 if upper else 1)) / 2)
+    return F.min(F.when(F.col("n_to") > rank, F.col(value))).cast("double")
+
+
+def _n50(value: str) -> Column:
+    return F.coalesce(F.max(F.when((F.col("b_all") - F.col("b_before")) * 2 >= F.col("b_all"), F.col(value))), F.lit(0))
+
+
+def _bases(value: str) -> Column:
+    return F.col(value).cast("long") * F.col("count")
+
+
+def _median(value: str) -> Column:
+    return F.coalesce((_middle(value, False) + _middle(value, True)) / 2, F.lit(0.0))
+
+
 def median_of(hist: DataFrame, value: str, scale: float = 1.0) -> DataFrame:
     """The mean of the two middle values of a histogram; 0 if it is empty."""
-    return hist.agg((F.coalesce(F.percentile(F.col(value), F.lit(0.5), F.col("count")), F.lit(0.0)) / scale).alias("median"))
+    return prefix_sums(hist, value, n=F.col("count")).agg((_median(value) / scale).alias("median"))
 
 
 def lower_median_of(hist: DataFrame, value: str) -> DataFrame:
     """The lower of the two middle values; null if empty."""
-    w = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)  # over distinct values
-    run = hist.select(value, F.sum("count").over(w).alias("_to"), F.sum("count").over(Window.partitionBy()).alias("_all"))
-    return run.where(F.col("_to") > F.floor((F.col("_all") - 1) / 2)).agg(F.min(value).cast("double").alias("median"))
+    return prefix_sums(hist, value, n=F.col("count")).agg(_middle(value, False).alias("median"))
 
 
 def n50_of(hist: DataFrame, value: str = "length") -> DataFrame:
     """The greatest length at which it and all longer ones hold half of the bases; 0 if empty."""
-    w = Window.orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    bases = F.col(value).cast("long") * F.col("count")
-    run = hist.select(value, F.sum(bases).over(w).alias("_to"), F.sum(bases).over(Window.partitionBy()).alias("_all"))
-    return run.where(F.col("_to") * 2 >= F.col("_all")).agg(F.coalesce(F.max(value), F.lit(0)).alias("n50"))
+    return prefix_sums(hist, value, b=_bases(value)).agg(_n50(value).alias("n50"))
 
 
 def length_summary(hist: DataFrame) -> DataFrame:
     """N50, median and lower median of a histogram of lengths, in one row."""
-    parts = (n50_of(hist), median_of(hist, "length"), lower_median_of(hist, "length").withColumnRenamed("median", "lower_median"))
-    named = [p.select(F.lit(p.columns[0]).alias("what"), F.col(p.columns[0]).cast("double").alias("value")) for p in parts]
-    rows = named[0].unionByName(named[1]).unionByName(named[2])
-    pick = lambda name: F.max(F.when(F.col("what") == name, F.col("value"))).alias(name)
-    return rows.agg(pick("n50").cast("int").alias("n50"), pick("median"), pick("lower_median"))
+    run = prefix_sums(hist, "length", n=F.col("count"), b=_bases("length"))
+    return run.agg(_n50("length").cast("int").alias("n50"), _median("length").alias("median"), _middle("length", False).alias("lower_median"))
 
 
 def counts_by(df: DataFrame, *columns: str) -> DataFrame:
@@ -112,14 +168,36 @@ def anchor_stats(df: DataFrame) -> DataFrame:
     )
 
 
-def heatmap(df: DataFrame) -> DataFrame:
-    """Per bucket, label and hundredth of the read: how many reads have a hit there."""
+def coverage_events() -> tuple[Column, Column]:
+    """(starts, stops) of the runs of hundredths that a read's hits cover: its merged intervals, as ends of half-open ones."""
     n = F.col("length")
     place = lambda x: F.floor((x / n) * HEAT_BINS).cast("int")
     low = lambda h: F.least(F.lit(HEAT_BINS - 1), F.greatest(F.lit(0), place(h["start"])))
-    bins = F.transform("hits", lambda h: F.sequence(low(h), F.least(F.lit(HEAT_BINS), F.greatest(low(h) + 1, place(h["end"]))) - 1))
-    covered = df.where((n > 0) & (F.size("hits") > 0)).select("bucket", "label", F.explode(F.array_distinct(F.flatten(bins))).alias("bin"))
-    return covered.groupBy("bucket", "label", "bin").agg(F.count(F.lit(1)).alias("reads"))
+    bins = F.flatten(F.transform("hits", lambda h: F.sequence(low(h), F.least(F.lit(HEAT_BINS), F.greatest(low(h) + 1, place(h["end"]))) - 1)))
+    none = F.array().cast("array<int>")
+    bins = F.when((n > 0) & (F.size("hits") > 0), bins).otherwise(none)
+    after = F.transform(bins, lambda b: b + 1)
+    return F.array_except(bins, after), F.array_except(after, bins)
+
+
+def heatmap(df: DataFrame) -> DataFrame:
+    """Per bucket, label and hundredth of the read: how many reads have a hit there.
+
+    A read gives +1 where a run of covered hundredths begins and -1 where it ends, not a row for each hundredth.
+    """
+    starts, stops = coverage_events()
+    mark = lambda at, by: F.transform(at, lambda b: F.struct(b.alias("bin"), F.lit(by).alias("change")))
+    events = df.select("bucket", "label", starts.alias("_up"), stops.alias("_down")).select(
+        "bucket", "label", F.inline(F.concat(mark(F.col("_up"), 1), mark(F.col("_down"), -1)))
+    )
+    return covered_bins(events.groupBy("bucket", "label", "bin").agg(F.sum("change").alias("change")), "bucket", "label")
+
+
+def covered_bins(changes: DataFrame, *by: str) -> DataFrame:
+    """Reads in each hundredth, from the sums of the changes at (at most 101) hundredths of a group."""
+    w = Window.partitionBy(*by).orderBy("bin")
+    runs = changes.select(*by, "bin", F.sum("change").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("reads"), F.lead("bin").over(w).alias("_next"))
+    return runs.where("reads > 0").select(*by, F.explode(F.sequence(F.col("bin"), F.col("_next") - 1)).alias("bin"), "reads")
 
 
 def segment_stats(df: DataFrame) -> DataFrame:
