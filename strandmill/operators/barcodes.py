@@ -7,12 +7,12 @@ one occurs unchanged within r places of its own in a barcode that is at most r e
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandmill.operators.annotate import oriented
 from strandmill.settings import Barcode
+from strandmill.sinks.ordered import shared_folder
 
 # Statuses of a barcode that was not seen, and of one that can be used.
 UNSEEN = ("disabled", "anchor_missing", "region_incomplete")
@@ -83,28 +83,36 @@ BROADCAST_BYTES, LOOKED_UP_BYTES = 32 << 20, 128
 def assess(annotated: DataFrame, b: Barcode, whitelist: DataFrame | None = None) -> DataFrame:
     """annotated with barcode_status, raw_barcode, raw_umi, min_barcode_q, nearest_distance, second_distance, nearest_barcode.
 
-    The reads are kept, in memory or on disk, as they are read for their distinct barcodes and again for the result.
-    Only reads with something to look up are joined, so those without a barcode don't meet under one key.
+    Reads with their barcodes, and the distinct barcodes to look up, are written to the shared folder: nothing stays in
+    executors' memory, none of it is lost with an executor, and the lookup reads one column of it, the result those it
+    asks for. Reads with nothing to look up have keys of their own in the join, so they don't meet under one.
     """
     df = extract(annotated, b)
     unknown = {"nearest_distance": F.lit(None).cast("int"), "second_distance": F.lit(None).cast("int"), "nearest_barcode": F.lit(None).cast("string")}
     if whitelist is None or not b.enabled:
         return df.withColumns({"barcode_status": F.coalesce("barcode_status", F.lit("extracted")), **unknown})
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    asking = df.where(F.col("barcode_status").isNull())
-    asked = asking.select("raw_barcode").distinct().persist(StorageLevel.MEMORY_AND_DISK)
+    df = written(df)
+    asking = F.col("barcode_status").isNull()
+    asked = written(df.where(asking).select("raw_barcode").distinct())
     exact = asked.join(whitelist.select(F.col("barcode").alias("raw_barcode")).distinct(), "raw_barcode").select("raw_barcode", F.lit(True).alias("_exact"))
     rest = asked.join(exact, "raw_barcode", "left_anti")
     found = nearest(rest, whitelist, b.max_edit_distance + b.min_distance_margin)
-    looked_up = exact.select("raw_barcode", "_exact", F.lit(0).alias("_d1"), F.col("raw_barcode").alias("_near"), F.lit(None).cast("int").alias("_d2")).unionByName(
-        found.select("raw_barcode", F.lit(False).alias("_exact"), F.col("nearest_distance").alias("_d1"), F.col("nearest_barcode").alias("_near"), F.col("second_distance").alias("_d2"))
+    looked_up = exact.select(F.col("raw_barcode").alias("_key"), "_exact", F.lit(0).alias("_d1"), F.col("raw_barcode").alias("_near"), F.lit(None).cast("int").alias("_d2")).unionByName(
+        found.select(F.col("raw_barcode").alias("_key"), F.lit(False).alias("_exact"), F.col("nearest_distance").alias("_d1"), F.col("nearest_barcode").alias("_near"), F.col("second_distance").alias("_d2"))
     )
     if asked.count() * LOOKED_UP_BYTES <= BROADCAST_BYTES:
         looked_up = F.broadcast(looked_up)
     reach = F.coalesce(F.col("_d1") <= b.max_edit_distance, F.lit(False))
     close = F.coalesce(F.col("_d2") - F.col("_d1") < b.min_distance_margin, F.lit(False))
     told = F.when(F.col("_exact"), "exact").when(~reach, "unrecoverable").when(close, "ambiguous").otherwise("uniquely_recoverable")
-    answered = asking.join(looked_up, "raw_barcode", "left").withColumns({
-        "nearest_distance": F.col("_d1"), "second_distance": F.when(reach, F.col("_d2")), "nearest_barcode": F.when(reach, F.col("_near")), "barcode_status": told,
-    }).drop("_exact", "_d1", "_d2", "_near")
-    return answered.unionByName(df.where(F.col("barcode_status").isNotNull()).withColumns(unknown))
+    key = F.when(asking, F.col("raw_barcode")).otherwise(F.concat(F.lit("-"), F.col("read_index")))  # no barcode begins like that
+    return df.withColumn("_key", key).join(looked_up, "_key", "left").withColumns({
+        "nearest_distance": F.col("_d1"), "second_distance": F.when(reach, F.col("_d2")), "nearest_barcode": F.when(reach, F.col("_near")), "barcode_status": F.coalesce("barcode_status", told),
+    }).drop("_key", "_exact", "_d1", "_d2", "_near")
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder, which outlives executors."""
+    folder = shared_folder(df.sparkSession)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

@@ -152,3 +152,17 @@ def test_bytes_are_counted_in_their_buffer():
     texts = pa.array(["II5", None, "", "A"])
     assert M.byte_counts(texts).sum() == 4 and M.byte_counts(texts.slice(1))[ord("A")] == 1 and M.byte_counts(texts.slice(0, 2))[ord("I")] == 2
     assert M.byte_counts(pa.array([], pa.string())).sum() == 0 == M.byte_counts(pa.array([None], pa.string())).sum()
+
+
+@needs_tables
+def test_nothing_stays_persisted(spark, tmp_path):
+    before = len(spark.sparkContext._jsc.getPersistentRDDs())
+    registry.barcode_status(spark, DATA).count()
+    (tmp_path / "s.fastq").write_text("@a\nAAAAACGTGGCCCC\n+\nIIIIIIIIIIIIII\n")
+    (tmp_path / "wl.txt").write_text("ACGT\n")
+    s = settings.from_dict({
+        "anchors": [{"name": "l", "type": "fixed", "sequence": "AAAA"}], "structure": {"expected_order": ["l"]},
+        "barcode": {"enabled": True, "left_anchor": "l", "barcode_length": 4, "umi_length": 2, "whitelist_path": str(tmp_path / "wl.txt")},
+    })
+    assert qc.run_qc(spark, str(tmp_path / "s.fastq"), s, str(tmp_path / "o"), export_csv=True)["barcode_qc"]["status_counts"] == {"exact": 1}
+    assert len(spark.sparkContext._jsc.getPersistentRDDs()) <= before
