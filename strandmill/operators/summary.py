@@ -65,10 +65,8 @@ def cells(df: DataFrame, s: Settings, *by: str) -> DataFrame:
     return df.select(*by, "read_index", F.inline(every))
 
 
-def quality_cells(reads: DataFrame, *by: str) -> DataFrame:
-    """The cells of the scores of all bases, of reads without ``by`` columns."""
-    if by:
-        raise ValueError("base qualities are counted for a whole table of reads")
+def quality_cells(reads: DataFrame) -> DataFrame:
+    """The cells of the scores of all bases of a table of reads."""
     counts = M.base_quality_histogram(reads)
     return counts.select(F.lit(None).cast("long").alias("read_index"), F.inline(F.array(cell("phred", F.col("count"), n=F.col("phred")))))
 
