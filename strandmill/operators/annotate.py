@@ -104,6 +104,14 @@ def find_hits(s: Settings):
     return F.arrow_udf(both, f"struct<forward:array<{HIT}>,reverse:array<{HIT}>>").asNondeterministic()
 
 
+def strand_hits(reads: DataFrame, s: Settings) -> DataFrame:
+    """(read_index, is_reversed, hit) of every hit on either strand, whichever a structure would choose."""
+    found = reads.select("read_index", find_hits(s)(F.col("sequence")).alias("_found"))
+    side = lambda rev, name: F.struct(F.lit(rev).alias("is_reversed"), F.col("_found")[name].alias("hits"))
+    sides = found.select("read_index", F.explode(F.array(side(False, "forward"), side(True, "reverse"))).alias("_s"))
+    return sides.select("read_index", "_s.is_reversed", F.explode("_s.hits").alias("hit"))
+
+
 def annotate(reads: DataFrame, s: Settings) -> DataFrame:
     """reads (read_index, read_id, sequence, quality, and others) with structure, offsets, segments, flags and bucket."""
     matching.compile_anchors(s.anchors)  # so that mistakes in them show here, not in a task

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from strandmill import settings
 from strandmill.functions import columns as C
 from strandmill.operators import barcodes, metrics as M, seeds, tags
-from strandmill.operators.annotate import annotate, oriented
+from strandmill.operators.annotate import annotate, oriented, strand_hits
 from strandmill.plans import qc
 from strandmill.sinks.files import write_fastq_file
 from strandmill.sinks.ordered import make_folder, shared_folder, write_file
@@ -136,14 +136,10 @@ def edit_anchor_stats(spark, sf_dir):
 
 
 def edit_distances(spark, sf_dir):
-    """Each anchor's least edits on each strand, where within one."""
-    both = reads(spark, sf_dir).withColumn("turned", F.lit(False))
-    both = both.unionByName(both.withColumn("sequence", C.reverse_complement(F.col("sequence"))).withColumn("turned", F.lit(True)))
-    forward = settings.from_dict({"anchors": [{"name": n, "type": "fixed", "sequence": m, "max_edits": 1} for n, m in (("left", LEFT), ("right", RIGHT))]})
-    a = annotate(both, forward)
-    # without an expected order the strand with more hits is chosen; the other one is seen from its own row
-    b = a.select("read_index", (F.col("turned") != F.col("is_reversed")).alias("is_reversed"), F.explode("best").alias("anchor", "b"))
-    return b.groupBy("read_index", "is_reversed", "anchor").agg(F.min("b.distance").alias("distance"))
+    """Each anchor's least edits on each strand, where within one; both strands count, also where one has more hits."""
+    anchors = settings.from_dict({"anchors": [{"name": n, "type": "fixed", "sequence": m, "max_edits": 1} for n, m in (("left", LEFT), ("right", RIGHT))]})
+    h = strand_hits(reads(spark, sf_dir), anchors)
+    return h.groupBy("read_index", "is_reversed", F.col("hit.anchor").alias("anchor")).agg(F.min("hit.distance").alias("distance"))
 
 
 def exact_hits(spark, sf_dir):

@@ -38,3 +38,20 @@ def test_whitelist_is_of_all_suppliers(spark, tmp_path):
     assert set(seen) >= {"exact", "unrecoverable", "uniquely_recoverable"}
     counts = {r.barcode_status: r["count"] for r in registry.barcode_counts(spark, str(tmp_path)).collect()}
     assert all(counts[s] == n for s, n in seen.items())
+
+
+def test_edit_distances_of_both_strands(spark, tmp_path):
+    # reads with hits on both strands, of which one has more or nearer ones
+    ids = [*range(48), 2584, 4419, 4579, 8204, 42119]
+    spark.createDataFrame([(i,) for i in ids], "doc_id long").write.parquet(f"{tmp_path}/documents.parquet")
+    turned = lambda s: s.translate(str.maketrans("ACGTN", "TGCAN"))[::-1]
+    want = set()
+    for r in registry.reads(spark, str(tmp_path)).collect():
+        for rev, s in ((False, r.sequence.upper()), (True, turned(r.sequence.upper()))):
+            for name, motif in (("left", registry.LEFT), ("right", registry.RIGHT)):
+                least = min((edits(s[i : i + k], motif) for i in range(len(s)) for k in (15, 16, 17)), default=9)
+                if least <= 1:
+                    want.add((r.read_index, rev, name, least))
+    assert any((i, not rev) in {x[:2] for x in want} for i, rev, *_ in want)
+    got = [(r.read_index, r.is_reversed, r.anchor, r.distance) for r in registry.edit_distances(spark, str(tmp_path)).collect()]
+    assert set(got) == want and len(got) == len(want)
