@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandmill.operators.annotate import held
 from strandmill.operators.metrics import lower_median_of
 
 # The tags that are counted.
@@ -28,8 +29,16 @@ def parse_tags(fields: Column) -> Column:
     cut = lambda p: F.when((F.get(p, F.lit(0)) == "pt") & (F.get(p, F.lit(1)) == "f"), value(p).try_cast("double").try_cast("bigint").cast("string"))
     plain = lambda p: F.when(whole(p), F.regexp_replace(F.trim(value(p)), r"^\+", "")).otherwise(F.coalesce(cut(p), value(p)))
     entries = F.transform(fine, lambda p: F.struct(F.get(p, F.lit(0)).alias("key"), plain(p).alias("value")))
-    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.greatest(F.size(entries) - i - 1, F.lit(0))), lambda later: later["key"] == e["key"]))
-    return F.map_from_entries(last)
+    # the last of a key is the first from behind; looked for only where a key is there twice
+    keys = lambda es: F.transform(es, lambda e: e["key"])
+    firsts = lambda es: _with(keys(es), lambda ks: F.filter(es, lambda e, i: F.array_position(ks, e["key"]) == i + 1))
+    last = lambda es: F.when(F.size(F.array_distinct(keys(es))) == F.size(es), es).otherwise(_with(F.reverse(es), firsts))
+    return F.map_from_entries(_with(entries, last))
+
+
+def _with(value: Column, made) -> Column:
+    """made(value), with the value worked out once: within a lambda it would be so at each place and for each element."""
+    return F.get(F.transform(F.array(value), made), F.lit(0))
 
 
 def tag_counts(records: DataFrame) -> DataFrame:
@@ -43,16 +52,16 @@ def tag_counts(records: DataFrame) -> DataFrame:
 
 def tag_distances(records: DataFrame, raw: str, corrected: str, barcode: bool) -> DataFrame:
     """Edit distances between a raw and a corrected tag where both are there and not empty."""
-    a, b = (F.try_element_at("tags", F.lit(t)) for t in (raw, corrected))
     form = plain_barcode if barcode else F.upper
-    both = records.where((F.length(a) > 0) & (F.length(b) > 0))
-    return both.groupBy(F.levenshtein(form(a), form(b)).alias("distance")).agg(F.count(F.lit(1)).alias("count"))
+    # held, so that no filter goes below the step that makes the tags, which then would be made for each use of them
+    both = records.select(*(held(F.try_element_at("tags", F.lit(t))).alias(c) for t, c in ((raw, "_a"), (corrected, "_b")))).where((F.length("_a") > 0) & (F.length("_b") > 0))
+    return both.groupBy(F.levenshtein(form(F.col("_a")), form(F.col("_b"))).alias("distance")).agg(F.count(F.lit(1)).alias("count"))
 
 
 def tail_lengths(records: DataFrame) -> DataFrame:
     """The lengths in tag ``pt`` that are whole numbers from 0 on."""
-    n = F.try_element_at("tags", F.lit("pt")).try_cast("int")
-    return records.where(n >= 0).groupBy(n.alias("length")).agg(F.count(F.lit(1)).alias("count"))
+    n = records.select(held(F.try_element_at("tags", F.lit("pt")).try_cast("int")).alias("length"))
+    return n.where("length >= 0").groupBy("length").agg(F.count(F.lit(1)).alias("count"))
 
 
 def audit(records: DataFrame, sample_name: str, input_path: str = "") -> dict:

@@ -279,11 +279,17 @@ FROM (SELECT c_custkey, translate(md5(concat('t:', c_custkey)), '0123456789abcde
 """
 
 
-def tag_records(spark, sf_dir) -> DataFrame:
-    lines = spark.sql(TAG_LINES, customer=spark.read.parquet(f"{sf_dir}/customer.parquet"))
+def _tagged(customers: DataFrame) -> DataFrame:
+    lines = customers.sparkSession.sql(TAG_LINES, customer=customers)
     return lines.select("id", tags.parse_tags(F.split("line", "\t")).alias("tags"))
 
 
+def tag_records(spark, sf_dir) -> DataFrame:
+    """All customers' tags. The keys, which are small, are dealt to all cores: a table of few row groups is read by few tasks."""
+    keys = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey")
+    return _tagged(keys.repartition(max(keys.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism)))
+
+
 def tag_counts(spark, sf_dir):
     return tags.tag_counts(tag_records(spark, sf_dir))
 

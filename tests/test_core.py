@@ -387,3 +387,22 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("buckets").agg(F.sum("count")).first()[0] == 4
+
+
+def test_the_last_of_a_tag_counts(spark):
+    rng = random.Random(81)
+    rows = [(i, [f"{rng.choice('AB')}{rng.choice('CR')}:Z:{rng.randrange(9)}" for _ in range(rng.randrange(7))] + ["xx:i:no"] * (i % 2)) for i in range(80)]
+    got = spark.createDataFrame(rows, "i long, f array<string>").select("i", tags.parse_tags(F.col("f")).alias("tags"))
+    want = {i: {x[:2]: x[5:] for x in f if x[3] == "Z"} for i, f in rows}
+    assert any(len({x[:2] for x in f}) < len(f) for _, f in rows) and {r.i: r.tags for r in got.collect()} == want
+    assert spark.createDataFrame([(None,)], "f array<string>").select(tags.parse_tags(F.col("f")).alias("tags")).first().tags is None
+
+
+def test_tags_are_worked_out_once_a_record(spark):
+    fields = spark.createDataFrame([(["CR:Z:ACGT", "CB:Z:ACGA-1", "pt:i:7"],), (["CR:Z:", "CB:Z:A"],)], "f array<string>")
+    parsed = fields.select(tags.parse_tags(F.col("f")).alias("tags"))
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan()
+    assert plan(parsed).toJSON().count('expressions.StringSplit"') == 1  # of a field, and not again for each other one
+    far, tails = tags.tag_distances(parsed, "CR", "CB", True), tags.tail_lengths(parsed)
+    assert [plan(df).toString().count("map_from_entries") for df in (far, tails)] == [1, 1]
+    assert [tuple(r) for r in far.collect()] == [(1, 1)] and [tuple(r) for r in tails.collect()] == [(7, 1)]
