@@ -82,8 +82,12 @@ def make_folder(spark: SparkSession, path: str) -> None:
     system.mkdirs(inner)
 
 
-def write_file(df: DataFrame, order: list[str], target: str | Path, texts: Callable[[pa.RecordBatch], Iterable[bytes]], head: bytes = b"", compress: bool = False) -> int:
-    """The rows' texts, in the given order, as one file; how many rows. texts: the texts of a batch's rows."""
+def write_file(df: DataFrame, order: list[str], target: str | Path, texts: Callable[[pa.RecordBatch], Iterable[bytes]], head: bytes = b"", compress: bool = False, made: Callable[[DataFrame], DataFrame] | None = None) -> int:
+    """The rows' texts, in the given order, as one file; how many rows. texts: the texts of a batch's rows.
+
+    made: what texts takes, row by row from the dealt and sorted rows. What is worked out before rows are dealt is worked
+    out twice, as their ranges are found first, and is exchanged.
+    """
     spark, target = df.sparkSession, str(target)
     folder = shared_folder(spark, target.rpartition("/")[0] or ".")
     make_folder(spark, folder)
@@ -105,7 +109,10 @@ def write_file(df: DataFrame, order: list[str], target: str | Path, texts: Calla
         yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (number, path, rows, size)], ["number", "path", "rows", "size"])
 
     try:
-        done = df.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(write, "number long, path string, rows long, size long").collect()
+        # with a number of its own the engine doesn't join parts whose rows are small until they are made
+        parts = [max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)] if made else []
+        dealt = df.repartitionByRange(*parts, *order).sortWithinPartitions(*order)
+        done = (made(dealt) if made else dealt).mapInArrow(write, "number long, path string, rows long, size long").collect()
         concatenate(spark, [r.path for r in sorted(done)], target, (block(head) if compress and head else head), END_BLOCK if compress else b"")
         return sum(r.rows for r in done)
     finally:

@@ -99,3 +99,30 @@ def test_one_file_of_many_parts(spark, tmp_path, compress):
     assert fastq.read_fastq(spark, str(path), range_bytes=2000).count() == 400
     assert files.write_fastq_file(df.limit(0), tmp_path, "none", compress) == 0
     assert (gzip.open if compress else open)(tmp_path / f"none.fastq{'.gz' if compress else ''}").read() in (b"", "")
+
+
+def test_rows_are_made_after_they_are_dealt(spark, tmp_path):
+    """What is written of a row is worked out once: the search for ranges sees only what rows are sorted by."""
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    keys = spark.createDataFrame([(k,) for k in random.Random(7).sample(range(5000), 2000)], "k long").repartition(3)
+    n = ordered.write_file(keys, ["k"], tmp_path / "x", lambda b: (f"{k}\n".encode() for k in b.column("k").to_pylist()), made=lambda df: df.mapInArrow(counted, "k long"))
+    assert [int(x) for x in (tmp_path / "x").read_text().split()] == sorted(r.k for r in keys.collect())
+    assert n == made.value == 2000
+
+
+def test_tags_of_customers_are_made_once(spark, tmp_path, monkeypatch):
+    from strandmill.plans import registry
+
+    spark.range(50, 350).withColumnRenamed("id", "c_custkey").write.parquet(f"{tmp_path}/customer.parquet")
+    dealt, write = [], registry.write_file
+    monkeypatch.setattr(registry, "write_file", lambda df, *args, **options: dealt.append(df.columns) or write(df, *args, **options))
+    (got,) = registry.block_tags(spark, str(tmp_path)).collect()
+    assert dealt == [["c_custkey"]]
+    n = lambda fits: sum(map(fits, range(50, 350)))
+    assert got.asDict() == {"total_reads": 300, "CR": n(lambda k: k % 7 > 0), "CB": n(lambda k: k % 3 > 0), "CY": 0, "UR": 300, "UB": 150, "UY": 0, "pt": 75, "ambiguous": n(lambda k: k % 11 == 0)}
