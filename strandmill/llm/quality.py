@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, table
+from .common import free_name, give_back, table
 
 #: Bounds of what is fitted and broadcast: labelled rows, hashed terms, latent directions.
 MOST_LABELLED, TERMS, DIRECTIONS = 4096, 2048, 64
@@ -170,6 +170,7 @@ def score_documents(docs: DataFrame, model: QualityModel, text_col: str = "text"
             for at in range(0, len(texts), BLOCK):
                 scores.extend(vote(shared.value, np.array([features(t) for t in texts.slice(at, BLOCK).to_pylist()])))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], [*b.schema.names, out])
+        give_back()
 
     return docs.mapInArrow(run, T.StructType(list(docs.schema.fields)).add(out, T.DoubleType()))
 

@@ -16,6 +16,7 @@ from dataclasses import dataclass, field
 from functools import lru_cache
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,8 +28,9 @@ SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
-#: A batch handed to the library holds about so many characters (encodings take some hundred bytes a token).
-BATCH_CHARS = 1 << 20
+#: A batch handed to the library holds about so many characters: encodings take some hundred bytes a token, and no more
+#: texts than these are Python objects at a time.
+BATCH_CHARS = 1 << 17
 #: One text in so many is also encoded by the sentencepiece library: every one.
 PARITY_ONE_IN = 1
 
@@ -182,15 +184,16 @@ def _local(path: str) -> str:
     return path if os.path.exists(path) else SparkFiles.get(os.path.basename(path))
 
 
-def batches_by_chars(texts: list[str | None], limit: int = BATCH_CHARS) -> Iterator[tuple[int, int]]:
+def batches_by_chars(lengths: list[int | None], limit: int = BATCH_CHARS) -> Iterator[tuple[int, int]]:
+    """Where batches of texts of these lengths begin and end."""
     start = chars = 0
-    for i, t in enumerate(texts):
-        chars += len(t or "")
+    for i, n in enumerate(lengths):
+        chars += n or 0
         if chars >= limit:
             yield start, i + 1
             start, chars = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+    if start < len(lengths):
+        yield start, len(lengths)
 
 
 def encode_documents(docs: DataFrame, model_path: str = MODEL_PATH, text_col: str = "text", out: str = "token_ids", parity_one_in: int = PARITY_ONE_IN) -> DataFrame:
@@ -207,22 +210,28 @@ def encode_documents(docs: DataFrame, model_path: str = MODEL_PATH, text_col: st
     """
     names = (out, "round_trip", "parity")
     docs = docs.drop(*names)
+    schema = T.StructType(list(docs.schema.fields)).add(out, T.ArrayType(T.IntegerType())).add("round_trip", T.BooleanType()).add("parity", T.BooleanType())
+    return docs.mapInArrow(_encoder(model_path, text_col, names, parity_one_in), schema)
+
+
+def _encoder(model_path: str, text_col: str, names: tuple[str, ...], one_in: int):
+    """A mapInArrow function that adds the columns; of a batch only one part's texts and ids are Python objects at a time."""
+
+    def encoded(c: Codec, part: pa.RecordBatch) -> pa.RecordBatch:
+        ids, trips, parity = _encode(c, part.column(text_col).to_pylist(), one_in)
+        return pa.RecordBatch.from_arrays(
+            [*part.columns, pa.array(ids, pa.list_(pa.int32())), pa.array(trips, pa.bool_()), pa.array(parity, pa.bool_())],
+            [*part.schema.names, *names],
+        )
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(_local(model_path))
         for batch in batches:
-            texts = batch.column(text_col).to_pylist()
-            for lo, hi in batches_by_chars(texts):
-                ids, trips, parity = _encode(c, texts[lo:hi], parity_one_in)
-                part = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array(ids, pa.list_(pa.int32())), pa.array(trips, pa.bool_()), pa.array(parity, pa.bool_())],
-                    [*part.schema.names, *names],
-                )
+            for lo, hi in batches_by_chars(pc.utf8_length(batch.column(text_col).cast(pa.string())).to_pylist()):
+                yield encoded(c, batch.slice(lo, hi - lo))
         give_back()
 
-    schema = T.StructType(list(docs.schema.fields)).add(out, T.ArrayType(T.IntegerType())).add("round_trip", T.BooleanType()).add("parity", T.BooleanType())
-    return docs.mapInArrow(run, schema)
+    return run
 
 
 def _encode(c: Codec, texts: list[str | None], one_in: int):
