@@ -3,7 +3,7 @@
 Three steps. (1) Each window of 35 words picks an anchor, the least hash of the short strings of words in it; equal
 windows pick equal anchors, so only regions around anchors that occur twice can match anything, and the rest of the
 corpus goes no further. (2) Regions go to shards by anchor, copies of a region once with their number. A task makes an
-FM-index of a shard's regions (suffix order, Burrows-Wheeler transform in a wavelet matrix of packed bits, longest
+FM-index of a shard's regions (suffix order, Burrows-Wheeler transform in a wavelet matrix, longest
 common prefixes) and streams the regions through it: backward search, word by word from the right, gives the matching
 statistic of each place, the longest string from there that occurs at least twice, and windows at places where it is
 long enough are reported. (3) They go back to all documents that have the region, and the words they cover go.
@@ -14,10 +14,12 @@ Words are compared by 64-bit hashes.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -32,10 +34,11 @@ SHARD_WORDS = 1 << 17
 #: An anchor with more distinct regions than this has them split into their windows, which meet by hashes of their own.
 MOST_REGIONS = 1 << 12
 
-_MIX = np.random.default_rng(12).integers(1, 1 << 63, 256, dtype=np.uint64)
 _BASE = 0xD1342543DE82EF95
-_SPACE = np.zeros(256, bool)
-_SPACE[[32, *range(9, 14)]] = True
+#: The first bytes of eight, by their number.
+_HEADS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Words of more bytes than this are hashed one by one.
+LONG = 64
 
 
 # ---------------------------------------------------------------- words and their hashes
@@ -80,13 +83,25 @@ def _between(sums: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of all texts one after the other, and how many each has."""
-    b = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
-    word = ~_SPACE[b]
-    edge = np.diff(np.concatenate([[False], word, [False]]).view(np.int8))
-    lo, hi = np.nonzero(edge == 1)[0], np.nonzero(edge == -1)[0]
+    b = np.frombuffer(b" ".join([*texts, bytes(8)]), np.uint8)
+    text = b[:-8]
+    word = np.zeros(len(text) + 2, bool)
+    word[1:-1] = (text != 32) & (text - np.uint8(9) > 4)
+    edge = np.flatnonzero(word[1:] != word[:-1])
+    lo, hi = edge[::2], edge[1::2]
     ends = np.cumsum(np.array([len(t) + 1 for t in texts], np.int64))
     count = np.diff(np.searchsorted(lo, ends), prepend=0)
-    return _between(_sums(_MIX[b]), lo, hi), count
+    # eight bytes at a time, from any place on
+    eight, size = np.ndarray((len(text) + 1,), "<u8", b, 0, (1,)), hi - lo
+    h = _mixed((eight[lo] & _HEADS[np.minimum(size, 8)]) + size.astype(np.uint64) * np.uint64(_BASE))
+    more, at = np.flatnonzero(size > 8), 8
+    while len(more) and at < LONG:
+        h[more] = _mixed(h[more] * np.uint64(_BASE) + (eight[lo[more] + at] & _HEADS[np.minimum(size[more] - at, 8)]))
+        at += 8
+        more = more[size[more] > at]
+    for k in more.tolist():
+        h[k] = xxhash.xxh3_64_intdigest(b[lo[k] : hi[k]])
+    return h, count
 
 
 def anchors(words: np.ndarray, count: np.ndarray, window: int, gram: int = GRAM):
@@ -127,40 +142,54 @@ def anchors(words: np.ndarray, count: np.ndarray, window: int, gram: int = GRAM)
 # ---------------------------------------------------------------- FM-index
 
 
-def _named(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The order of the keys, and their ranks from 1, equal ones alike."""
-    order = np.argsort(keys, kind="stable")
-    ordered = keys[order]
-    names = np.empty(len(keys), np.int64)
-    names[order] = np.cumsum(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-    return order, names
+def _suffixes(s: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The order of all suffixes, and the names of each by its first 1, 2, 4, ... symbols, equal ones alike.
+
+    A name is the first place of those that have it, so that each round sorts only suffixes whose name is not theirs alone.
+    Every symbol sequence must differ from the others before its end, as separators of their own see to.
+    """
+    n = len(s)
+    order = np.argsort(s)
+    key, at, places = s[order], order, np.arange(n)
+    names, by, width = np.empty(n, np.int64), [], 1
+    while True:
+        first = np.concatenate([[True], key[1:] != key[:-1]])
+        names[at] = places[np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))]
+        by.append(names.copy())
+        places = places[~(first & np.append(first[1:], True))]
+        if not len(places):
+            return order, by
+        at = order[places]
+        key = names[at] * n + names[at + width]
+        sorted_ = np.argsort(key)
+        at, key = at[sorted_], key[sorted_]
+        order[places] = at
+        width *= 2
 
 
 class _Wavelets:
-    """A wavelet matrix of packed bits: how often a symbol stands before a place."""
+    """A wavelet matrix of two bits a level: how often a symbol stands before a place."""
 
     def __init__(self, symbols: np.ndarray, kinds: int):
-        self.bits = max(1, int(kinds - 1).bit_length())
-        self.zeros, self.packed, self.before = [], [], []
-        seq = symbols
-        for level in range(self.bits - 1, -1, -1):
-            bit = (seq >> level & 1).astype(bool)
-            whole = np.zeros((len(seq) // 64 + 1) * 64, bool)
-            whole[: len(seq)] = bit
-            packed = np.packbits(whole, bitorder="little").view(np.uint64)
-            ones = np.bitwise_count(packed).astype(np.int32)
-            self.packed.append(packed)
-            self.before.append(np.cumsum(ones, dtype=np.int32) - ones)
-            self.zeros.append(len(seq) - int(bit.sum()))
-            seq = np.concatenate([seq[~bit], seq[bit]])
+        self.size, self.shifts, self.goes = len(symbols) + 1, range((max(1, int(kinds - 1).bit_length()) - 1) // 2 * 2, -1, -2), []
+        seq = symbols.astype(np.int32)
+        for shift in self.shifts:
+            digit = (seq >> shift & 3).astype(np.uint8)
+            # where each place goes on the next level, for each digit
+            goes = np.zeros((4, self.size), np.int32)
+            before = 0
+            for d in range(4):
+                np.cumsum(digit == d, dtype=np.int32, out=goes[d, 1:])
+                here = int(goes[d, -1])
+                goes[d] += before
+                before += here
+            self.goes.append(goes.ravel())
+            seq = seq[np.argsort(digit, kind="stable")]
         self.start = self._down(np.zeros(kinds, np.int64), np.arange(kinds))
 
     def _down(self, place: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-        for k in range(self.bits):
-            block = place >> 6
-            below = (np.uint64(1) << (place & 63).astype(np.uint64)) - np.uint64(1)
-            ones = self.before[k][block] + np.bitwise_count(self.packed[k][block] & below)
-            place = np.where(symbol >> (self.bits - 1 - k) & 1, self.zeros[k] + ones, place - ones)
+        for shift, goes in zip(self.shifts, self.goes):
+            place = goes.take(place + (symbol >> shift & 3) * self.size)
         return place
 
     def rank(self, place: np.ndarray, symbol: np.ndarray) -> np.ndarray:
@@ -170,10 +199,12 @@ class _Wavelets:
 def _nearest_lower(v: np.ndarray) -> np.ndarray:
     """For each place the last one before it with a lower value (0 if there is none): by jumps over what is known not to be lower."""
     at = np.maximum(np.arange(len(v)) - 1, 0)
-    open_ = np.arange(1, len(v))
+    open_, mine = np.arange(1, len(v)), v[1:]
     while len(open_):
-        open_ = open_[(v[at[open_]] >= v[open_]) & (at[open_] > 0)]
-        at[open_] = at[at[open_]]
+        to = at.take(open_)
+        on = np.flatnonzero((v.take(to) >= mine) & (to > 0))
+        open_, mine = open_.take(on), mine.take(on)
+        at[open_] = at.take(to.take(on))
     return at
 
 
@@ -191,24 +222,16 @@ class FmIndex:
         s = np.insert(self.symbol, ends, np.arange(k))
         n = len(s)
         weight = np.insert(np.repeat(copies, sizes), ends, 0)
-        # suffixes are sorted by 1, 2, 4, ... symbols; separators make all differ by the longest text's
-        order, names = _named(s)
-        by, width = [names], 1
-        while names[order[-1]] < n:
-            follows = np.concatenate([names[width:], np.zeros(min(width, n), np.int64)])
-            order, names = _named(names * (n + 1) + follows)
-            by.append(names)
-            width *= 2
+        order, by = _suffixes(s)
+        # what two suffixes have in common ends before a separator, so that no place is beyond the last
         common = np.zeros(n - 1, np.int64)
         for j in range(len(by) - 1, -1, -1):
-            a, b = order[:-1] + common, order[1:] + common
-            inside = (a < n) & (b < n)
-            common += np.where(inside & (by[j][np.minimum(a, n - 1)] == by[j][np.minimum(b, n - 1)]), 1 << j, 0)
-        self.n, self.common = n, np.concatenate([[-1], common, [-1]])
+            common += (by[j][order[:-1] + common] == by[j][order[1:] + common]).astype(np.int64) << j
+        self.n, self.common = n, np.concatenate([[-1], common, [-1]]).astype(np.int32)
         self.lower = _nearest_lower(self.common)
         self.upper = n - _nearest_lower(self.common[::-1])[::-1]
         self.weight = np.concatenate([[0], np.cumsum(weight[order])])
-        self.first = np.searchsorted(np.sort(s), np.arange(kinds))
+        self.first = np.cumsum(np.bincount(s, minlength=kinds)) - np.bincount(s, minlength=kinds)
         self.wavelets = _Wavelets(s[order - 1], kinds)
 
     def extended(self, lo: np.ndarray, hi: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -307,38 +330,53 @@ def _anchor_rows(window: int, merge: bool):
     return run
 
 
-_CUT = "_anchor long, _region long, _copies long, _start int, _windows int, _words binary, _window long"
+_CUT = "_group long, _anchor long, _region long, _copies long, _start int, _words binary"
+_RUNS = "_anchor long, _region long, _start int, _end int"
+
+
+def _ranges(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers from each lo on, n of them, one range after the other."""
+    return np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
 
 
 def _cut_regions(window: int):
-    """Rows with a text and its regions to the regions' words; of anchors with very many regions to their windows' hashes."""
-    schema = pa.schema([("_anchor", pa.int64()), ("_region", pa.int64()), ("_copies", pa.int64()), ("_start", pa.int32()), ("_windows", pa.int32()), ("_words", pa.binary()), ("_window", pa.int64())])
+    """Rows with a text and its regions to the regions' words; of anchors with very many regions to their windows' hashes.
+
+    What may match has the same _group: the anchor of words, the hash of a window (which has no words).
+    """
+    names = [c.split()[0] for c in _CUT.split(", ")]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for b in batches for part in _slices(b, 64)):
-            out: list[tuple] = []
-            for text, regions in zip(batch.column("_text").to_pylist(), batch.column("_regions").to_pylist()):
-                words, _ = word_hashes([text])
-                sums = _sums(words) if any(r["_many"] for r in regions) else None
-                for r in regions:
-                    lo, n = r["_lo"], r["_windows"]
-                    if r["_many"]:
-                        at = np.arange(lo, lo + n)
-                        for k, h in enumerate(_between(sums, at, at + window).view(np.int64).tolist()):
-                            out.append((r["_anchor"], r["_region"], r["_copies"], k, 1, None, h))
-                    else:
-                        out.append((r["_anchor"], r["_region"], r["_copies"], 0, n, words[lo : lo + n + window - 1].tobytes(), None))
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], f.type) for k, f in enumerate(schema)], schema=schema)
+            words, count = word_hashes(batch.column("_text").to_pylist())
+            regions = batch.column("_regions")
+            of = pc.list_parent_indices(regions).to_numpy()
+            anchor, region, copies, lo, n, many = (x.to_numpy(zero_copy_only=False) for x in regions.flatten().flatten())
+            lo = lo + (np.cumsum(count) - count)[of]
+            sums = _sums(words) if many.any() else None
+            for part in (np.arange(k, min(k + 4096, len(n))) for k in range(0, len(n), 4096)):
+                whole, split = part[~many[part]], part[many[part]]
+                sizes = n[whole].astype(np.int64) + window - 1
+                ends = np.concatenate([[0], np.cumsum(sizes) * 8]).astype(np.int32)
+                bodies = pa.Array.from_buffers(pa.binary(), len(whole), [None, pa.py_buffer(ends), pa.py_buffer(words[_ranges(lo[whole], sizes)])])
+                yield pa.RecordBatch.from_arrays([*(pa.array(x[whole]) for x in (anchor, anchor, region, copies)), pa.array(np.zeros(len(whole), np.int32)), bodies], names)
+                if len(split):
+                    sizes = n[split].astype(np.int64)
+                    at = _ranges(lo[split], sizes)
+                    groups, starts = _between(sums, at, at + window).view(np.int64), _ranges(np.zeros(len(split), np.int64), sizes).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(groups), *(pa.array(np.repeat(x[split], sizes)) for x in (anchor, region, copies)), pa.array(starts), pa.nulls(len(at), pa.binary())], names)
 
     return run
 
 
 def _match_regions(window: int):
-    """Rows sorted by _anchor to the windows of each region that occur twice, as runs."""
+    """Rows sorted by _group and _anchor to the windows of each region that occur twice, as runs."""
+
+    def runs(*columns: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x if k < 2 else x.astype(np.int32)) for k, x in enumerate(columns)], ["_anchor", "_region", "_start", "_end"])
 
-    def solve(rows: list[tuple]) -> pa.RecordBatch:
-        words = np.frombuffer(b"".join(r[4] for r in rows), np.uint64)
-        sizes, copies = np.array([len(r[4]) // 8 for r in rows]), np.array([r[2] for r in rows])
+    def solve(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        anchor, region, copies, sizes, words = (np.concatenate(x) for x in zip(*held))
         long = matching_statistics(words, sizes, copies) >= window
         # a place more after each region, so that no run goes on into the next
         edge = np.diff(np.concatenate([[False], np.insert(long, np.cumsum(sizes), False)]).view(np.int8))
@@ -346,19 +384,48 @@ def _match_regions(window: int):
         ends = np.cumsum(sizes + 1)
         owner = np.searchsorted(ends, s, side="right")
         base = (ends - sizes - 1)[owner]
-        anchor, region = (np.array([r[k] for r in rows], np.int64)[owner] for k in range(2))
-        return pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(region), pa.array((s - base).astype(np.int32)), pa.array((e - base).astype(np.int32))], ["_anchor", "_region", "_start", "_end"])
+        return runs(anchor[owner], region[owner], s - base, e - base)
+
+    def columns_of(batch: pa.RecordBatch, *names: str) -> list[np.ndarray]:
+        return [batch.column(c).to_numpy() for c in names]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        size = 0
+        held: list[tuple[np.ndarray, ...]] = []
+        size, last = 0, None
+        # of the group of windows that came last: its first row, and whether that is still to be given out
+        open_ = np.zeros((6, 0), np.int64)
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("_anchor", "_region", "_copies", "_windows", "_words"))):
-                if size >= SHARD_WORDS and row[0] != held[-1][0]:
+            is_whole = batch.column("_words").is_valid()
+            whole, split = batch.filter(is_whole), batch.filter(pc.invert(is_whole))
+            if whole.num_rows:
+                anchor, region, copies = columns_of(whole, "_anchor", "_region", "_copies")
+                sizes = pc.binary_length(whole.column("_words")).to_numpy().astype(np.int64) // 8
+                words = np.frombuffer(b"".join(whole.column("_words").to_pylist()), np.uint64)
+                ends = np.cumsum(sizes)
+                # a shard that has its size ends where the next anchor begins
+                begins = np.nonzero(np.concatenate([[anchor[0] != last], anchor[1:] != anchor[:-1]]))[0]
+                before, at, read = (ends - sizes)[begins], 0, 0
+                while True:
+                    k = np.searchsorted(before, SHARD_WORDS - size + read)
+                    to = int(begins[k]) if k < len(begins) else len(anchor)
+                    if to > at:
+                        held.append((anchor[at:to], region[at:to], copies[at:to], sizes[at:to], words[read : ends[to - 1]]))
+                        size, read, at = size + int(ends[to - 1]) - read, int(ends[to - 1]), to
+                    if k == len(begins):
+                        break
                     yield solve(held)
                     held, size = [], 0
-                held.append(row)
-                size += len(row[4]) // 8
+                last = anchor[-1]
+            if split.num_rows:
+                rows = np.stack([*columns_of(split, "_group", "_anchor", "_region", "_start", "_copies"), np.ones(split.num_rows, np.int64)])
+                rows = np.concatenate([open_, rows], axis=1)
+                group = np.cumsum((np.diff(rows[:2], axis=1, prepend=rows[:2, :1]) != 0).any(0))
+                twice = np.bincount(group, rows[4])[group] > 1
+                out = rows[:, twice & (rows[5] == 1)]
+                yield runs(out[1], out[2], out[3], out[3] + 1)
+                open_ = rows[:, -1:].copy()
+                if twice[-1]:
+                    open_[4:, 0] = 2, 0
         if held:
             yield solve(held)
         give_back()
@@ -369,9 +436,12 @@ def _match_regions(window: int):
 # ---------------------------------------------------------------- operator
 
 
-def find_repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+def find_repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, finish: tuple[Callable, str] | None = None) -> DataFrame:
     """(id, _text, _spans) of every row: its text as UTF-8 bytes, and the maximal runs of its words that go, as [start, end).
 
+    finish: a function of batches of these and the schema of what it gives, which is returned instead. It runs in the same
+    Python workers, so that texts aren't sent to others.
+
     A word goes if a string of ``window`` consecutive words that it is in also starts anywhere else, the same row included.
     Words are runs of anything but ASCII white space. Null text: no words. Texts of fewer than ``window`` words: nothing
     goes. Null and repeated ids are allowed: every row is returned, and equal rows are copies of each other. Very long
@@ -400,15 +470,9 @@ def find_repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     shared = regions.withColumn("_all", F.sum("_copies").over(by_anchor)).withColumn("_many", F.count(F.lit(1)).over(by_anchor) > MOST_REGIONS).where("_all > 1")
     wanted = shared.groupBy("_row").agg(F.collect_list(F.struct("_anchor", "_region", "_copies", "_lo", "_windows", "_many")).alias("_regions"))
     cut = texts.join(wanted, "_row").mapInArrow(_cut_regions(window), _CUT)
-    indexed = (
-        cut.where("_words IS NOT NULL").select("_anchor", "_region", "_copies", "_windows", "_words").repartition(n, "_anchor").sortWithinPartitions("_anchor")
-        .mapInArrow(_match_regions(window), "_anchor long, _region long, _start int, _end int")
-    )
-    # windows of anchors with very many regions: each different window is a group of its own
-    single = cut.where("_words IS NULL").select("_anchor", "_region", "_copies", "_start", "_window")
-    twice = single.groupBy("_anchor", "_window").agg(F.sum("_copies").alias("_all")).where("_all > 1")
-    split = single.join(twice, ["_anchor", "_window"]).select("_anchor", "_region", "_start", (F.col("_start") + 1).alias("_end"))
-    runs = indexed.unionByName(split)
+    # both kinds of rows by one exchange, as two would read and cut all texts twice; each different window of an anchor
+    # with very many regions is dealt as a group of its own
+    runs = cut.repartition(n, "_group").sortWithinPartitions("_group", "_anchor").mapInArrow(_match_regions(window), _RUNS)
 
     # back to all documents that have the region
     every = slim.mapInArrow(_anchor_rows(window, False), _ANCHOR).select("_anchor", "_region", "_row", "_lo")
@@ -424,7 +488,10 @@ def find_repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 found.append([{"start": s, "end": e} for s, e in removed_spans(max((e for _, e in runs_), default=0) + window, runs_, window)])
             yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("_text"), pa.array(found, kind)], [id_col, "_text", "_spans"])
 
-    return texts.join(per_row, "_row", "left").mapInArrow(spans, f"`{id_col}` long, _text binary, _spans array<struct<start:long,end:long>>")
+    found = texts.join(per_row, "_row", "left")
+    if finish:
+        return found.mapInArrow(lambda batches: finish[0](spans(batches)), finish[1])
+    return found.mapInArrow(spans, f"`{id_col}` long, _text binary, _spans array<struct<start:long,end:long>>")
 
 
 def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -448,8 +515,7 @@ def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                 ["doc_id", "n_words", "n_removed", "kept_sha256"],
             )
 
-    found = find_repeated_words(table(spark, sf_dir, "documents"))
-    return found.mapInArrow(digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return find_repeated_words(table(spark, sf_dir, "documents"), finish=(digest, "doc_id long, n_words long, n_removed long, kept_sha256 string"))
 
 
 #: Equal windows are found by their digests.
