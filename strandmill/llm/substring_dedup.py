@@ -292,6 +292,17 @@ def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[list[int], list[bytes]]]:
         yield keys, texts
 
 
+def _by_bytes(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of at most CHUNK bytes of text, or of one text."""
+    for part in _slices(batch):
+        ends = np.cumsum(pc.binary_length(part.column("_text")).to_numpy(), dtype=np.int64)
+        at = 0
+        while at < part.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CHUNK, side="right")))
+            yield part.slice(at, to - at)
+            at = to
+
+
 _ANCHOR = "_anchor long, _region long, _row long, _lo int, _windows int, _off int"
 
 
@@ -347,7 +358,7 @@ def _cut_regions(window: int):
     names = [c.split()[0] for c in _CUT.split(", ")]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for b in batches for part in _slices(b, 64)):
+        for batch in (part for b in batches for part in _by_bytes(b)):
             words, count = word_hashes(batch.column("_text").to_pylist())
             regions = batch.column("_regions")
             of = pc.list_parent_indices(regions).to_numpy()
@@ -482,9 +493,12 @@ def find_repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     def spans(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for b in (part for whole in batches for part in _slices(whole)):
-            found = []
-            for r in b.column("_starts").to_pylist():
-                runs_ = [(x["_s"], x["_e"]) for x in r or ()]
+            starts = b.column("_starts")
+            every_run = list(zip(*(x.to_numpy(zero_copy_only=False).tolist() for x in starts.flatten().flatten())))
+            found, at = [], 0
+            for n_runs in pc.fill_null(pc.list_value_length(starts), 0).to_pylist():
+                runs_ = every_run[at : at + n_runs]
+                at += n_runs
                 found.append([{"start": s, "end": e} for s, e in removed_spans(max((e for _, e in runs_), default=0) + window, runs_, window)])
             yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("_text"), pa.array(found, kind)], [id_col, "_text", "_spans"])
 

@@ -94,3 +94,10 @@ def test_words_of_any_length():
     assert len(set(h.tolist())) == len(set(words)) == len(set(zip(h.tolist(), seen)))
     h, count = sd.word_hashes([])
     assert len(h) == len(count) == 0
+
+
+def test_long_texts_are_cut_alone():
+    sizes = [10, sd.CHUNK, 1, sd.CHUNK * 2, 5, sd.CHUNK - 5, 1, 0]
+    batch = pa.RecordBatch.from_arrays([pa.array([b"x" * n for n in sizes])], ["_text"])
+    parts = [[len(t) for t in p.column("_text").to_pylist()] for p in sd._by_bytes(batch)]
+    assert parts == [[10], [sd.CHUNK], [1], [sd.CHUNK * 2], [5, sd.CHUNK - 5], [1, 0]]
